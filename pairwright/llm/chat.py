@@ -44,14 +44,17 @@ def best_paths(nodes: DataFrame, scratch: Scratch, paths: int = 1) -> DataFrame:
     real = one.join(parents, one["tree_id"].eqNullSafe(F.col("pt")) & (F.col("parent_id") == F.col("pn")) & (F.col("parent_id") != F.col("node_id")), "left")
     up = scratch.table(real.select("tree_id", "node_id", F.col("pn").alias("ptr"), F.when(F.col("pn").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("score").alias("total")), "up0")
     rounds, limit = 0, max(one.count(), 1).bit_length() + 1
+    arrived = up.filter("ptr is null")  # nodes whose pointer has passed the root; only the others are joined again
     while rounds < limit and not up.filter("ptr is not null").isEmpty():
-        far = up.select(F.col("tree_id").alias("ft"), F.col("node_id").alias("fn"), F.col("ptr").alias("fptr"), F.col("steps").alias("fsteps"), F.col("total").alias("ftotal"))
-        up = up.join(far, up["tree_id"].eqNullSafe(F.col("ft")) & (F.col("ptr") == F.col("fn")), "left")
-        up = up.select("tree_id", "node_id", F.col("fptr").alias("ptr"), (F.col("steps") + F.coalesce("fsteps", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("ftotal", F.lit(0.0))).alias("total"))
+        far = up.filter("ptr is not null").unionByName(arrived)
+        far = far.select(F.col("tree_id").alias("ft"), F.col("node_id").alias("fn"), F.col("ptr").alias("fptr"), F.col("steps").alias("fsteps"), F.col("total").alias("ftotal"))
+        near = up.filter("ptr is not null")
+        near = near.join(far, near["tree_id"].eqNullSafe(F.col("ft")) & (F.col("ptr") == F.col("fn")), "inner")
         rounds += 1
-        up = scratch.table(up, f"up{rounds}")
+        up = scratch.table(near.select("tree_id", "node_id", F.col("fptr").alias("ptr"), (F.col("steps") + F.col("fsteps")).alias("steps"), (F.col("total") + F.col("ftotal")).alias("total")), f"up{rounds}")
+        arrived = arrived.unionByName(up.filter("ptr is null"))
     inner = scratch.spark.read.parquet(scratch.path("up0")).filter("ptr is not null").select(F.col("tree_id").alias("it"), F.col("ptr").alias("ip")).distinct()
-    leaves = up.filter("ptr is null").join(inner, up["tree_id"].eqNullSafe(F.col("it")) & (F.col("node_id") == F.col("ip")), "left_anti")
+    leaves = arrived.join(inner, arrived["tree_id"].eqNullSafe(F.col("it")) & (F.col("node_id") == F.col("ip")), "left_anti")
     order = Window.partitionBy("tree_id").orderBy((F.col("total") / (F.col("steps") + 1)).desc(), "node_id")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= paths)
     marks = scratch.table(chosen.select("tree_id", F.col("node_id").alias("leaf"), "rank", F.col("steps").alias("depth"), "node_id"), "marks")
