@@ -36,9 +36,10 @@ def dedup_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
     first = scratch.table(first, "repeated")
     later = win.join(first, "key").filter(F.struct("doc_id", "at") > F.col("first"))
     later = scratch.table(later.select("doc_id", "at"), "later")
+    # Merge join at every size: what the texts are joined with grows with the corpus.
     covered = later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     covered = covered.select(F.col("doc_id").alias("__id"), F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (lines - 1))))).alias("covered"))
-    rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("ls")).join(covered, F.col("doc_id") == F.col("__id"), "left")
+    rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("ls")).join(covered.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     left = F.array_except(F.sequence(F.lit(1), F.size("ls")), F.col("covered"))
     kept = F.when(F.col("covered").isNull(), F.col("ls")).otherwise(F.transform(left, lambda p: F.element_at(F.col("ls"), p)))
     return rows.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"), F.array_join(kept, "\n").alias("kept_text"))
