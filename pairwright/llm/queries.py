@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import chat, exact_dedup, line_dedup, mixing, ngram_join, substring_dedup, token_counts, toxicity
+from pairwright.llm import chat, embedding_join, exact_dedup, line_dedup, mixing, ngram_join, substring_dedup, token_counts, toxicity
 from pairwright.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,7 +77,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_ngram_join, op5_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_token_rollup, op9_chat_format)}
+def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_ngram_join, op5_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_token_rollup, op9_chat_format, op10_embedding_join)}
 
 #: White space of the contracts, for DuckDB.
 _SP, _WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
