@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import chat, embedding_join, exact_dedup, line_dedup, mixing, ngram_join, substring_dedup, token_counts, toxicity
+from pairwright.llm import chat, embedding_join, exact_dedup, line_dedup, mixing, ngram_join, packing, substring_dedup, token_counts, toxicity
 from pairwright.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -81,7 +92,7 @@ def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_ngram_join, op5_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_token_rollup, op9_chat_format, op10_embedding_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_lexical_packing, op4_ngram_join, op5_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_token_rollup, op9_chat_format, op10_embedding_join)}
 
 #: White space of the contracts, for DuckDB.
 _SP, _WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
