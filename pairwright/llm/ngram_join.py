@@ -11,7 +11,7 @@ are probed by binary search in the sorted set of a candidate.
 Skew.  Equal sets are one node from the start.  Where a short list holds very many nodes
 (a large group of near copies), its pairs aren't made: neighbours in four random
 orders are verified first, and only members of different components of what that links
-are paired afterwards.  Pairs within a component can't change the result, so nothing is lost.
+are paired afterwards, with its hubs and then with each other.  Pairs within a component can't change the result, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -202,6 +202,36 @@ def _across(num: int, den: int):
                     swap = x > fp[j]
                     yield pa.RecordBatch.from_arrays([ts.long_array(np.where(swap, fp[j], x)), ts.long_array(np.where(swap, x, fp[j])), pa.array(np.where(swap, n[j], n[a + i]).astype(np.int32)), pa.array(np.where(swap, n[a + i], n[j]).astype(np.int32))], ["a", "b", "na", "nb"])
 
+    return _by_list(work)
+
+
+def _to_hubs(num: int, den: int, hubs: int = 3):
+    """Pairs of each list's members with its hubs, where components differ.
+
+    A hub is the member met in most long lists, hence nearest to the middle of its group;
+    of each component of the list only the best counts.  Rows are sorted by (sig, rank).
+    """
+
+    def work(sig, comp, fp, n) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])
+        out: list[tuple] = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            best = np.sort(np.unique(comp[a : min(b, a + 64)], return_index=True)[1])[:hubs]
+            for h in (best + a).tolist():
+                j = np.arange(a, b)
+                j = j[(comp[j] != comp[h]) & (den * np.minimum(n[j], n[h]) >= num * np.maximum(n[j], n[h]))]
+                if len(j):
+                    out.append((np.minimum(fp[j], fp[h]), np.maximum(fp[j], fp[h])))
+        if out:
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([ts.long_array(pairs[:, 0]), ts.long_array(pairs[:, 1])], ["a", "b"])
+
+    return _by_list(work)
+
+
+def _by_list(work):
+    """Feed whole lists to `work`: columns sig, comp, fp, n, sorted by sig."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -209,6 +239,8 @@ def _across(num: int, den: int):
                 continue
             now = [batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U64), batch.column(3).to_numpy()]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if len(held[0]) < 50_000:
+                continue
             cut = int(np.flatnonzero(held[0] == held[0][-1])[0])
             if cut:
                 yield from work(*(x[:cut] for x in held))
@@ -244,9 +276,9 @@ def _verify(words: int, num: int, den: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, words: int, num: int, den: int, short: int, bits: int) -> None:
+    def __init__(self, docs: DataFrame, words: int, num: int, den: int, short: int, bits: int, rounds: int) -> None:
         self.docs = docs.select("doc_id", "text").filter("doc_id is not null")
-        self.words, self.num, self.den, self.short, self.bits = words, num, den, short, bits
+        self.words, self.num, self.den, self.short, self.bits, self.rounds = words, num, den, short, bits, rounds
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
 
     def scan(self) -> None:
@@ -296,26 +328,40 @@ class _Join:
         rows = mine.union(other).repartition(n, "x", "part").sortWithinPartitions("x", "part", "kind")
         return self.scratch.table(rows.select("x", "y", "kind", "text").mapInArrow(_verify(self.words, self.num, self.den), "x long, y long"), name)
 
+    def mixed(self, comp: DataFrame, *order) -> DataFrame:
+        """Members (sig, comp, fp, n) of the long lists that hold more than one component, in the given order."""
+        own = self.long.join(comp, self.long["fp"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "fp"))
+        several = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
+        n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return own.join(several, "sig", "left_semi").repartition(n, "sig").sortWithinPartitions("sig", *order).select("sig", "comp", "fp", "n")
+
     def run(self) -> DataFrame:
         s = self.scratch
         self.scan()
         self.repeats = bool(self.rows.groupBy("doc_id").count().filter("count > 1").limit(1).count())
         self.merge()
         self.texts()
-        links = self.verify(self.met.filter("c >= need or try = 1"), "links-1")
-        comp = components(links, s, "first")
-        own = self.long.join(comp, self.long["fp"] == comp["node"], "left").select("sig", F.coalesce("component", "fp").alias("comp"), "fp", "n")
-        mixed = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
-        n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = own.join(mixed, "sig", "left_semi").repartition(n, "sig").sortWithinPartitions("sig", "comp")
-        cross = rows.select("sig", "comp", "fp", "n").mapInArrow(_across(self.num, self.den), "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m"))
-        cross = cross.withColumn("need", self.need())
-        before = self.met.select(F.col("a").alias("pa"), F.col("b").alias("pb"), "c", "try")
-        cross = cross.join(before, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left")
+        done = self.met.filter("c >= need or try = 1").select("a", "b")
+        links = self.verify(done, "links-0")
+        comp = components(links, s, "comp-0")
+        rank = self.long.groupBy("fp").agg(F.count(F.lit(1)).alias("lists"))
+        self.long = s.table(self.long.join(rank, "fp"), "long")
+        for k in range(1, self.rounds + 1):
+            pairs = self.mixed(comp, F.col("lists").desc(), "fp").mapInArrow(_to_hubs(self.num, self.den), "a long, b long").distinct()
+            pairs = s.table(pairs.join(done, ["a", "b"], "left_anti"), f"hubs-{k}")
+            if pairs.isEmpty():
+                break
+            done = done.unionByName(pairs)
+            links = links.unionByName(self.verify(pairs, f"links-{k}"))
+            comp = components(links, s, f"comp-{k}")
+        cross = self.mixed(comp, "comp").mapInArrow(_across(self.num, self.den), "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m"))
+        before = self.met.select(F.col("a").alias("pa"), F.col("b").alias("pb"), "c")
+        cross = cross.withColumn("need", self.need()).join(before, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left")
         # Met often enough over all short lists, and not yet verified.
-        cross = s.table(cross.filter((F.col("m") + F.coalesce("c", F.lit(0)) >= F.col("need")) & ~F.coalesce((F.col("try") == 1) | (F.col("c") >= F.col("need")), F.lit(False))).select("a", "b"), "cross")
+        cross = cross.filter(F.col("m") + F.coalesce("c", F.lit(0)) >= F.col("need")).select("a", "b")
+        cross = s.table(cross.join(done, ["a", "b"], "left_anti"), "cross")
         if not cross.isEmpty():
-            comp = components(links.union(self.verify(cross, "links-2")), s, "second")
+            comp = components(links.unionByName(self.verify(cross, "links-cross")), s, "comp-cross")
         # From fingerprints to the least doc_id of each component.
         named = self.classes.join(comp, self.classes["fp"] == comp["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
         least = named.groupBy("c").agg(F.min("id").alias("component_id"))
@@ -324,14 +370,14 @@ class _Join:
         return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs` with a doc_id.
 
     `num / den` is the similarity, `short` the length from which a short list is treated
-    by components first, `bits` the size of the table of counters that orders the
-    shingles (any order gives the same result).  Null and empty texts have no shingle and
+    by components first, `rounds` how often its members are tried against hubs, `bits` the
+    size of the table of counters that orders the shingles; these three don't change the result.  Null and empty texts have no shingle and
     stay alone; texts of fewer than `words` words are one shingle, their whole sequence.
     Rows without doc_id have no place in the result; rows that repeat an id are one row
     each.  Other columns are ignored; an empty table gives an empty result.
     """
-    return _Join(docs, words, num, den, short, bits).run()
+    return _Join(docs, words, num, den, short, bits, rounds).run()
