@@ -16,8 +16,8 @@ is a suffix of the phrase before that trigger and a prefix of the text after it.
    if and only if both their classes are: the combination that gives corpus order.
 3. Spans.  Repeated strings are merged to maximal runs per document.
 
-A text shared by very many documents sends one row per document to its task in step 1,
-without text.  Where more than `hot` distinct ranges share a trigger's bytes, step 2 instead
+A text shared by very many documents, or repeated within one, sends one row per batch to its
+task in step 1; the other rows are known to be repeated and are dealt evenly.  Where more than `hot` distinct ranges share a trigger's bytes, step 2 instead
 hashes each of their strings and deals by that, so no task gets such a group.
 """
 
@@ -98,14 +98,27 @@ def triggers(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[n
 
 
 def _parse(length: int):
-    names = ["key", "whole", "rid", "first", "last", "at"]
+    """One row per trigger.  Ranges met twice within a batch are known to be repeated: one row of
+    them goes to the others of its key as `state` 1, the rest are dealt at random as 2."""
+    names = ["key", "whole", "rid", "first", "last", "at", "state"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = ts.text_bytes(batch.column("text"))
             rid = batch.column("rid").to_numpy()
-            for text, key, whole, first, last, at in triggers(data, off, length):
-                yield pa.RecordBatch.from_arrays([ts.long_array(key), ts.long_array(whole), pa.array(rid[text]), *(pa.array(x.astype(np.int32)) for x in (first, last, at))], names)
+            found = list(triggers(data, off, length))
+            if not found:
+                continue
+            text, key, whole, first, last, at = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((whole, key))
+            same = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+            state = np.zeros(len(key), np.int32)
+            state[order] = np.where(np.r_[False, same], 2, np.where(np.r_[same, False], 1, 0))
+            own = rid[text]
+            key = np.where(state == 2, ts.mix(own.view(U64) + at.astype(U64) * U64(0x9E3779B97F4A7C15)), key)
+            for s in range(0, len(key), 100_000):
+                cut = slice(s, s + 100_000)
+                yield pa.RecordBatch.from_arrays([ts.long_array(key[cut]), ts.long_array(whole[cut]), pa.array(own[cut]), *(pa.array(x[cut].astype(np.int32)) for x in (first, last, at, state))], names)
 
     return run
 
@@ -126,11 +139,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, whole = rows[0], rows[1]
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])])
         size = np.diff(np.r_[start, len(key)])
-        full = np.repeat(size > 1, size)
+        several_rows = np.add.reduceat(1 + (rows[6] == 1), start) > 1
+        full = np.repeat(several_rows, size)
         if full.any():
             yield out(0, [x[full] for x in rows])
         head = [x[start] for x in rows]
-        kind = np.where(size > 1, 1, 2).astype(np.int32)
+        kind = np.where(several_rows, 1, 2).astype(np.int32)
         same = np.r_[False, head[0][1:] == head[0][:-1]]
         several = same | np.r_[same[1:], False]
         if last_key is not None and head[0][0] == last_key:
@@ -146,7 +160,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        now = [batch.column(k).to_numpy() for k in range(6)]
+        now = [batch.column(k).to_numpy() for k in range(7)]
+        known = now[6] == 2
+        if known.any():
+            yield out(0, [x[known] for x in now])
+            now = [x[~known] for x in now]
+            if not len(now[0]):
+                continue
         held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         if len(held[0]) < 100_000:
             continue
@@ -184,7 +204,7 @@ def _contexts(length: int):
 
 def _strings(length: int):
     """Every string of the marked ranges by its own hash, in the columns of `_parse`."""
-    names = ["key", "whole", "rid", "first", "last", "at"]
+    names = ["key", "whole", "rid", "first", "last", "at", "state"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +215,7 @@ def _strings(length: int):
                     s = np.arange(m["first"], m["last"] + 1)
                     sums, inverse = _sums(text[m["first"] : m["last"] + length])
                     h = ts.long_array(ts.mix((sums[s - s[0] + length] - sums[s - s[0]]) * inverse[s - s[0]]))
-                    yield pa.RecordBatch.from_arrays([h, h, pa.array(np.full(len(s), rid)), *[pa.array(s.astype(np.int32))] * 3], names)
+                    yield pa.RecordBatch.from_arrays([h, h, pa.array(np.full(len(s), rid)), *[pa.array(s.astype(np.int32))] * 3, pa.array(np.zeros(len(s), np.int32))], names)
 
     return run
 
@@ -318,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 50_000) -> Dat
     scratch = Scratch(spark, "substring-dedup")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    row = "key long, whole long, rid long, first int, last int, at int"
+    row = "key long, whole long, rid long, first int, last int, at int, state int"
     ranged = "kind int, key long, rid long, first int, last int, at int"
     long = base.filter(F.octet_length("text") >= length).select("rid", "text")
     parsed = long.mapInArrow(_parse(length), row)
