@@ -115,7 +115,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, top: int = 4096, fairness: float = 4.0, sparsity: float = 5e-4, rounds: int = 300, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, top: int = 4096, fairness: float = 4.0, sparsity: float = 5e-4, rounds: int = 300, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
     """Fit on a bounded sample: at most `per_class` labelled documents of either class.
 
     Documents are sets of hashed words and word beginnings, each in two forms: it occurs, it occurs again.  The `top` features whose
