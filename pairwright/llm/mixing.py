@@ -37,10 +37,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     per = per.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
     fill = Window.orderBy((F.col("ceiling") / F.col("w")).asc(), F.col("source").asc_nulls_last())
     per = per.withColumn("held", F.sum("ceiling").over(fill.rowsBetween(Window.unboundedPreceding, -1))).withColumn("open_w", F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    # The level if exactly the sources before this one were at their ceilings; the first that holds is the level.
+    # The level if exactly the sources before this one were at their ceilings.  It rises until that is so and falls after.
     level = (F.col("total") - F.coalesce("held", F.lit(0.0))) / F.col("open_w")
-    per = per.withColumn("level", F.min(F.when(level * F.col("w") <= F.col("ceiling"), level)).over(everything))
-    return per.select("source", "source_size", F.least(F.col("ceiling"), F.coalesce(F.col("level") * F.col("w"), F.col("ceiling"))).alias("target"))
+    per = per.withColumn("level", F.max(level).over(everything))
+    return per.select("source", "source_size", F.least(F.col("ceiling"), F.col("level") * F.col("w")).alias("target"))
 
 
 def _with_copies(rows: DataFrame, sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:

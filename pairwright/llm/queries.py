@@ -106,8 +106,8 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}
    (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total FROM s),
  f AS (SELECT *, coalesce(sum(ceiling) OVER (ORDER BY ceiling / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
    sum(w) OVER (ORDER BY ceiling / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM w),
- l AS (SELECT *, min(CASE WHEN (total - held) / open_w * w <= ceiling THEN (total - held) / open_w END) OVER () AS level FROM f),
- t AS (SELECT source, source_size, least(ceiling, coalesce(level * w, ceiling)) AS target FROM l),
+ l AS (SELECT *, max((total - held) / open_w) OVER () AS level FROM f),
+ t AS (SELECT source, source_size, least(ceiling, level * w) AS target FROM l),
  r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
