@@ -1,8 +1,516 @@
-"""Registered queries and their oracles."""
+"""Registered queries over the fixtures, and the same in DuckDB's SQL.
+
+Reals are rounded to six places on both sides; adding 0 turns a negative zero positive.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairwright.functions import special
+from pairwright.operators import aggregate as agg
+from pairwright.operators import elementwise as el
+from pairwright.operators import histogram, normal, rows
+from pairwright.operators.pairwise import Pairs, mismatched_rows, pack
+from pairwright.plans import api
+from pairwright.plans import fixtures as fx
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def r6(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r6(c).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def q6(expr: str, name: str) -> str:
+    return f"round({expr}, 6) + 0.0::DOUBLE AS {name}"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def samples(m: DataFrame) -> int:
+    return m.select("sample").distinct().count()
+
+
+# Normal scores: z of table x as CTE text.
+def _scores(x: str) -> str:
+    q = special.normal_quantile_sql("p")
+    return (
+        f"SELECT gene, sample, q / sqrt(avg(q * q) OVER (PARTITION BY gene)) AS z FROM (SELECT gene, sample, {q} AS q FROM "
+        f"(SELECT gene, sample, row_number() OVER (PARTITION BY gene ORDER BY value, sample)::DOUBLE / (1.0 + count(*) OVER (PARTITION BY gene)) AS p FROM {x}))"
+    )
+
+
+_RHO = "SELECT x.gene AS a, y.gene AS b, greatest(-1.0, least(1.0, sum(x.z * y.z) / count(*))) AS rho FROM {0} x JOIN {1} y ON x.sample = y.sample GROUP BY 1, 2"
+_INF = "'Infinity'::DOUBLE"
+
+
+def _hl(x: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN -0.5 * ln({x}) ELSE {_INF} END)"
+
+
+_V = "greatest((1 - s1) * (1 - s2) - (rho - s12) * (rho - s12), 1.17549435e-38)"
+_L = {
+    "l1": f"greatest(0.0, {_hl('(1 - s1)')})",
+    "l2": f"greatest(0.0, {_hl('(1 - s2)')})",
+    "l3": f"greatest(0.0, {_hl(_V)} - {_hl('(1 - s1)')} - {_hl('(1 - rho * rho)')})",
+    "l4": f"greatest(0.0, {_hl(_V)} - {_hl('(1 - s1)')})",
+    "l5": f"greatest(0.0, {_hl(_V)} - {_hl('(1 - s1)')} - {_hl('(1 - s2)')})",
+}
+_FIVE = ", ".join(f"{e} AS {k}" for k, e in _L.items())
+
+
+def _continuous(g: str, t: str, t2: str) -> dict[str, str]:
+    return {
+        "za": _scores(t), "zb": _scores(t2), "ze": _scores(g),
+        "rab": _RHO.format("za", "zb"), "reb": _RHO.format("ze", "zb"),
+        "rea": "SELECT x.gene AS a, greatest(-1.0, least(1.0, sum(x.z * y.z) / count(*))) AS r FROM ze x JOIN za y ON x.sample = y.sample AND x.gene = y.gene GROUP BY 1",
+        "s": "SELECT rab.a, rab.b, rab.rho, rea.r * rea.r AS s1, reb.rho * reb.rho AS s2, rea.r * reb.rho AS s12 FROM rab JOIN reb ON rab.a = reb.a AND rab.b = reb.b JOIN rea ON rea.a = rab.a",
+        "l": f"SELECT a, b, {_FIVE} FROM s",
+    }
+
+
+def _discrete(g: str, t: str, t2: str) -> dict[str, str]:
+    return {
+        "za": _scores(t), "zb": _scores(t2),
+        "rab": _RHO.format("za", "zb"),
+        "cls": f"SELECT g.gene AS a, g.geno, y.gene AS b, count(*)::DOUBLE / (SELECT count(DISTINCT sample) FROM {t}) AS f, avg(x.z) AS ma, avg(y.z) AS mb FROM {g} g JOIN za x ON x.gene = g.gene AND x.sample = g.sample JOIN zb y ON y.sample = g.sample GROUP BY 1, 2, 3",
+        "cs": "SELECT a, b, sum(f * ma * ma) AS s1, sum(f * mb * mb) AS s2, sum(f * ma * mb) AS s12 FROM cls GROUP BY a, b",
+        "s": "SELECT rab.a, rab.b, rab.rho, s1, s2, s12 FROM rab JOIN cs ON rab.a = cs.a AND rab.b = cs.b",
+        "l": f"SELECT a, b, {_FIVE} FROM s",
+    }
+
+
+def _five_pv(freedom: dict[int, tuple[int, int]]) -> str:
+    return "SELECT a, b, " + ", ".join(q6(special.null_sf_sql(f"l{t}", *d), f"p{t}") for t, d in freedom.items()) + " FROM l"
+
+
+def _kv_freedom(ns: int, kv: int) -> dict[int, tuple[int, int]]:
+    return {1: (kv - 1, ns - kv), 2: (kv - 1, ns - kv), 3: (kv - 1, ns - kv - 1), 4: (kv, ns - kv - 1), 5: (1, ns - kv - 1)}
+
+
+#: Samples of the embedding fixture at the scales that oracles are compared on, and months of the supplier fixture.
+NS, MONTHS = 500, 83
+
+# --- rows and elements -------------------------------------------------------------------
+
+
+@query("normalize_row", fx.with_ctes(f"SELECT gene, sample, {q6('(value - avg(value) OVER w) / stddev_pop(value) OVER w', 'x')} FROM e WINDOW w AS (PARTITION BY gene)", "e"))
+def _(spark, d):
+    return normal.normalize_row(fx.emb_expr(spark, d))
+
+
+@query("supernormalize", fx.with_ctes(f"SELECT gene, sample, {q6('z', 'z')} FROM z", "e", z=_scores("e")))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return normal.supernormalize_auto(e, samples(e))
+
+
+@query("argsort_rows", fx.with_ctes(f"SELECT gene, sample, {q6('value', 'value')}, row_number() OVER (PARTITION BY gene ORDER BY value, sample)::INT AS rank FROM e", "e"))
+def _(spark, d):
+    return normal.argsort_rows(fx.emb_expr(spark, d))
+
+
+@query("row_jitter")
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return normal.supernormalize_shaken(e, samples(e), 1e-3, 7)
+
+
+@query("supernormalize_random")
+def _(spark, d):
+    return normal.supernormalize_random(fx.emb_expr(spark, d), 7)
+
+
+_ELEMENTS: dict[str, tuple[Callable[[Column], Column], str]] = {
+    "bound_below": (lambda c: el.bound_below(c, -0.1), "greatest(value, -0.1::DOUBLE)"),
+    "bound_above": (lambda c: el.bound_above(c, 0.1), "least(value, 0.1::DOUBLE)"),
+    "bound_both": (lambda c: el.bound_both(c, -0.1, 0.1), "greatest(least(value, 0.1::DOUBLE), -0.1::DOUBLE)"),
+    "set_cond": (lambda c: el.set_cond(c, lambda x: x * x > 0.04, 9.0), "CASE WHEN value * value > 0.04 THEN 9.0 ELSE value END"),
+    "set_inf": (lambda c: el.set_inf(F.when(c > 0.2, el.INF).otherwise(c), 5.0), "CASE WHEN value > 0.2 THEN 5.0 ELSE value END"),
+    "set_nan": (lambda c: el.set_nan(F.when(c > 0.2, float("nan")).otherwise(c), 5.0), "CASE WHEN value > 0.2 THEN 5.0 ELSE value END"),
+    "set_value": (lambda c: el.set_value(el.bound_below(c, 0.0), 0.0, -3.0), "CASE WHEN value <= 0 THEN -3.0 ELSE value END"),
+    "eq": (lambda c: el.eq(el.bound_below(c, 0.0), 0.0).cast("double"), "(value <= 0)::INT::DOUBLE"),
+    "complement": (el.complement, "1.0 - value"),
+}
+for _name, (_f, _sql) in _ELEMENTS.items():
+    query(_name, fx.with_ctes(f"SELECT gene, sample, {q6(_sql, 'x')} FROM e", "e"))(lambda spark, d, f=_f: fx.emb_expr(spark, d).select("gene", "sample", f(F.col("value")).alias("x")))
+
+
+@query("scale_row", fx.with_ctes(f"SELECT gene, sample, {q6('value * sqrt(gene + 1)', 'value')} FROM e", "e"))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return el.scale_row_by(e, e.select("gene").distinct().withColumn("factor", F.col("gene") + 1.0), F.sqrt)
+
+
+@query("scale_column", fx.with_ctes(f"SELECT gene, sample, {q6('value * (sample % 7)', 'value')} FROM e", "e"))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return el.scale_column(e, e.select("sample").distinct().withColumn("factor", (F.col("sample") % 7).cast("double")))
+
+
+@query("rows_save", fx.with_ctes(f"SELECT gene, sample, {q6('value', 'value')} FROM e WHERE gene IN (SELECT gene FROM e GROUP BY gene HAVING avg(value) > 0)", "e"))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return rows.rows_save(e, e.groupBy("gene").agg(F.avg("value").alias("m")).filter("m > 0"))
+
+
+@query("rows_load", fx.with_ctes(f"SELECT gene, sample, {q6('CASE WHEN gene < 8 THEN value + 1 ELSE value END', 'value')} FROM e", "e"))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return rows.rows_load(e, e.filter("gene < 8").withColumn("value", F.col("value") + 1))
+
+
+_SQUARE = "SELECT x.gene AS a, y.gene AS b, sum(x.value * y.value) AS value FROM ea x JOIN ea y ON x.sample = y.sample GROUP BY 1, 2"
+
+
+def _square(spark: SparkSession, d: str) -> DataFrame:
+    """(a, b, value) of the 8 x 8 products of sources."""
+    z = fx.emb_a(spark, d).withColumnRenamed("value", "z")
+    return agg.cov2(z, z, 1).withColumnRenamed("c", "value")
+
+
+@query("rows_save_nodiag", fx.with_ctes(f"SELECT a, b, {q6('value', 'value')} FROM m WHERE a <> b AND a < 4", "ea", m=_SQUARE))
+def _(spark, d):
+    m = _square(spark, d)
+    return rows.rows_save_nodiag(m, m.select(F.col("a").alias("gene")).distinct().filter("gene < 4"))
+
+
+@query("rows_load_nodiag", fx.with_ctes(f"SELECT a, b, {q6('CASE WHEN a <> b AND a < 4 THEN -value ELSE value END', 'value')} FROM m", "ea", m=_SQUARE))
+def _(spark, d):
+    m = _square(spark, d)
+    return rows.rows_load_nodiag(m, m.filter("a < 4").withColumn("value", -F.col("value")))
+
+
+@query("strip_diagonal", fx.with_ctes(f"SELECT a, b, {q6('value', 'value')} FROM m WHERE a <> b", "ea", m=_SQUARE))
+def _(spark, d):
+    return rows.strip_diagonal(_square(spark, d))
+
+
+@query("zero_diagonal", fx.with_ctes(f"SELECT a, b, {q6('CASE WHEN a = b THEN 0 ELSE value END', 'value')} FROM m", "ea", m=_SQUARE))
+def _(spark, d):
+    return el.zero_diagonal(_square(spark, d), "value")
+
+
+def _packed_square(spark: SparkSession, d: str) -> DataFrame:
+    return rows.wrap(_square(spark, d).select(F.col("a").alias("gene"), F.col("b").alias("position"), "value"))
+
+
+@query("flatten", fx.with_ctes(f"SELECT a AS gene, b AS position, {q6('value', 'value')} FROM m", "ea", m=_SQUARE))
+def _(spark, d):
+    return rows.flatten(_packed_square(spark, d))
+
+
+@query("flatten_nodiag", fx.with_ctes(f"SELECT a AS gene, CASE WHEN b > a THEN b - 1 ELSE b END AS position, {q6('value', 'value')} FROM m WHERE a <> b", "ea", m=_SQUARE))
+def _(spark, d):
+    return rows.flatten_nodiag(_packed_square(spark, d))
+
+
+@query("wrap_nodiag", fx.with_ctes(f"SELECT a AS gene, b AS position, {q6('CASE WHEN a = b THEN 0 ELSE value END', 'value')} FROM m", "ea", m=_SQUARE))
+def _(spark, d):
+    return rows.flatten(rows.wrap_nodiag(rows.flatten_nodiag(_packed_square(spark, d))))
+
+
+@query("pair_of_flat", "SELECT i::BIGINT AS i, (i // 24)::BIGINT AS src, (CASE WHEN i % 24 >= i // 24 THEN i % 24 + 1 ELSE i % 24 END)::BIGINT AS dst FROM range(600) t(i)")
+def _(spark, d):
+    src, dst = rows.pair_of_flat(F.col("id"), 25)
+    return spark.range(600).select(F.col("id").alias("i"), src.cast("long").alias("src"), dst.cast("long").alias("dst"))
+
+
+@query("categorize", fx.with_ctes("SELECT gene, (count(*) FILTER (value > 0))::BIGINT AS yes, (count(*) FILTER (NOT value > 0))::BIGINT AS no FROM e GROUP BY gene", "e"))
+def _(spark, d):
+    yes, no = rows.categorize(fx.emb_expr(spark, d), F.col("value") > 0)
+    return yes.groupBy("gene").agg(F.count(F.lit(1)).alias("yes")).join(no.groupBy("gene").agg(F.count(F.lit(1)).alias("no")), "gene")
+
+
+@query("permute_rows", fx.with_ctes(f"SELECT 63 - gene AS gene, sample, {q6('value', 'value')} FROM e", "e"))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return rows.permute_rows(e, e.select("gene").distinct().withColumn("to", F.lit(63) - F.col("gene")))
+
+
+@query("permute_columns", fx.with_ctes(f"SELECT gene, (SELECT max(sample) FROM e) - sample AS sample, {q6('value', 'value')} FROM e", "e"))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    top = e.agg(F.max("sample")).first()[0]
+    return rows.permute_columns(e, e.select("sample").distinct().withColumn("to", F.lit(top) - F.col("sample")))
+
+
+@query("shuffle_rows")
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return rows.permute_rows(e, rows.shuffle_rows(e, 5))
+
+
+@query("chunks", fx.with_ctes("SELECT gene, (ntile(5) OVER (ORDER BY gene) - 1)::INT AS chunk FROM (SELECT DISTINCT gene FROM e)", "e"))
+def _(spark, d):
+    return rows.chunks(fx.emb_expr(spark, d).select("gene").distinct(), 5)
+
+
+@query("first_nan", fx.with_ctes("SELECT gene, sample FROM e WHERE value > 0.2 ORDER BY gene, sample LIMIT 1", "e"))
+def _(spark, d):
+    return rows.first_nan(fx.emb_expr(spark, d).withColumn("value", F.when(F.col("value") > 0.2, float("nan")).otherwise(F.col("value"))))
+
+
+@query("cumsum", fx.with_ctes(f"SELECT gene, sample, {q6('sum(value) OVER (PARTITION BY gene ORDER BY sample)', 'x')} FROM e", "e"))
+def _(spark, d):
+    return agg.cumsum(fx.emb_expr(spark, d))
+
+
+@query("diff", fx.with_ctes(f"SELECT gene, sample, {q6('x', 'x')} FROM (SELECT gene, sample, value - lag(value) OVER (PARTITION BY gene ORDER BY sample) AS x FROM e) WHERE x IS NOT NULL", "e"))
+def _(spark, d):
+    return agg.diff(fx.emb_expr(spark, d))
+
+
+@query("sorted_distinct", fx.with_ctes(f"SELECT gene, row_number() OVER (PARTITION BY gene ORDER BY value)::INT AS position, {q6('value', 'x')} FROM (SELECT DISTINCT gene, value FROM sg)", "sg"))
+def _(spark, d):
+    return agg.sorted_distinct(fx.sup_expr(spark, d))
+
+
+# --- aggregates --------------------------------------------------------------------------
+
+
+@query("cov1", fx.with_ctes(f"SELECT a, b, {q6('rho', 'c')} FROM r", "e", z=_scores("e"), r=_RHO.format("z", "z")))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    ns = samples(e)
+    return agg.cov1(normal.supernormalize(e, ns), ns, bounded=True)
+
+
+@query("cov2", fx.with_ctes(f"SELECT x.gene AS a, y.gene AS b, {q6('sum(x.z * y.z) / count(*)', 'c')} FROM za x JOIN zb y ON x.sample = y.sample GROUP BY 1, 2", "ea", "eb", za=_scores("ea"), zb=_scores("eb")))
+def _(spark, d):
+    ns = samples(fx.emb_a(spark, d))
+    return agg.cov2(normal.supernormalize(fx.emb_a(spark, d), ns), normal.supernormalize(fx.emb_b(spark, d), ns), ns)
+
+
+@query("cov2_bounded", fx.with_ctes(f"SELECT a, b, {q6('rho', 'c')} FROM r", "ea", "eb", za=_scores("ea"), zb=_scores("eb"), r=_RHO.format("za", "zb")))
+def _(spark, d):
+    ns = samples(fx.emb_a(spark, d))
+    return agg.cov2(normal.supernormalize(fx.emb_a(spark, d), ns), normal.supernormalize(fx.emb_b(spark, d), ns), ns, bounded=True)
+
+
+@query("cov2_1v1", fx.with_ctes(f"SELECT x.gene, {q6('sum(x.z * y.z) / count(*)', 'c')} FROM za x JOIN ze y ON x.sample = y.sample AND x.gene = y.gene GROUP BY 1", "ea", "ec", za=_scores("ea"), ze=_scores("ec")))
+def _(spark, d):
+    ns = samples(fx.emb_a(spark, d))
+    return agg.cov2_1v1(normal.supernormalize(fx.emb_a(spark, d), ns), normal.supernormalize(fx.emb_anchor_c(spark, d), ns), ns, bounded=True)
+
+
+def _normal_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    ns = samples(fx.emb_a(spark, d))
+    return normal.supernormalize(fx.emb_a(spark, d), ns), normal.supernormalize(fx.emb_b(spark, d), ns), ns
+
+
+@query("geno_class_stats", fx.with_ctes(f"SELECT a, geno, b, {q6('f', 'f')}, {q6('ma', 'mu_a')}, {q6('mb', 'mu_b')} FROM cls", "ea", "eb", "ed", **{k: v for k, v in _discrete("ed", "ea", "eb").items() if k in ("za", "zb", "cls")}))
+def _(spark, d):
+    za, zb, ns = _normal_pair(spark, d)
+    return agg.class_stats(fx.emb_anchor_d(spark, d), za, zb, ns)
+
+
+@query("geno_class_sums", fx.with_ctes(f"SELECT a, b, {q6('s1', 's1')}, {q6('s2', 's2')}, {q6('s12', 's12')} FROM cs", "ea", "eb", "ed", **{k: v for k, v in _discrete("ed", "ea", "eb").items() if k in ("za", "zb", "cls", "cs")}))
+def _(spark, d):
+    za, zb, ns = _normal_pair(spark, d)
+    return agg.class_sums(agg.class_stats(fx.emb_anchor_d(spark, d), za, zb, ns))
+
+
+@query("geno_kv", fx.with_ctes("SELECT gene, count(DISTINCT geno)::BIGINT AS kv FROM el GROUP BY gene", "el"))
+def _(spark, d):
+    return agg.distinct_per_row(fx.emb_anchor_label(spark, d))
+
+
+@query("geno_count_ratio", fx.with_ctes(f"SELECT gene, geno, {q6('count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY gene)', 'ratio')} FROM el GROUP BY gene, geno", "el"))
+def _(spark, d):
+    return agg.count_ratio(fx.emb_anchor_label(spark, d))
+
+
+@query("route_by_class", fx.with_ctes("SELECT kv, count(*)::BIGINT AS n FROM (SELECT gene AS a, count(DISTINCT geno)::BIGINT AS kv FROM el GROUP BY gene) k JOIN (SELECT x.gene AS a FROM (SELECT DISTINCT gene FROM ea) x CROSS JOIN (SELECT DISTINCT gene FROM eb) y) p ON p.a = k.a GROUP BY kv", "ea", "eb", "el"))
+def _(spark, d):
+    za, zb, ns = _normal_pair(spark, d)
+    return rows.route_by_class(agg.cov2(za, zb, ns), agg.distinct_per_row(fx.emb_anchor_label(spark, d))).groupBy("kv").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("minmax_nodiag", fx.with_ctes(f"SELECT {q6('min(rho)', 'dmin')}, {q6('max(rho)', 'dmax')} FROM r WHERE a <> b", "ea", "eb", za=_scores("ea"), zb=_scores("eb"), r=_RHO.format("za", "zb")))
+def _(spark, d):
+    za, zb, ns = _normal_pair(spark, d)
+    return agg.minmax_nodiag(agg.cov2(za, zb, ns, bounded=True), "c")
+
+
+_RANK = {"z": _scores("e"), "r": _RHO.format("z", "z")}
+
+
+@query("llr_max", fx.with_ctes(f"SELECT {q6('max(x) FILTER (a <> b)', 'dmax')}, 0::BIGINT AS n_nan, 0::BIGINT AS n_negative FROM (SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS x FROM r)", "e", **_RANK))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return agg.finite_max(api.rank_llr(e, e), "llr", nodiag=True)
+
+
+@query("cmprow", fx.with_ctes("SELECT gene::INT AS a, (gene + 100)::INT AS b FROM (SELECT DISTINCT gene FROM ea)", "ea"))
+def _(spark, d):
+    a = fx.emb_a(spark, d)
+    return mismatched_rows(pack(a), pack(fx.emb_b(spark, d).withColumn("gene", F.col("gene") + 100)), False)
+
+
+# --- ratios, p-values --------------------------------------------------------------------
+
+
+@query("rank_llr", fx.with_ctes(f"SELECT a, b, {q6('greatest(0.0, ' + _hl('(1 - rho * rho)') + ')', 'llr')} FROM r WHERE a <> b", "e", **_RANK))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return api.rank_llr(e, e).filter("a <> b")
+
+
+@query("rank_pv", fx.with_ctes(f"SELECT a, b, {q6(special.null_sf_sql('llr', 1, NS - 2), 'p')} FROM (SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS llr FROM r WHERE a <> b)", "e", **_RANK))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return api.rank_pv(e, e).filter("a <> b")
+
+
+_C = ("ea", "eb", "ec")
+_D = ("ea", "eb", "ed")
+_FIVE_L = "SELECT a, b, " + ", ".join(q6(k, k) for k in _L) + " FROM l"
+
+
+@query("cassist_llr", fx.with_ctes(_FIVE_L + " WHERE a <> b", *_C, **_continuous("ec", "ea", "eb")))
+def _(spark, d):
+    return api.cassist_llr(fx.emb_anchor_c(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
+
+
+@query("cassist_pv", fx.with_ctes(_five_pv({1: (1, NS - 2), 2: (1, NS - 2), 3: (1, NS - 3), 4: (2, NS - 3), 5: (1, NS - 3)}) + " WHERE a <> b", *_C, **_continuous("ec", "ea", "eb")))
+def _(spark, d):
+    return api.cassist_pv(fx.emb_anchor_c(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
+
+
+@query("gassist_llr", fx.with_ctes(_FIVE_L + " WHERE a <> b", *_D, **_discrete("ed", "ea", "eb")))
+def _(spark, d):
+    return api.gassist_llr(fx.emb_anchor_d(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
+
+
+@query("gassist_pv", fx.with_ctes(_five_pv(_kv_freedom(NS, 3)) + " WHERE a <> b", *_D, **_discrete("ed", "ea", "eb")))
+def _(spark, d):
+    return api.gassist_pv(fx.emb_anchor_d(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
+
+
+@query("gassist_pv_label", fx.with_ctes(_five_pv(_kv_freedom(NS, 10)) + " WHERE a <> b", "ea", "eb", "el", **_discrete("el", "ea", "eb")))
+def _(spark, d):
+    return api.gassist_pv(fx.emb_anchor_label(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
+
+
+@query("sup_rank_pv", fx.with_ctes(f"SELECT a, b, {q6(special.null_sf_sql('llr', 1, MONTHS - 2), 'p')} FROM (SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS llr FROM r WHERE a <> b)", "sg", z=_scores("sg"), r=_RHO.format("z", "z")))
+def _(spark, d):
+    s = fx.sup_expr(spark, d).persist()
+    return api.rank_pv(s, s).filter("a <> b")
+
+
+@query("sup_gassist_pv", fx.with_ctes(_five_pv(_kv_freedom(MONTHS, 3)) + " WHERE a <> b", "sg", "sd", **_discrete("sd", "sg", "sg")))
+def _(spark, d):
+    s = fx.sup_expr(spark, d).persist()
+    return api.gassist_pv(fx.sup_anchor_d(spark, d), s, s).filter("a <> b")
+
+
+_GRID = [(1, 498), (1, 81), (2, 9), (3, 8), (4, 11), (9, 40)]
+
+
+@query("null_cdf", " UNION ALL ".join(f"SELECT {a} AS n1, {b} AS n2, {q6('x', 'x')}, {q6(special.null_sf_sql('x', a, b), 'q')} FROM (SELECT i / 50.0::DOUBLE AS x FROM range(0, 60) t(i))" for a, b in _GRID))
+def _(spark, d):
+    x = spark.range(60).select((F.col("id") / F.lit(50.0)).alias("x"))
+    out = None
+    for a, b in _GRID:
+        part = x.select(F.lit(a).alias("n1"), F.lit(b).alias("n2"), "x", special.null_sf_column(F.col("x"), a, b).alias("q"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("null_pdf", " UNION ALL ".join(f"SELECT {a} AS n1, {b} AS n2, {q6('x', 'x')}, {q6(f'exp(({a / 2 - 1!r}) * ln(1 - exp(-2 * x)) - {b} * x + ln(2) + lgamma({(a + b) / 2!r}) - lgamma({a / 2!r}) - lgamma({b / 2!r}))', 'd')} FROM (SELECT i / 50.0::DOUBLE AS x FROM range(1, 60) t(i))" for a, b in _GRID))
+def _(spark, d):
+    import numpy as np
+
+    x = np.arange(1, 60) / 50.0
+    return spark.createDataFrame([(a, b, float(u), float(v)) for a, b in _GRID for u, v in zip(x, special.null_pdf(x, a, b))], "n1 int, n2 int, x double, d double")
+
+
+# --- histograms, posteriors, networks ----------------------------------------------------
+
+
+@query("null_hist")
+def _(spark, d):
+    edges, dens = histogram.null_histogram(0.5, 1000, 1, 498)
+    return spark.createDataFrame([(k, float(edges[k]), float(edges[k + 1]), float(v)) for k, v in enumerate(dens)], "bin int, lo double, hi double, dens double")
+
+
+_EDGES = [0.0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.1]
+
+
+@query("real_hist", fx.with_ctes(
+    f"SELECT a, (k - 1)::INT AS bin, count(*)::BIGINT AS cnt, {q6(f'count(*) / (63.0 * (({_EDGES}::DOUBLE[])[k + 1] - ({_EDGES}::DOUBLE[])[k]))', 'dens')} FROM (SELECT a, len(list_filter({_EDGES}::DOUBLE[], lambda z: z <= x)) AS k FROM "
+    f"(SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS x FROM r WHERE a <> b)) WHERE k BETWEEN 1 AND {len(_EDGES) - 1} GROUP BY a, k", "e", **_RANK))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    return agg.real_histogram(api.rank_llr(e, e).filter("a <> b"), "llr", _EDGES, 63)
+
+
+@query("quantile_bins_exact")
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    pairs = api.rank_llr(e, e).filter("a <> b").select("llr").toArrow()  # 4,032 values of a fixed 64 x 64 problem
+    edges = histogram.quantile_bins(pairs.column("llr").to_numpy(), 0.1)
+    return spark.createDataFrame([(k, float(edges[k]), float(edges[k + 1])) for k in range(len(edges) - 1)], "bin int, lo double, hi double")
+
+
+@query("rank_pij")
+def _(spark, d):
+    return api.rank(fx.emb_a(spark, d), fx.emb_b(spark, d), nodiag=True)
+
+
+@query("rank_pij_disjoint")
+def _(spark, d):
+    return api.rank(fx.emb_a(spark, d), fx.emb_expr(spark, d).filter("gene >= 8"))
+
+
+def _assist(f: Callable, anchor: Callable) -> Query:
+    return lambda spark, d: f(anchor(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d), nodiag=True)
+
+
+query("cassist_pijs")(_assist(api.cassist_pijs, fx.emb_anchor_c))
+query("cassist_pij")(_assist(api.cassist, fx.emb_anchor_c))
+query("cassist_pij_trad")(_assist(api.cassist_trad, fx.emb_anchor_c))
+query("gassist_pijs")(_assist(api.gassist_pijs, fx.emb_anchor_d))
+query("gassist_pij")(_assist(api.gassist, fx.emb_anchor_d))
+query("gassist_pij_trad")(_assist(api.gassist_trad, fx.emb_anchor_d))
+
+
+@query("sup_gassist_pijs")
+def _(spark, d):
+    s = fx.sup_expr(spark, d).persist()
+    return api.gassist_pijs(fx.sup_anchor_d(spark, d), s, s, nodiag=True)
+
+
+@query("greedy_dag")
+def _(spark, d):
+    return api.greedy_dag(fx.nation_edges(spark, d))
+
+
+@query("greedy_dag_limits")
+def _(spark, d):
+    return api.greedy_dag(fx.nation_edges(spark, d), nam=100, nimax=5, nomax=6)
+
+
+@query("greedy_dag_info")
+def _(spark, d):
+    return api.greedy_dag_info(fx.nation_edges(spark, d)).drop("seconds")
