@@ -232,25 +232,24 @@ def _streamed(plan: Plan, mode: str):
 
 
 def pack(rows: DataFrame, value: str = "value") -> DataFrame:
-    """(gene, vals): one array per gene, ordered by sample."""
+    """(gene, vals, samples, bad): one array per gene, ordered by sample; what `shape` checks is kept beside it."""
     packed = rows.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("sample", F.col(value).cast("double").alias("value")))).alias("r"))
-    return packed.select(F.col("gene").cast("int").alias("gene"), F.col("r.value").alias("vals"))
+    repeated = F.size("r") - F.size(F.array_distinct(F.col("r.sample")))
+    invalid = F.size(F.filter("r", lambda c: c["sample"].isNull() | c["value"].isNull() | F.isnan(c["value"])))
+    return packed.select(F.col("gene").cast("int").alias("gene"), F.col("r.value").alias("vals"), F.xxhash64("r.sample").alias("samples"), repeated.alias("repeated"), invalid.alias("invalid"))
 
 
-def shape(rows: DataFrame, what: str, value: str = "value") -> tuple[int, int]:
-    """(genes, samples) of a dense table; raises on nulls, NaN, repeated or missing cells."""
-    bad = F.col("gene").isNull() | F.col("sample").isNull() | F.col(value).isNull() | F.isnan(F.col(value).cast("double"))
-    per = rows.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sample").alias("d"), F.sum(bad.cast("int")).alias("bad"))
-    r = per.agg(F.count(F.lit(1)).alias("genes"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("d") - F.col("n")).alias("rep"), F.sum("bad").alias("bad")).first()
+def shape(packed: DataFrame, what: str) -> tuple[int, int, int]:
+    """(genes, samples, hash of the samples) of packed rows; raises on nulls, NaN, repeated or missing cells."""
+    size = F.size("vals")
+    r = packed.agg(F.count(F.lit(1)).alias("genes"), F.min(size).alias("lo"), F.max(size).alias("hi"), F.min("samples").alias("first"), F.max("samples").alias("last"), F.max("repeated").alias("repeated"), F.sum("invalid").alias("invalid"), F.count_if(F.col("gene").isNull()).alias("unnamed")).first()
     if not r["genes"]:
         raise ValueError(f"{what} is empty")
-    if r["bad"]:
-        raise ValueError(f"{what} has {r['bad']} null or NaN cells")
-    if r["rep"] != 0 or r["lo"] != r["hi"]:
+    if r["invalid"] or r["unnamed"]:
+        raise ValueError(f"{what} has {r['invalid']} null or NaN cells and {r['unnamed']} rows without gene")
+    if r["repeated"] or r["first"] != r["last"]:
         raise ValueError(f"{what} isn't dense: every gene needs every sample once")
-    if rows.select("sample").distinct().count() != r["lo"]:
-        raise ValueError(f"{what} isn't dense: genes have different samples")
-    return int(r["genes"]), int(r["lo"])
+    return int(r["genes"]), int(r["lo"]), int(r["first"])
 
 
 @dataclass
@@ -263,30 +262,33 @@ class Pairs:
 
     @classmethod
     def of(cls, t: DataFrame, t2: DataFrame, anchor: DataFrame | None = None, kind: str = "rank", nodiag: bool = False, seed: int = 0) -> Pairs:
-        ng, ns = shape(t, "t")
-        nt, ns2 = shape(t2, "t2")
-        if ns != ns2:
-            raise ValueError(f"t has {ns} samples, t2 has {ns2}")
+        # Packed once; a lost executor costs a recomputation of its part.
+        packed, packed2 = pack(t).persist(), pack(t2).persist()
+        ng, ns, which = shape(packed, "t")
+        nt, ns2, which2 = shape(packed2, "t2")
+        if which != which2:
+            raise ValueError(f"t and t2 have different samples: {ns} and {ns2}")
         if ns < (3 if kind == "rank" else 4):
             raise ValueError(f"{ns} samples are too few")
-        packed = pack(t)
+        packed = packed.select("gene", "vals")
         if anchor is not None:
-            value = "geno" if kind == "discrete" else "value"
-            ne, nse = shape(anchor, "anchor", value)
-            if (ne, nse) != (ng, ns):
-                raise ValueError(f"anchor has {ne} genes and {nse} samples, t has {ng} and {ns}")
+            anchors = pack(anchor, "geno" if kind == "discrete" else "value").persist()
+            ne, nse, which3 = shape(anchors, "anchor")
+            if ne != ng or which3 != which:
+                raise ValueError(f"anchor has {ne} genes and {nse} samples, t has {ng} and {ns}, or they are others")
             if kind == "discrete":
-                worst = anchor.groupBy("gene").agg(F.countDistinct("geno").alias("kv"), F.min("geno").alias("lo")).agg(F.min("kv"), F.max("kv"), F.min("lo"), F.count(F.lit(1))).first()
+                kv = F.size(F.array_distinct("vals"))
+                worst = anchors.agg(F.min(kv), F.max(kv), F.min(F.array_min("vals"))).first()
                 if worst[2] < 0:
                     raise ValueError("genotypes must not be negative")
                 if worst[0] < 2:
                     raise ValueError("an anchor has one genotype only, so no test is defined for it")
                 if ns < worst[1] + 2:
                     raise ValueError(f"{worst[1]} genotypes need {worst[1] + 2} samples, there are {ns}")
-            packed = packed.join(pack(anchor, value).withColumnRenamed("vals", "anchor"), "gene")
+            packed = packed.join(anchors.select("gene", F.col("vals").alias("anchor")), "gene")
             if packed.count() != ng:
                 raise ValueError("anchor and t have different genes")
-        return cls(Plan(kind, ns, nt, nodiag, seed), packed, pack(t2))
+        return cls(Plan(kind, ns, nt, nodiag, seed), packed, packed2.select("gene", "vals"))
 
     def warn_equal_rows(self) -> int:
         """Warn of equal A and B rows under different ids, or unequal ones under the same, as `nodiag` claims."""

@@ -5,6 +5,7 @@ Reals are rounded to six places on both sides; adding 0 turns a negative zero po
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pairwright.operators import histogram, normal, rows
 from pairwright.operators.pairwise import Pairs, mismatched_rows, pack
 from pairwright.plans import api
 from pairwright.plans import fixtures as fx
+from pairwright.plans.posterior_sql import five_ctes, posterior_ctes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,44 +475,92 @@ def _(spark, d):
     return spark.createDataFrame([(k, float(edges[k]), float(edges[k + 1])) for k in range(len(edges) - 1)], "bin int, lo double, hi double")
 
 
-@query("rank_pij")
-def _(spark, d):
-    return api.rank(fx.emb_a(spark, d), fx.emb_b(spark, d), nodiag=True)
+#: The largest ratios of the fixtures at sf0.01, the scale at which oracles are compared; null histograms follow from them.
+_LARGEST = {
+    "rank": {2: 0.01634339937621421},
+    "continuous": {2: 0.010583021340163196, 3: 0.010201138078645868, 4: 0.018650964410605115, 5: 0.015806833259506815},
+    "discrete": {2: 0.013266191500647716, 3: 0.012906282393892349, 4: 0.019278962148889203, 5: 0.01482758263703171},
+    "supplier": {2: 0.11299415929126314, 3: 0.1157620405342543, 4: 0.12031677657475087, 5: 0.11218737030060899},
+}
+#: Oracles that hold at that scale only.
+AT_ONE_SCALE: set[str] = set()
 
 
-@query("rank_pij_disjoint")
-def _(spark, d):
-    return api.rank(fx.emb_a(spark, d), fx.emb_expr(spark, d).filter("gene >= 8"))
+def _rank_oracle(b: str, nodiag: bool) -> str:
+    ratio = f"greatest(0.0, {_hl('(1 - rho * rho)')})"
+    l = f"SELECT a, b, {f'CASE WHEN a = b THEN 0.0 ELSE {ratio} END' if nodiag else ratio} AS l2 FROM r"  # noqa: E741
+    more = {"za": _scores("ea"), "zb": _scores(b), "r": _RHO.format("za", "zb"), "l": l} | posterior_ctes("t2", "l", "l2", _LARGEST["rank"][2], 56, (1, NS - 2), nodiag)
+    return fx.with_ctes(f"SELECT a, b, {q6('p', 'p')} FROM t2", "ea", "eb", **({"ex": "SELECT * FROM e WHERE gene >= 8"} | more))
 
 
-def _assist(f: Callable, anchor: Callable) -> Query:
-    return lambda spark, d: f(anchor(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d), nodiag=True)
+_PIJS = f"SELECT a, b, {', '.join(q6(f'p{t}', f'p{t}') for t in range(1, 6))} FROM pijs"
+_PIJ = f"SELECT a, b, {q6('(p2 * p5 + p4) * 0.5', 'p')} FROM pijs"
+_TRAD = f"SELECT a, b, {q6('p2 * p3', 'p')} FROM pijs"
 
 
-query("cassist_pijs")(_assist(api.cassist_pijs, fx.emb_anchor_c))
-query("cassist_pij")(_assist(api.cassist, fx.emb_anchor_c))
-query("cassist_pij_trad")(_assist(api.cassist_trad, fx.emb_anchor_c))
-query("gassist_pijs")(_assist(api.gassist_pijs, fx.emb_anchor_d))
-query("gassist_pij")(_assist(api.gassist, fx.emb_anchor_d))
-query("gassist_pij_trad")(_assist(api.gassist_trad, fx.emb_anchor_d))
+def _five_oracle(kind: str, final: str) -> str:
+    if kind == "continuous":
+        names, base, freedom = _C, _continuous("ec", "ea", "eb"), {2: (1, NS - 2), 3: (1, NS - 3), 4: (2, NS - 3), 5: (1, NS - 3)}
+    elif kind == "discrete":
+        names, base, freedom = _D, _discrete("ed", "ea", "eb"), _kv_freedom(NS, 3)
+    else:
+        names, base, freedom = ("sg", "sd"), _discrete("sd", "sg", "sg"), _kv_freedom(MONTHS, 3)
+    return fx.with_ctes(final, *names, **base, **five_ctes(_LARGEST[kind], 100 if kind == "supplier" else 56, freedom))
 
 
-@query("sup_gassist_pijs")
-def _(spark, d):
+def _at_one_scale(name: str, sql: str, f: Query) -> None:
+    AT_ONE_SCALE.add(name)
+    query(name, sql)(f)
+
+
+def _assist(f: Callable, anchor: Callable) -> Query:
+    return lambda spark, d: f(anchor(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d), nodiag=True)
+
+
+def _sup_pijs(spark: SparkSession, d: str) -> DataFrame:
     s = fx.sup_expr(spark, d).persist()
     return api.gassist_pijs(fx.sup_anchor_d(spark, d), s, s, nodiag=True)
 
 
-@query("greedy_dag")
+with warnings.catch_warnings():
+    warnings.simplefilter("ignore")  # of few bins: the fixtures have few targets on purpose
+    _at_one_scale("rank_pij", _rank_oracle("eb", True), lambda spark, d: api.rank(fx.emb_a(spark, d), fx.emb_b(spark, d), nodiag=True))
+    _at_one_scale("rank_pij_disjoint", _rank_oracle("ex", False), lambda spark, d: api.rank(fx.emb_a(spark, d), fx.emb_expr(spark, d).filter("gene >= 8")))
+    for _kind, _anchor, _family in (("continuous", fx.emb_anchor_c, (api.cassist_pijs, api.cassist, api.cassist_trad)), ("discrete", fx.emb_anchor_d, (api.gassist_pijs, api.gassist, api.gassist_trad))):
+        for _name, _f, _final in zip(("pijs", "pij", "pij_trad"), _family, (_PIJS, _PIJ, _TRAD)):
+            _at_one_scale(f"{_kind[0].replace('d', 'g')}assist_{_name}", _five_oracle(_kind, _final), _assist(_f, _anchor))
+    _at_one_scale("sup_gassist_pijs", _five_oracle("supplier", _PIJS), _sup_pijs)
+
+
+_EDGES_SQL = (
+    "SELECT row_number() OVER (ORDER BY w DESC, src, dst) AS k, src, dst, w / max(w) OVER () AS p FROM (SELECT c_nationkey::INT AS src, s_nationkey::INT AS dst, sum(l_extendedprice * (1 - l_discount)) AS w "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"
+)
+
+
+def _dag_oracle(final: str, most: int, nimax: int = 99, nomax: int = 99) -> str:
+    """The sequential rule as recursion over edges in order: reach[v] is the set of nodes after v, as bits."""
+    zeros = "[0::BIGINT for i in range(25)]"
+    take = f"(reach[dst + 1] & (1::BIGINT << src)) = 0 AND nin[dst + 1] < {nimax} AND nout[src + 1] < {nomax}"
+    grown = "[CASE WHEN take AND (v - 1 = src OR (reach[v] & (1::BIGINT << src)) <> 0) THEN reach[v] | reach[dst + 1] | (1::BIGINT << dst) ELSE reach[v] END for v in range(1, 26)]"
+    more = "[{0}[v] + (CASE WHEN take AND v - 1 = {1} THEN 1 ELSE 0 END) for v in range(1, 26)]"
+    step = f"SELECT k, {grown}, {more.format('nin', 'dst')}, {more.format('nout', 'src')}, taken + take::INT, take FROM (SELECT e.k, src, dst, reach, nin, nout, taken, {take} AS take FROM run JOIN e ON e.k = run.k + 1 WHERE taken < {most})"
+    return f"WITH RECURSIVE e AS ({_EDGES_SQL}), run(k, reach, nin, nout, taken, ok) AS (SELECT 0::BIGINT, {zeros}, {zeros}, {zeros}, 0, false UNION ALL {step}) {final}"
+
+
+_ACCEPTED = f"SELECT src, dst, {q6('p', 'p')} FROM run JOIN e USING (k) WHERE ok"
+
+
+@query("greedy_dag", _dag_oracle(_ACCEPTED, 300))
 def _(spark, d):
     return api.greedy_dag(fx.nation_edges(spark, d))
 
 
-@query("greedy_dag_limits")
+@query("greedy_dag_limits", _dag_oracle(_ACCEPTED, 100, 5, 6))
 def _(spark, d):
     return api.greedy_dag(fx.nation_edges(spark, d), nam=100, nimax=5, nomax=6)
 
 
-@query("greedy_dag_info")
+@query("greedy_dag_info", _dag_oracle("SELECT src, dst, (CASE WHEN ok IS NULL THEN 0 WHEN ok THEN e.k ELSE -e.k END)::BIGINT AS attempt FROM e LEFT JOIN run ON e.k = run.k", 100, 5, 6))
 def _(spark, d):
-    return api.greedy_dag_info(fx.nation_edges(spark, d)).drop("seconds")
+    return api.greedy_dag_info(fx.nation_edges(spark, d), nam=100, nimax=5, nomax=6).drop("seconds")
