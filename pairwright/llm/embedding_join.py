@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.llm import textscan as ts
 from pairwright.llm.graph import components
 from pairwright.llm.scratch import Scratch
 
@@ -223,7 +224,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, tile: int = 32_768, de
     else:
         nodes = nodes.withColumn("vec_id", F.col("id"))
     depth = depth or (1 if nodes.count() <= 100_000 else 2)
-    cells = nodes.select("id", "weight", "vector").mapInArrow(_cells(limit, depth), f"cell long, block int, home boolean, id long, weight long, vector array<{kind.simpleString()}>")
+    cells = nodes.select("id", "weight", "vector").mapInArrow(ts.tidied(_cells(limit, depth)), f"cell long, block int, home boolean, id long, weight long, vector array<{kind.simpleString()}>")
     sizes = scratch.table(cells.groupBy("cell").count().select("cell", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("g")).filter("g > 1"), "sizes")
     split = cells.join(sizes, "cell", "left") if not sizes.isEmpty() else cells.withColumn("g", F.lit(None).cast("int"))
     g = F.coalesce("g", F.lit(1))
@@ -231,7 +232,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, tile: int = 32_768, de
     split = split.withColumn("low", F.least("chunk", "with")).withColumn("high", F.greatest("chunk", "with"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = split.select("cell", "low", "high", "block", "home", "chunk", "id", "weight", "vector").repartition(4 * n, "cell", "low", "high").sortWithinPartitions("cell", "low", "high")
-    found = scratch.table(dealt.mapInArrow(_search(limit, cosine), "id long, links long, other long"), "found")
+    found = scratch.table(dealt.mapInArrow(ts.tidied(_search(limit, cosine)), "id long, links long, other long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("x"), F.col("other").alias("y")), scratch, "links")
     comp = nodes.select("id", "vec_id", "weight", "h1", "h2", "d").join(links, "id", "left").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")

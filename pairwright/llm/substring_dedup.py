@@ -341,8 +341,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 50_000) -> Dat
     row = "key long, whole long, rid long, first int, last int, at int, state int"
     ranged = "kind int, key long, rid long, first int, last int, at int"
     long = base.filter(F.octet_length("text") >= length).select("rid", "text")
-    parsed = long.mapInArrow(_parse(length), row)
-    found = scratch.table(parsed.repartition(n, "key").sortWithinPartitions("key", "whole").mapInArrow(_repeated, ranged), "found")
+    parsed = long.mapInArrow(ts.tidied(_parse(length)), row)
+    found = scratch.table(parsed.repartition(n, "key").sortWithinPartitions("key", "whole").mapInArrow(ts.tidied(_repeated), ranged), "found")
     whole = found.filter("kind = 0").select("rid", "first", "last")
     marked = found.filter("kind > 0")
     groups = scratch.table(marked.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("kind").alias("k")).filter("k = 2").select("key", (F.col("m") > hot).alias("hot")), "groups")
@@ -351,12 +351,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 50_000) -> Dat
     texts = long.dropDuplicates(["rid"]) if bool(base.groupBy("rid").count().filter("count > 1").limit(1).count()) else long
     here = scratch.table(texts.join(marks, "rid"), "marked")
     some = here.withColumn("marks", F.filter("marks", lambda m: ~m["hot"])).filter(F.size("marks") > 0)
-    context = some.mapInArrow(_contexts(length), "key long, kind int, rid long, at int, low int, high int, before binary, after binary")
-    ranges = whole.unionByName(context.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_combined(length), "rid long, first int, last int"))
+    context = some.mapInArrow(ts.tidied(_contexts(length)), "key long, kind int, rid long, at int, low int, high int, before binary, after binary")
+    ranges = whole.unionByName(context.repartition(n, "key").sortWithinPartitions("key").mapInArrow(ts.tidied(_combined(length)), "rid long, first int, last int"))
     if not groups.filter("hot").isEmpty():
-        strings = here.withColumn("marks", F.filter("marks", lambda m: m["hot"])).filter(F.size("marks") > 0).mapInArrow(_strings(length), row)
-        more = strings.repartition(n, "key").sortWithinPartitions("key", "whole").mapInArrow(_repeated, ranged)
+        strings = here.withColumn("marks", F.filter("marks", lambda m: m["hot"])).filter(F.size("marks") > 0).mapInArrow(ts.tidied(_strings(length)), row)
+        more = strings.repartition(n, "key").sortWithinPartitions("key", "whole").mapInArrow(ts.tidied(_repeated), ranged)
         ranges = ranges.unionByName(more.filter("kind = 0").select("rid", "first", "last"))
     per = ranges.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     rows = base.join(per, "rid", "left").select("doc_id", "text", "ranges")
-    return rows.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept binary")
+    return rows.mapInArrow(ts.tidied(_cut(length)), "doc_id long, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept binary")

@@ -8,6 +8,8 @@ value per byte, a polynomial modulo 2**64, and a final mix.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
+if not hasattr(_LIBC, "malloc_trim"):  # not glibc
+    _LIBC = None
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Texts are scanned in slices of about so many bytes, so that memory doesn't follow the Arrow batch.
@@ -43,7 +48,7 @@ _POWERS = [np.ones(1, U64), np.ones(1, U64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, SLICE_BYTES + 4096)
         for i, b in enumerate((_BASE, _INVERSE)):
             p = np.full(size, b, dtype=U64)
             p[0] = 1
@@ -55,7 +60,9 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets): null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    column = column.cast(pa.large_string())
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -65,6 +72,25 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidied(run):
+    """A batch function that tidies up after its task."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return go
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1

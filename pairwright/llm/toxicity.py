@@ -115,7 +115,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, top: int = 4096, fairness: float = 4.0, sparsity: float = 5e-4, rounds: int = 300, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, top: int = 4096, fairness: float = 4.0, sparsity: float = 5e-4, rounds: int = 300, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
     """Fit on a bounded sample: at most `per_class` labelled documents of either class.
 
     Documents are sets of hashed words and word beginnings, each in two forms: it occurs, it occurs again.  The `top` features whose
@@ -126,13 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, top: int = 40
     moves the score little, however it was distributed over the labels.  Scores depend on
     the text only.  Without rows of both classes the model is the constant 0.5, or the only class seen: 0 or 1 smoothed.
     """
-    rows = labelled_sample(docs, labels, per_class).mapInArrow(_featurised, "doc_id long, toxic int, features binary").collect()
-    seen: dict[tuple, None] = {(r["doc_id"], r["toxic"], bytes(r["features"])): None for r in rows}
-    ordered = sorted(seen)
-    y = np.array([t for _, t, _ in ordered], float)
+    rows = labelled_sample(docs, labels, per_class).mapInArrow(ts.tidied(_featurised), "doc_id long, toxic int, features binary").toArrow()
+    features = rows.column("features").combine_chunks() if rows.num_rows else pa.array([], pa.binary())
+    ids, toxic = (rows.column(c).to_pylist() for c in ("doc_id", "toxic"))
+    order: dict[tuple, int] = {}  # rows that repeat a document count once
+    for k in sorted(range(len(ids)), key=lambda k: (ids[k], toxic[k], features[k].as_py())):
+        order.setdefault((ids[k], toxic[k], hash(features[k].as_py())), k)
+    chosen = list(order.values())
+    y = np.array([toxic[k] for k in chosen], float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, U64), np.zeros(0), 0.0 if not len(y) else float(np.sign(y[0] - 0.5) * np.log1p(len(y))))
-    sets = [np.frombuffer(f, U64) for _, _, f in ordered]
+    sets = [np.frombuffer(features[k].as_buffer(), U64) for k in chosen]
     every = np.concatenate(sets)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     hashes, index = np.unique(every, return_inverse=True)
@@ -215,7 +219,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             s = model.scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(ts.tidied(run), "doc_id long, score double, predicted int")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -233,4 +237,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
             keep = model.scores(batch.column(names.index("text"))) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(ts.tidied(run), schema)
