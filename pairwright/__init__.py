@@ -1,3 +1,5 @@
 """Pairwise inference and network reconstruction over Spark DataFrames."""
 
-__version__ = "0.1.0"
+NAME = "pairwright"
+VERSION_INFO = (0, 1, 0)
+__version__ = ".".join(map(str, VERSION_INFO))

@@ -115,6 +115,19 @@ def null_histogram(dmax: float, n: int, n1: int, n2: int) -> tuple[np.ndarray, n
     return _null_histogram(float(dmax), n, n1, n2)
 
 
+def null_histograms(dmax: dict[int, float], n: int, freedom, classes: list[int]) -> list[tuple[int, int, int, float, float, float]]:
+    """(test, kv, bin, lo, hi, density) of every test and class count; `freedom(test, kv)` gives its degrees of freedom.
+
+    One set per class count, whatever the number of variables: at most a hundred rows for each test and class.
+    """
+    out = []
+    for test in sorted(dmax):
+        for kv in classes:
+            edges, dens = null_histogram(dmax[test], n, *freedom(test, kv))
+            out += [(test, kv, k, float(edges[k]), float(edges[k + 1]), float(v)) for k, v in enumerate(dens)]
+    return out
+
+
 def split_sizing(n: int, rate: float) -> tuple[float, int]:
     """(quantile up to which bins have equal counts, their number) for n values."""
     split, nbin = min(1 - rate * 5 / math.sqrt(n), 0.9995), min(int(math.sqrt(math.sqrt(n)) - rate * 5), MOST_BINS)

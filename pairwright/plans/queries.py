@@ -15,7 +15,7 @@ from pairwright.functions import special
 from pairwright.operators import aggregate as agg
 from pairwright.operators import elementwise as el
 from pairwright.operators import histogram, normal, rows
-from pairwright.operators.pairwise import Pairs, mismatched_rows, pack
+from pairwright.operators.pairwise import Plan, mismatched_rows, pack
 from pairwright.plans import api
 from pairwright.plans import fixtures as fx
 from pairwright.plans.posterior_sql import five_ctes, posterior_ctes
@@ -456,6 +456,15 @@ def _(spark, d):
     return spark.createDataFrame([(k, float(edges[k]), float(edges[k + 1]), float(v)) for k, v in enumerate(dens)], "bin int, lo double, hi double, dens double")
 
 
+@query("null_hist_classes")
+def _(spark, d):
+    plan = Plan("discrete", NS, 56)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        rows_ = histogram.null_histograms(_LARGEST["discrete"], 56, plan.freedom, [2, 3, 10])
+    return spark.createDataFrame(rows_, "test int, kv int, bin int, lo double, hi double, dens double")
+
+
 _EDGES = [0.0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.1]
 
 
