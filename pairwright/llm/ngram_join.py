@@ -4,9 +4,9 @@ Two texts link when their sets of word shingles have Jaccard similarity of at le
 `num / den`.  The search follows DivideSkip, dealt over a cluster.  All shingles have one global order, rare
 before common.  A text's rarest shingles, just enough that no linked pair can miss each
 other in them, are its *short lists*: they are merged by a distributed sort, and a pair
-is a candidate where the merge meets it often enough that the long lists could still
-bring it to the required overlap.  The rest, the *long lists*, are never merged; they
-are probed by binary search in the sorted set of a candidate.
+is a candidate where the merge meets it early enough, and often enough, that the rest of
+both sets could still bring it to the required overlap.  The rest, the *long lists*, are never merged;
+they are probed by binary search in the sorted set of a candidate.
 
 Skew.  Equal sets are one node from the start.  Where a short list holds very many nodes
 (a large group of near copies), its pairs aren't made: neighbours in four random
@@ -96,7 +96,7 @@ def _prefixes(words: int, sketch: np.ndarray, bits: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sig, node, size = [], [], []
+            sig, node, size = [], [], []  # a shingle's place in its text follows from its position here
             for _, s in _sets(batch, words):
                 if not len(s):
                     continue
@@ -115,71 +115,79 @@ def _prefixes(words: int, sketch: np.ndarray, bits: int, num: int, den: int):
             if lengths:
                 flat = np.concatenate(sig)
                 fps = np.repeat(np.array(node, U64), lengths)
-                yield pa.RecordBatch.from_arrays([ts.long_array(flat), ts.long_array(_rotated(fps, flat & U64(3))), pa.array(np.repeat(np.array(size, np.int32), lengths))], ["sig", "o", "n"])
+                rest = np.concatenate([np.arange(k, k - m, -1, dtype=np.int32) for k, m in zip(size, lengths)])
+                yield pa.RecordBatch.from_arrays([ts.long_array(flat), ts.long_array(_rotated(fps, flat & U64(3))), pa.array(np.repeat(np.array(size, np.int32), lengths)), pa.array(rest)], ["sig", "o", "n", "rest"])
 
     return run
 
 
-def _needed(na, nb, num: int, den: int):
-    """Overlap that a pair must have, and how much of it must be met in the short lists."""
-    t = -(-num * (na + nb) // (num + den))
-    rest = -(-num * np.maximum(na, nb) // den) - 1
-    return t, np.maximum(1, t - rest)
+def _may_link(na, ra, nb, rb, num: int, den: int):
+    """Whether two sets of na and nb shingles can link if this shingle is the first they share.
+
+    ra and rb are how many shingles each has from this one on, in the global order: the overlap is at
+    most the smaller.  A linked pair passes at its first common shingle, which is in the short lists of both.
+    """
+    return -(-num * (na + nb) // (num + den)) <= np.minimum(ra, rb)
 
 
 def _lists(short: int, num: int, den: int):
-    """Merge sorted lists.  kind 0: a pair met once in a short list; 1: a pair to verify; 2: a member of a long list."""
-    names = ["kind", "a", "b", "na", "nb"]
+    """Merge sorted lists.  kind 0: a pair and how often short lists met it; 1: the same, and one of them may be
+    its first common shingle; 2: neighbours in a long list; 3: a member of one."""
+    names = ["kind", "a", "b", "na", "nb", "c"]
 
-    def emit(kind: int, a, b, na, nb) -> pa.RecordBatch:
+    def emit(a, b, na, nb, near) -> pa.RecordBatch:
         swap = a > b
         a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), ts.long_array(a), ts.long_array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32))], names)
+        order = np.lexsort((b, a))
+        a, b, na, nb, near = a[order], b[order], na[order], nb[order], near[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        count, kind = np.diff(np.r_[first, len(a)]), np.maximum.reduceat(near, first)
+        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), ts.long_array(a[first]), ts.long_array(b[first]), *(pa.array(x.astype(np.int32)) for x in (na[first], nb[first], count))], names)
 
-    def work(sig, o, n) -> Iterator[pa.RecordBatch]:
+    def work(sig, o, n, rest) -> Iterator[pa.RecordBatch]:
         new = np.empty(len(sig), bool)
         new[0] = True
         new[1:] = (sig[1:] != sig[:-1]) | (o[1:] != o[:-1])
-        sig, o, n = sig[new], o[new], n[new]
+        sig, o, n, rest = sig[new], o[new], n[new], rest[new]
         fp = _rotated(o, (U64(4) - (sig & U64(3))) & U64(3))
         start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         length = np.diff(np.r_[start, len(sig)])
         mine = np.repeat(length, length)
         small = np.flatnonzero((mine > 1) & (mine <= short))
         if len(small):
-            s, f, m = sig[small], fp[small], n[small]
+            s, f, m, r = sig[small], fp[small], n[small], rest[small]
+            held: list[tuple] = []
             for lag in range(1, short):
                 at = np.flatnonzero(s[lag:] == s[:-lag])
                 if not len(at):
                     break
                 x, y = at, at + lag
                 ok = den * np.minimum(m[x], m[y]) >= num * np.maximum(m[x], m[y])
-                x, y = x[ok], y[ok]
-                if len(x):
-                    yield emit(0, f[x], f[y], m[x], m[y])
+                held.append((x[ok], y[ok]))
+            x, y = (np.concatenate(k) for k in zip(*held)) if held else (small[:0], small[:0])
+            if len(x):
+                yield emit(f[x], f[y], m[x], m[y], _may_link(m[x], r[x], m[y], r[y], num, den).astype(np.int32))
         big = np.flatnonzero(mine > short)
         if len(big):
             s, f, m = sig[big], fp[big], n[big]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), 2, np.int32)), ts.long_array(s), ts.long_array(f), pa.array(m.astype(np.int32)), pa.array(np.zeros(len(s), np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), 3, np.int32)), ts.long_array(s), ts.long_array(f), pa.array(m.astype(np.int32)), pa.array(rest[big].astype(np.int32)), pa.array(np.zeros(len(s), np.int32))], names)
             x = np.flatnonzero((s[1:] == s[:-1]) & (den * np.minimum(m[1:], m[:-1]) >= num * np.maximum(m[1:], m[:-1])))
-            pairs = np.unique(np.stack([np.minimum(f[x], f[x + 1]), np.maximum(f[x], f[x + 1])], 1), axis=0, return_index=True)[1]
-            x = x[pairs]
             if len(x):
-                yield emit(1, f[x], f[x + 1], m[x], m[x + 1])
+                yield emit(f[x], f[x + 1], m[x], m[x + 1], np.full(len(x), 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows = 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy().view(U64), batch.column(2).to_numpy()))
+            held.append((batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy().view(U64), batch.column(2).to_numpy(), batch.column(3).to_numpy()))
             rows += len(batch)
             if rows < 200_000 or not len(batch):
                 continue
-            sig, o, n = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.flatnonzero(sig == sig[-1])[0])  # the last list may go on
+            cols = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])  # the last list may go on
             if cut:
-                yield from work(sig[:cut], o[:cut], n[:cut])
-            held, rows = [(sig[cut:], o[cut:], n[cut:])], len(sig) - cut
+                yield from work(*(x[:cut] for x in cols))
+            held, rows = [tuple(x[cut:] for x in cols)], len(cols[0]) - cut
         if rows:
             yield from work(*(np.concatenate(x) for x in zip(*held)))
 
@@ -187,24 +195,39 @@ def _lists(short: int, num: int, den: int):
 
 
 def _across(num: int, den: int):
-    """Pairs of members of different components within each list, sorted by (sig, component)."""
+    """Candidate pairs of members of different components within each list."""
 
-    def work(sig, comp, fp, n) -> Iterator[pa.RecordBatch]:
+    def work(sig, comp, fp, n, rest) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])
+        out: list[tuple] = []
+        made = 0
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            c = comp[a:b]
-            nxt = np.searchsorted(c, c, "right")  # where the next component begins
-            for i in np.flatnonzero(nxt < b - a).tolist():
-                j = np.arange(a + nxt[i], b)
-                j = j[den * np.minimum(n[j], n[a + i]) >= num * np.maximum(n[j], n[a + i])]
-                if len(j):
-                    x = np.full(len(j), fp[a + i], U64)
-                    swap = x > fp[j]
-                    yield pa.RecordBatch.from_arrays([ts.long_array(np.where(swap, fp[j], x)), ts.long_array(np.where(swap, x, fp[j])), pa.array(np.where(swap, n[j], n[a + i]).astype(np.int32)), pa.array(np.where(swap, n[a + i], n[j]).astype(np.int32))], ["a", "b", "na", "nb"])
+            # No partner is smaller than the smallest of the list, nor than a text can link with.
+            least = np.maximum(n[a:b].min(), -(-num * n[a:b] // den))
+            at = a + np.flatnonzero(_may_link(n[a:b], rest[a:b], least, rest[a:b], num, den))
+            for i in range(0, len(at), 256):
+                x, y = at[i : i + 256, None], at[None, i + 1 :]
+                ok = _may_link(n[x], rest[x], n[y], rest[y], num, den) & (comp[x] != comp[y])
+                u, v = np.nonzero(ok)
+                u, v = at[i + u], at[i + 1 + v]
+                u, v = u[u < v], v[u < v]
+                if len(u):
+                    out.append((np.minimum(fp[u], fp[v]), np.maximum(fp[u], fp[v])))
+                    made += len(u)
+                if made > 500_000:
+                    yield _distinct(out)
+                    out, made = [], 0
+        if out:
+            yield _distinct(out)
 
     return _by_list(work)
 
 
+def _distinct(pairs: list[tuple]) -> pa.RecordBatch:
+    p = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([ts.long_array(p[:, 0]), ts.long_array(p[:, 1])], ["a", "b"])
+
+
 def _to_hubs(num: int, den: int, hubs: int = 3):
     """Pairs of each list's members with its hubs, where components differ.
 
@@ -212,7 +235,7 @@ def _to_hubs(num: int, den: int, hubs: int = 3):
     of each component of the list only the best counts.  Rows are sorted by (sig, rank).
     """
 
-    def work(sig, comp, fp, n) -> Iterator[pa.RecordBatch]:
+    def work(sig, comp, fp, n, rest) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])
         out: list[tuple] = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -223,21 +246,20 @@ def _to_hubs(num: int, den: int, hubs: int = 3):
                 if len(j):
                     out.append((np.minimum(fp[j], fp[h]), np.maximum(fp[j], fp[h])))
         if out:
-            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([ts.long_array(pairs[:, 0]), ts.long_array(pairs[:, 1])], ["a", "b"])
+            yield _distinct(out)
 
     return _by_list(work)
 
 
 def _by_list(work):
-    """Feed whole lists to `work`: columns sig, comp, fp, n, sorted by sig."""
+    """Feed whole lists to `work`: columns sig, comp, fp, n, rest, sorted by sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not len(batch):
                 continue
-            now = [batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U64), batch.column(3).to_numpy()]
+            now = [batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U64), batch.column(3).to_numpy(), batch.column(4).to_numpy()]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             if len(held[0]) < 50_000:
                 continue
@@ -282,10 +304,10 @@ class _Join:
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
 
     def scan(self) -> None:
-        t = self.scratch.table(self.docs.mapInArrow(_scanner(self.words, self.bits), "doc_id long, n int, fp long, slice int, counts binary"), "scan")
+        t = self.scratch.table(self.docs.mapInArrow(ts.tidied(_scanner(self.words, self.bits)), "doc_id long, n int, fp long, slice int, counts binary"), "scan")
         self.rows = t.filter("slice is null").select("doc_id", "n", "fp")
         parts = max(1, (1 << self.bits) // _SLICE)
-        merged = t.filter("slice is not null").select("slice", "counts").repartition(parts, "slice").mapInArrow(_merge_slices, "slice int, counts binary").collect()
+        merged = t.filter("slice is not null").select("slice", "counts").repartition(parts, "slice").mapInArrow(ts.tidied(_merge_slices), "slice int, counts binary").collect()
         sketch = np.zeros(1 << self.bits, np.int64)  # 2**bits counters, whatever the input
         for r in merged:
             part = np.frombuffer(r["counts"], np.int64)
@@ -296,24 +318,24 @@ class _Join:
 
     def merge(self) -> None:
         spark = self.docs.sparkSession
-        pre = self.docs.mapInArrow(_prefixes(self.words, self.sketch, self.bits, self.num, self.den), "sig long, o long, n int")
+        pre = self.docs.mapInArrow(ts.tidied(_prefixes(self.words, self.sketch, self.bits, self.num, self.den)), "sig long, o long, n int, rest int")
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.total * (self.den - self.num) // self.den // 1_000_000)
-        lists = pre.repartition(tasks, "sig").sortWithinPartitions("sig", "o").mapInArrow(_lists(self.short, self.num, self.den), "kind int, a long, b long, na int, nb int")
+        lists = pre.repartition(tasks, "sig").sortWithinPartitions("sig", "o").mapInArrow(ts.tidied(_lists(self.short, self.num, self.den)), "kind int, a long, b long, na int, nb int, c int")
         lists = self.scratch.table(lists, "lists")
-        met = lists.filter("kind < 2").groupBy("a", "b", "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("c"), F.max("kind").alias("try"))
-        self.met = self.scratch.table(met.withColumn("need", self.need()), "met")
-        self.long = lists.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("fp"), F.col("na").alias("n"))
-
-    def need(self):
-        """How often a pair must be met in its short lists: see `_needed`."""
-        up = lambda a, b: F.ceil(a / F.lit(b))  # noqa: E731  sizes stay far below 2**53
-        t = up((F.col("na") + F.col("nb")) * self.num, self.num + self.den)
-        rest = up(F.greatest("na", "nb") * self.num, self.den) - 1
-        return F.greatest(F.lit(1).cast("long"), t - rest)
+        self.long = lists.filter("kind = 3").select(F.col("a").alias("sig"), F.col("b").alias("fp"), F.col("na").alias("n"), F.col("nb").alias("rest"))
+        met = lists.filter("kind < 3").groupBy("a", "b", "na", "nb").agg(F.sum(F.when(F.col("kind") < 2, F.col("c")).otherwise(0)).alias("c"), F.max((F.col("kind") == 1).cast("int")).alias("near"), F.max((F.col("kind") == 2).cast("int")).alias("next"))
+        # Of the overlap that a pair must have, what can lie beyond the short lists of either doesn't count; long lists may hold the rest.
+        up = lambda x, d: F.ceil(x * self.num / F.lit(float(d)))  # noqa: E731  sizes stay far below 2**53
+        need = F.greatest(F.lit(1).cast("long"), up(F.col("na") + F.col("nb"), self.num + self.den) - (up(F.greatest("na", "nb"), self.den) - 1))
+        more = self.long.groupBy("fp").agg(F.count(F.lit(1)).alias("m"))
+        met = met.filter("near = 1 or next = 1").withColumn("need", need)
+        met = met.join(more.select(F.col("fp").alias("a"), F.col("m").alias("ma")), "a", "left").join(more.select(F.col("fp").alias("b"), F.col("m").alias("mb")), "b", "left")
+        met = met.filter((F.col("next") == 1) | (F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= F.col("need")))
+        self.met = self.scratch.table(met.select("a", "b"), "met")
 
     def texts(self) -> None:
         """The texts that any verification may read, one per node."""
-        nodes = self.met.filter("c >= need or try = 1").select(F.explode(F.array("a", "b")).alias("fp")).union(self.long.select("fp")).distinct()
+        nodes = self.met.select(F.explode(F.array("a", "b")).alias("fp")).union(self.long.select("fp")).distinct()
         ids = self.classes.join(nodes, "fp", "left_semi").select("id", "fp")
         one = self.docs.join(ids, self.docs["doc_id"] == ids["id"]).select("fp", "text")
         self.cand = self.scratch.table(one.dropDuplicates(["fp"]) if self.repeats else one, "texts")
@@ -326,14 +348,14 @@ class _Join:
         mine = pairs.select("a", "part").distinct().join(self.cand, F.col("a") == self.cand["fp"]).select(F.col("a").alias("x"), F.col("a").alias("y"), F.lit(0).alias("kind"), "part", "text")
         n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = mine.union(other).repartition(n, "x", "part").sortWithinPartitions("x", "part", "kind")
-        return self.scratch.table(rows.select("x", "y", "kind", "text").mapInArrow(_verify(self.words, self.num, self.den), "x long, y long"), name)
+        return self.scratch.table(rows.select("x", "y", "kind", "text").mapInArrow(ts.tidied(_verify(self.words, self.num, self.den)), "x long, y long"), name)
 
     def mixed(self, comp: DataFrame, *order) -> DataFrame:
-        """Members (sig, comp, fp, n) of the long lists that hold more than one component, in the given order."""
+        """Members (sig, comp, fp, n, rest) of the long lists that hold more than one component, in the given order."""
         own = self.long.join(comp, self.long["fp"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "fp"))
         several = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
         n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return own.join(several, "sig", "left_semi").repartition(n, "sig").sortWithinPartitions("sig", *order).select("sig", "comp", "fp", "n")
+        return own.join(several, "sig", "left_semi").repartition(n, "sig").sortWithinPartitions("sig", *order).select("sig", "comp", "fp", "n", "rest")
 
     def run(self) -> DataFrame:
         s = self.scratch
@@ -341,24 +363,20 @@ class _Join:
         self.repeats = bool(self.rows.groupBy("doc_id").count().filter("count > 1").limit(1).count())
         self.merge()
         self.texts()
-        done = self.met.filter("c >= need or try = 1").select("a", "b")
+        done = self.met
         links = self.verify(done, "links-0")
         comp = components(links, s, "comp-0")
         rank = self.long.groupBy("fp").agg(F.count(F.lit(1)).alias("lists"))
         self.long = s.table(self.long.join(rank, "fp"), "long")
         for k in range(1, self.rounds + 1):
-            pairs = self.mixed(comp, F.col("lists").desc(), "fp").mapInArrow(_to_hubs(self.num, self.den), "a long, b long").distinct()
+            pairs = self.mixed(comp, F.col("lists").desc(), "fp").mapInArrow(ts.tidied(_to_hubs(self.num, self.den)), "a long, b long").distinct()
             pairs = s.table(pairs.join(done, ["a", "b"], "left_anti"), f"hubs-{k}")
             if pairs.isEmpty():
                 break
             done = done.unionByName(pairs)
             links = links.unionByName(self.verify(pairs, f"links-{k}"))
             comp = components(links, s, f"comp-{k}")
-        cross = self.mixed(comp, "comp").mapInArrow(_across(self.num, self.den), "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m"))
-        before = self.met.select(F.col("a").alias("pa"), F.col("b").alias("pb"), "c")
-        cross = cross.withColumn("need", self.need()).join(before, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left")
-        # Met often enough over all short lists, and not yet verified.
-        cross = cross.filter(F.col("m") + F.coalesce("c", F.lit(0)) >= F.col("need")).select("a", "b")
+        cross = self.mixed(comp, "comp").mapInArrow(ts.tidied(_across(self.num, self.den)), "a long, b long").distinct()
         cross = s.table(cross.join(done, ["a", "b"], "left_anti"), "cross")
         if not cross.isEmpty():
             comp = components(links.unionByName(self.verify(cross, "links-cross")), s, "comp-cross")
