@@ -298,9 +298,9 @@ def _verify(words: int, num: int, den: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, words: int, num: int, den: int, short: int, bits: int, rounds: int) -> None:
+    def __init__(self, docs: DataFrame, words: int, num: int, den: int, short: int, bits: int, rounds: int, tile: int) -> None:
         self.docs = docs.select("doc_id", "text").filter("doc_id is not null")
-        self.words, self.num, self.den, self.short, self.bits, self.rounds = words, num, den, short, bits, rounds
+        self.words, self.num, self.den, self.short, self.bits, self.rounds, self.tile = words, num, den, short, bits, rounds, tile
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
 
     def scan(self) -> None:
@@ -350,12 +350,29 @@ class _Join:
         rows = mine.union(other).repartition(n, "x", "part").sortWithinPartitions("x", "part", "kind")
         return self.scratch.table(rows.select("x", "y", "kind", "text").mapInArrow(ts.tidied(_verify(self.words, self.num, self.den)), "x long, y long"), name)
 
-    def mixed(self, comp: DataFrame, *order) -> DataFrame:
-        """Members (sig, comp, fp, n, rest) of the long lists that hold more than one component, in the given order."""
-        own = self.long.join(comp, self.long["fp"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "fp"))
-        several = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
+    def mixed(self, comp: DataFrame) -> DataFrame:
+        """Members (sig, comp, fp, n, rest, lists, least) of the long lists that hold more than one component; least: smallest n there."""
+        own = self.long.join(comp, self.long["fp"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "fp")).drop("node", "component")
+        several = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo < hi").select("sig", "least")
+        return own.join(several, "sig")
+
+    def dealt(self, members: DataFrame, pairs: bool, salt: int, *order) -> DataFrame:
+        """The lists, each for one task; one of more than `tile` members in random chunks.
+
+        For `pairs`, every two chunks of a list meet in a task of their own; else chunks stay
+        apart, and another `salt` mixes them anew.  The first column tells lists, or their tiles, apart.
+        """
+        g = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(self.tile))).cast("int").alias("g")).filter("g > 1")
+        g = F.coalesce("g", F.lit(1)), members.join(g, "sig", "left")
+        rows = g[1].withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(salt)), g[0]).cast("int"))
+        if pairs:
+            rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), g[0] - 1)))
+            tile = F.struct(F.least("chunk", "with"), F.greatest("chunk", "with"))
+        else:
+            tile = F.struct("chunk")
+        rows = rows.withColumn("sig", F.when(F.col("g").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", tile)))
         n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return own.join(several, "sig", "left_semi").repartition(n, "sig").sortWithinPartitions("sig", *order).select("sig", "comp", "fp", "n", "rest")
+        return rows.repartition(n, "sig").sortWithinPartitions("sig", *order).select("sig", "comp", "fp", "n", "rest")
 
     def run(self) -> DataFrame:
         s = self.scratch
@@ -369,14 +386,18 @@ class _Join:
         rank = self.long.groupBy("fp").agg(F.count(F.lit(1)).alias("lists"))
         self.long = s.table(self.long.join(rank, "fp"), "long")
         for k in range(1, self.rounds + 1):
-            pairs = self.mixed(comp, F.col("lists").desc(), "fp").mapInArrow(ts.tidied(_to_hubs(self.num, self.den)), "a long, b long").distinct()
+            pairs = self.dealt(self.mixed(comp), False, k, F.col("lists").desc(), "fp").mapInArrow(ts.tidied(_to_hubs(self.num, self.den)), "a long, b long").distinct()
             pairs = s.table(pairs.join(done, ["a", "b"], "left_anti"), f"hubs-{k}")
             if pairs.isEmpty():
                 break
             done = done.unionByName(pairs)
             links = links.unionByName(self.verify(pairs, f"links-{k}"))
             comp = components(links, s, f"comp-{k}")
-        cross = self.mixed(comp, "comp").mapInArrow(ts.tidied(_across(self.num, self.den)), "a long, b long").distinct()
+        # Members that may meet a partner first here: none is smaller than the list's smallest, nor than a text can link with.
+        members = self.mixed(comp)
+        least = F.greatest("least", F.ceil(F.col("n") * self.num / F.lit(float(self.den))))
+        members = members.filter(F.ceil((F.col("n") + least) * self.num / F.lit(float(self.num + self.den))) <= F.col("rest"))
+        cross = self.dealt(members, True, 0, "comp").mapInArrow(ts.tidied(_across(self.num, self.den)), "a long, b long").distinct()
         cross = s.table(cross.join(done, ["a", "b"], "left_anti"), "cross")
         if not cross.isEmpty():
             comp = components(links.unionByName(self.verify(cross, "links-cross")), s, "comp-cross")
@@ -388,14 +409,15 @@ class _Join:
         return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3, tile: int = 16_384) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs` with a doc_id.
 
     `num / den` is the similarity, `short` the length from which a short list is treated
-    by components first, `rounds` how often its members are tried against hubs, `bits` the
-    size of the table of counters that orders the shingles; these three don't change the result.  Null and empty texts have no shingle and
+    by components first, `rounds` how often its members are tried against hubs, `tile` how
+    many of them a task takes, `bits` the size of the table of counters that orders the
+    shingles; these four don't change the result.  Null and empty texts have no shingle and
     stay alone; texts of fewer than `words` words are one shingle, their whole sequence.
     Rows without doc_id have no place in the result; rows that repeat an id are one row
     each.  Other columns are ignored; an empty table gives an empty result.
     """
-    return _Join(docs, words, num, den, short, bits, rounds).run()
+    return _Join(docs, words, num, den, short, bits, rounds, tile).run()
