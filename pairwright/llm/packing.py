@@ -2,8 +2,8 @@
 
 Every text becomes token ids and an end mark.  Full windows of a long document are sequences as they
 are; its rest, and every shorter document, is packed with what resembles it.  Documents
-are dealt into shards by their most telling term (highest tf-idf), so that neighbours
-meet; a term of too many tokens is spread over several shards.  A shard builds a BM25
+are dealt into shards by their most telling term (frequency times rarity of the id in the
+vocabulary), so that neighbours meet; a term of too many tokens is spread over several shards.  A shard builds a BM25
 inverted index of its documents and then fills windows: the seed's telling terms query the
 index, unused documents follow in order of score, and the last is cut where the window
 ends; its rest is the next seed.  What remains of a shard at the end is cut into sequences
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from pairwright.llm import textscan as ts
 from pairwright.llm.ngram_join import _merge_slices
 from pairwright.llm.scratch import Scratch
-from pairwright.llm.tokens import word_tokenizer
+from pairwright.llm.tokens import rank_merges, word_tokenizer
 
 K1, B = 1.2, 0.75
 #: Terms of a seed that query the index.
 QUERY_TERMS = 16
+#: Bytes of texts that are tokenised together.
+TOGETHER = 4 << 20
 _SLICE = 1 << 13
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -35,61 +37,43 @@ def _arrays(columns: list, names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def _tokenise(path: str, end: int, window: int):
+def _tokenise(path: str, by_rank: bool, end: int, window: int):
     """kind 0: a full window as a sequence; 1: the rest of a document, to be packed; 2: document frequencies, by slice."""
-    names = ["kind", "doc_id", "start", "doc_tokens", "ids", "slice", "counts"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["kind", "doc_id", "start", "doc_tokens", "ids", "term", "slice", "counts"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = word_tokenizer(path)
+        tok = word_tokenizer(path, by_rank)
         code = np.dtype(f"<u{tok.width}")
         mark = np.array([end], code).tobytes()
         size = -(-max(tok.size, end + 1) // _SLICE) * _SLICE
         counts = np.zeros(size, np.int64)
         full = window * tok.width
+        # Ids follow the order of merges, frequent ones first: log id is a fixed stand-in for idf, known before any count.
+        rarity = np.log1p(np.arange(size)).astype(np.float32)
+        rarity[end] = 0
         for batch in batches:
             data, off = ts.text_bytes(batch.column("text"))
             doc = batch.column("doc_id")
-            for i, j in ts.slices(off):
+            for i, j in ts.slices(off, TOGETHER):
                 rows: list[list] = [[] for _ in names]
                 raw = data[off[i] : off[j]].tobytes()
                 texts = [raw[a - off[i] : b - off[i]] for a, b in zip(off[i:j], off[i + 1 : j + 1])]
                 for k, ids in enumerate(tok.encode(texts)):
                     ids += mark
                     n = len(ids) // tok.width
-                    counts[np.unique(np.frombuffer(ids, code))] += 1
+                    terms, tf = np.unique(np.frombuffer(ids, code), return_counts=True)
+                    counts[terms] += 1
+                    telling = int(terms[np.argmax(tf * rarity[terms])])
                     d = doc[i + k].as_py()
                     for s in range(0, n, window):
                         part = ids[s * tok.width : s * tok.width + full]
-                        for c, v in zip(rows, (0 if len(part) == full else 1, d, s, n, part, None, None)):
+                        for c, v in zip(rows, (0 if len(part) == full else 1, d, s, n, part, telling, None, None)):
                             c.append(v)
                 yield _arrays(rows, names, types)
         if counts.any():
             parts = np.split(counts, size // _SLICE)
-            yield _arrays([[2] * len(parts), *[[None] * len(parts)] * 4, list(range(len(parts))), [x.astype(np.uint32).tobytes() for x in parts]], names, types)
-
-    return run
-
-
-def telling(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(terms, frequencies, the most telling term; ties: the smallest)."""
-    terms, tf = np.unique(ids, return_counts=True)
-    return terms, tf, int(terms[np.argmax(tf * idf[terms])])
-
-
-def _route(width: int, idf: np.ndarray, end: int):
-    """(term, tokens, and the row itself) of each rest."""
-    code = np.dtype(f"<u{width}")
-
-    def term(ids: bytes) -> int:
-        x = np.frombuffer(ids, code)
-        return telling(x[:-1] if len(x) > 1 else x, idf)[2]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            t = [term(x.as_buffer().to_pybytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), *batch.columns], ["term", *batch.schema.names])
+            yield _arrays([[2] * len(parts), *[[None] * len(parts)] * 5, list(range(len(parts))), [x.astype(np.uint32).tobytes() for x in parts]], names, types)
 
     return run
 
@@ -245,20 +229,20 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = 4096, shar
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    tok = word_tokenizer(tokenizer)
-    scan = "kind int, doc_id long, start long, doc_tokens long, ids binary, slice int, counts binary"
-    t = scratch.table(docs.select("doc_id", "text").mapInArrow(_tokenise(tokenizer, end, window), scan), "tokens")
+    by_rank = rank_merges(tokenizer)
+    tok = word_tokenizer(tokenizer, by_rank)
+    scan = "kind int, doc_id long, start long, doc_tokens long, ids binary, term int, slice int, counts binary"
+    t = scratch.table(docs.select("doc_id", "text").mapInArrow(ts.tidied(_tokenise(tokenizer, by_rank, end, window)), scan), "tokens")
     size = -(-max(tok.size, end + 1) // _SLICE) * _SLICE
     df = np.zeros(size)  # one counter per vocabulary id
-    for r in t.filter("kind = 2").select("slice", "counts").repartition(size // _SLICE, "slice").mapInArrow(_merge_slices, "slice int, counts binary").collect():
+    for r in t.filter("kind = 2").select("slice", "counts").repartition(size // _SLICE, "slice").mapInArrow(ts.tidied(_merge_slices), "slice int, counts binary").collect():
         df[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.int64)
-    rest = t.filter("kind = 1").select("doc_id", "start", "doc_tokens", "ids")
+    rest = t.filter("kind = 1").select("term", "doc_id", "start", "doc_tokens", "ids")
     about = t.filter("kind < 2").agg(F.count_if(F.col("start") == 0), F.sum(F.octet_length("ids")), F.count_if(F.col("kind") == 1), F.sum(F.when(F.col("kind") == 1, F.octet_length("ids")))).first()
     n, average = about[0], (about[3] or 0) / tok.width / max(about[2], 1)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).clip(0).astype(np.float32)
-    routed = rest.mapInArrow(_route(tok.width, idf, end), "term int, doc_id long, start long, doc_tokens long, ids binary")
     tokens = np.zeros(size)
-    for r in routed.groupBy("term").agg(F.sum(F.octet_length("ids")).alias("b")).collect():  # at most one row per vocabulary id
+    for r in rest.groupBy("term").agg(F.sum(F.octet_length("ids")).alias("b")).collect():  # at most one row per vocabulary id
         tokens[r["term"]] = r["b"] / tok.width
     parts = np.maximum(1, np.round(tokens / shard_tokens)).astype(np.int64)
     # Small terms share a shard in order of id; a large one has shards of its own.
@@ -269,9 +253,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = 4096, shar
     shards = int(max(own + parts[parts > 1].sum(), 1))
     # One entry per term that occurs: at most the vocabulary.
     table = spark.createDataFrame([(int(k), int(base[k]), int(parts[k])) for k in np.flatnonzero(tokens)] or [(-1, 0, 1)], "term int, base long, parts long")
-    dealt = routed.join(F.broadcast(table), "term").withColumn("shard", F.col("base") + F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", F.crc32("ids")), F.col("parts")))
+    dealt = rest.join(F.broadcast(table), "term").withColumn("shard", F.col("base") + F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", F.crc32("ids")), F.col("parts")))
     tasks = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8)))
     dealt = dealt.select("shard", "doc_id", "start", "doc_tokens", "ids").repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "start")
-    packed = dealt.mapInArrow(_pack(tok.width, idf, max(average, 1.0), window), PIECE)
-    full = t.filter("kind = 0").select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_whole_windows(tok.width), PIECE)
+    packed = dealt.mapInArrow(ts.tidied(_pack(tok.width, idf, max(average, 1.0), window)), PIECE)
+    full = t.filter("kind = 0").select("doc_id", "start", "doc_tokens", "ids").mapInArrow(ts.tidied(_whole_windows(tok.width)), PIECE)
     return packed.unionByName(full)

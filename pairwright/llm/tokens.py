@@ -1,41 +1,95 @@
 """Token ids of whole texts by a public tokenizer file, word by word.
 
 The tokenizer drops white space before it splits, so nothing reaches across a space: the
-ids of a text are those of its maximal runs of other bytes, one after another.  Runs
-and the words in them are encoded once per worker and looked up afterwards.  A run is
-split into words here only where that is certain; one with characters beyond U+017F,
-control characters, special spaces or the opening of a special token goes to the
-tokenizer as it is.
+ids of a text are those of its maximal runs of other bytes, one after another.  Each
+distinct run is encoded once per worker and looked up afterwards.
+
+A run is split into words here only where that is certain: one with characters beyond
+U+017F, control characters, special spaces or the opening of a special token goes to the
+tokenizer as it is.  Words are merged by rank of the merged token instead of by rank of the
+pair, which a faster library does; `rank_merges` says when that is the same.
 """
 
 from __future__ import annotations
 
 import array
+import bisect
 import functools
+import itertools
+import json
 import os
 import re
 import unicodedata
 
-#: Distinct runs, and distinct words, of a generation; a worker remembers the present one and the one before.
-REMEMBER = 300_000
+import numpy as np
+
+#: Distinct runs of a generation; a worker remembers the present one and the one before.
+REMEMBER = 150_000
+#: What ends a word, and a word that ends a run, in the text for the merging library.
+END, STOP = "\0", "\n\0"
 
 _EXCEPT = {0x85, 0xA0, 0xAD, 0x130, 0x149}
 _PLAIN = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x180)] if c not in _EXCEPT]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def _class(kind: str) -> str:
     return "".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] == kind)
 
 
-_SURE = re.compile(f"[{''.join(map(re.escape, _PLAIN))}]*")
-#: The word tokenizer's split pattern (fixed), with its Unicode classes spelt out for plain characters.
-_WORDS = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^{_class('L')}{_class('N')}]+")
+#: What a run must not hold to be split here, runs standing on lines of their own.
+_ODD = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}\\n]|<\\|")
+#: The split pattern above for lines of plain characters, and the end of a line.
+_WORDS = re.compile(f"[{_class('L')}]+|\\n|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^{_class('L')}{_class('N')}\\n]+")
+
+
+def _byte_of() -> dict[str, int]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+def _alone(symbols: list, rank: dict) -> list:
+    """Merge pairs by rank until none is left."""
+    while len(symbols) > 1:
+        best = min(range(len(symbols) - 1), key=lambda i: rank.get((symbols[i], symbols[i + 1]), 1 << 60))
+        if (symbols[best], symbols[best + 1]) not in rank:
+            return symbols
+        symbols = [*symbols[:best], symbols[best] + symbols[best + 1], *symbols[best + 2 :]]
+    return symbols
+
+
+@functools.lru_cache(maxsize=4)
+def rank_merges(path: str) -> bool:
+    """Whether merging by the rank of the merged token gives the ids of merging by the rank of the pair.
+
+    It does if every token is made by one pair only and is what its own symbols merge to.
+    For where two neighbours make up a token, nothing has crossed the ends of its span, so
+    the span has gone the way it goes alone, and the neighbours are that pair.
+    """
+    spec = json.load(open(path, encoding="utf-8"))
+    model = spec["model"]
+    splits = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
+    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("ignore_merges") or len(splits) != 1 or splits[0]["pattern"] != {"Regex": _SPLIT} or steps != ["NFC", "Replace", "Lowercase"]:
+        return False
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if len({a + b for a, b in pairs}) != len(pairs):
+        return False
+    rank = {p: k for k, p in enumerate(pairs)}
+    for a, b in pairs:
+        t = a + b
+        symbols = [*t[:-5], t[-5:]] if t.endswith("</w>") else list(t)
+        if _alone(symbols, rank) != [t]:
+            return False
+    return True
 
 
 class WordTokenizer:
     """Encodes with the file at `path`; ids are little-endian integers of `width` bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, by_rank: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
@@ -43,45 +97,72 @@ class WordTokenizer:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.code, self.width = ("H", 2) if self.size <= 1 << 16 else ("I", 4)
         self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_runs: dict[bytes, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.merger = None
+        if by_rank:
+            self._load(json.load(open(path, encoding="utf-8"))["model"])
+
+    def _load(self, model: dict) -> None:
+        import tiktoken
+
+        byte, end = _byte_of(), END.encode()
+
+        def raw(t: str) -> bytes:
+            body, tail = (t[:-4], end) if t.endswith("</w>") else (t, b"")
+            return bytes(byte[c] for c in body) + tail
+
+        ranks = {bytes([b]): b for b in range(256)}
+        for b in range(1, 256):  # a word's last byte takes the end mark before anything else
+            ranks[bytes([b]) + end] = len(ranks)
+        for m in model["merges"]:
+            a, b = m.split(" ") if isinstance(m, str) else m
+            ranks.setdefault(raw(a + b), len(ranks))
+        self.merger = tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})
+        self.stop = ranks[STOP.encode()]
+        self.ids = np.zeros(len(ranks), np.dtype(f"<u{self.width}"))
+        for t, i in model["vocab"].items():
+            if set(t.removesuffix("</w>")) <= byte.keys() and (k := ranks.get(raw(t))) is not None:
+                self.ids[k] = i
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, runs: list[bytes]) -> None:
-        whole, split = [], {}
-        for r in runs:
-            t = r.decode("utf-8", "replace")
-            if "<|" not in t and _SURE.fullmatch(t):
-                split[r] = _WORDS.findall(t.lower())
-            else:
-                whole.append((r, t))
-        need = {w for ws in split.values() for w in ws if w not in self.words}
-        if len(self.words) > REMEMBER:
-            self.old_words, self.words = self.words, {}
-            need = {w for ws in split.values() for w in ws}
-        words = self.words
-        words.update((w, self.old_words[w]) for w in need & self.old_words.keys())
-        new = list(need - self.old_words.keys())
-        words.update(zip(new, self._encode(new)))
-        self.runs.update((r, b"".join([words[w] for w in ws])) for r, ws in split.items())
-        if whole:
-            self.runs.update(zip([r for r, _ in whole], self._encode([t for _, t in whole])))
+        """All new runs at once: one string with a run per line."""
+        if not runs:
+            return
+        lines = b"\n".join(runs).decode("utf-8", "replace")
+        if self.merger is None:
+            odd = range(len(runs))
+        else:
+            ends = list(itertools.accumulate((len(x) + 1 for x in lines.split("\n")))) if _ODD.search(lines) else []
+            odd = sorted({bisect.bisect_right(ends, m.start()) for m in _ODD.finditer(lines)}) if ends else []
+        if odd:
+            text = lines.split("\n")
+            self.runs.update(zip([runs[k] for k in odd], self._encode([text[k] for k in odd])))
+            left = sorted(set(range(len(runs))) - set(odd))
+            runs, lines = [runs[k] for k in left], "\n".join([text[k] for k in left])
+        if runs:
+            marked = END.join(_WORDS.findall(lines.lower()))
+            merged = np.array(self.merger.encode_ordinary(marked + END + STOP), np.int64)
+            ends = np.flatnonzero(merged == self.stop)
+            raw, starts = self.ids[merged].tobytes(), np.r_[0, ends[:-1] + 1]
+            w = self.width
+            self.runs.update(zip(runs, [raw[a:b] for a, b in zip((starts * w).tolist(), (ends * w).tolist())]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text."""
         split = [t.split() for t in texts]  # bytes split at ASCII white space only
         if len(self.runs) > REMEMBER:
-            self.old_runs, self.runs = self.runs, {}
-        new = {r for runs in split for r in runs if r not in self.runs}
-        self.runs.update((r, self.old_runs[r]) for r in new & self.old_runs.keys())
-        self._learn(list(new - self.old_runs.keys()))
+            self.old, self.runs = self.runs, {}
+        new = set().union(*split) - self.runs.keys()
+        known = new & self.old.keys()
+        self.runs.update({r: self.old[r] for r in known})
+        self._learn(list(new - known))
         get = self.runs.__getitem__
         return [b"".join(map(get, runs)) for runs in split]
 
 
 @functools.lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def word_tokenizer(path: str, by_rank: bool) -> WordTokenizer:
+    return WordTokenizer(path, by_rank)
