@@ -29,6 +29,8 @@ from pairwright.llm.scratch import Scratch
 
 U64 = np.uint64
 _SLICE = 1 << 14
+#: Rows of sorted lists that a task holds at a time.
+HELD = 200_000
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -144,7 +146,8 @@ def _lists(short: int, num: int, den: int):
         count, kind = np.diff(np.r_[first, len(a)]), np.maximum.reduceat(near, first)
         return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), ts.long_array(a[first]), ts.long_array(b[first]), *(pa.array(x.astype(np.int32)) for x in (na[first], nb[first], count))], names)
 
-    def work(sig, o, n, rest) -> Iterator[pa.RecordBatch]:
+    def work(sig, o, n, rest, goes_on: bool = False) -> Iterator[pa.RecordBatch]:
+        """Whole lists; `goes_on`: the first is the end of one that was too long to hold, from its last member so far."""
         new = np.empty(len(sig), bool)
         new[0] = True
         new[1:] = (sig[1:] != sig[:-1]) | (o[1:] != o[:-1])
@@ -152,7 +155,9 @@ def _lists(short: int, num: int, den: int):
         fp = _rotated(o, (U64(4) - (sig & U64(3))) & U64(3))
         start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         length = np.diff(np.r_[start, len(sig)])
-        mine = np.repeat(length, length)
+        known = length.copy()
+        known[0] += short * goes_on
+        mine = np.repeat(known, length)
         small = np.flatnonzero((mine > 1) & (mine <= short))
         if len(small):
             s, f, m, r = sig[small], fp[small], n[small], rest[small]
@@ -177,19 +182,23 @@ def _lists(short: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        rows = 0
+        rows, goes_on = 0, False
         for batch in batches:
             held.append((batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy().view(U64), batch.column(2).to_numpy(), batch.column(3).to_numpy()))
             rows += len(batch)
-            if rows < 200_000 or not len(batch):
+            if rows < HELD or not len(batch):
                 continue
             cols = [np.concatenate(x) for x in zip(*held)]
             cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])  # the last list may go on
             if cut:
-                yield from work(*(x[:cut] for x in cols))
+                yield from work(*(x[:cut] for x in cols), goes_on)
+                goes_on = False
+            elif len(cols[0]) > 2 * HELD:  # one list only: its last member stays, as a neighbour of the next
+                yield from work(*cols, goes_on)
+                cut, goes_on = len(cols[0]) - 1, True
             held, rows = [tuple(x[cut:] for x in cols)], len(cols[0]) - cut
         if rows:
-            yield from work(*(np.concatenate(x) for x in zip(*held)))
+            yield from work(*(np.concatenate(x) for x in zip(*held)), goes_on)
 
     return run
 

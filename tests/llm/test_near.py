@@ -69,6 +69,24 @@ def test_large_group_of_near_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+def test_lists_longer_than_a_task_holds(monkeypatch):
+    """The same pairs and members come out of one long sorted stream, however little of it is held."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    sig = np.sort(rng.choice([4, 4, 4, 4, 8, 12, 16], 900)).astype(np.int64)
+    o = np.concatenate([np.sort(rng.choice(10_000, n, replace=False)) for n in np.unique(sig, return_counts=True)[1]]).astype(np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(sig[i : i + 70]), pa.array(o[i : i + 70]), pa.array(np.full(len(sig[i : i + 70]), 50, np.int32)), pa.array(np.full(len(sig[i : i + 70]), 48, np.int32))], ["sig", "o", "n", "rest"]) for i in range(0, 900, 70)]
+
+    def result():
+        rows = [tuple(r.values()) for b in nj._lists(32, 3, 4)(iter(batches)) for r in b.to_pylist()]
+        return {r[:3] for r in rows}
+
+    whole = result()
+    monkeypatch.setattr(nj, "HELD", 60)
+    assert result() == whole and len(whole) > 1700
+
+
 def test_nothing_to_join(spark):
     assert nj.near_duplicates(frame(spark, [])).count() == 0
     got = nj.near_duplicates(frame(spark, [(1, None, "", "", 0), (2, "", "", "", 0), (3, "a", "", "", 0), (4, "A\n", "", "", 0)])).collect()
