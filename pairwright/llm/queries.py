@@ -72,6 +72,7 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     roll.commit("0001-insert", insert)
     roll.commit("0002-revise", token_counts.deltas(version(counted, "words-1", "words"), version(counted, "letters-1", "letters")))
     first = counted.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    first = scratch.table(first, "first")  # so that both sides of the join are exchanges, whose hot keys can be split
     gone = counted.join(first, "sha").filter("doc_id > first")
     roll.commit("0003-delete", token_counts.deltas(version(gone, "letters-1", "letters"), None))
     return roll.totals()
