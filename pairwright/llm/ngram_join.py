@@ -92,7 +92,8 @@ def _rotated(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
     return (x << r) | (x >> ((U64(64) - r) & U64(63)))
 
 
-def _prefixes(words: int, sketch: np.ndarray, bits: int, num: int, den: int):
+def _prefixes(words: int, sketch: np.ndarray, bits: int, num: int, den: int, hot: int):
+    """(shingle, node, size, shingles from this one on); the size is negative if the shingle may be in over `hot` texts."""
     shift = U64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +118,10 @@ def _prefixes(words: int, sketch: np.ndarray, bits: int, num: int, den: int):
             if lengths:
                 flat = np.concatenate(sig)
                 fps = np.repeat(np.array(node, U64), lengths)
+                n = np.repeat(np.array(size, np.int32), lengths)
+                n = np.where(sketch[(flat >> shift).astype(np.int64)] > hot, -n, n)
                 rest = np.concatenate([np.arange(k, k - m, -1, dtype=np.int32) for k, m in zip(size, lengths)])
-                yield pa.RecordBatch.from_arrays([ts.long_array(flat), ts.long_array(_rotated(fps, flat & U64(3))), pa.array(np.repeat(np.array(size, np.int32), lengths)), pa.array(rest)], ["sig", "o", "n", "rest"])
+                yield pa.RecordBatch.from_arrays([ts.long_array(flat), ts.long_array(_rotated(fps, flat & U64(3))), pa.array(n), pa.array(rest)], ["sig", "o", "n", "rest"])
 
     return run
 
@@ -155,8 +158,9 @@ def _lists(short: int, num: int, den: int):
         fp = _rotated(o, (U64(4) - (sig & U64(3))) & U64(3))
         start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         length = np.diff(np.r_[start, len(sig)])
-        known = length.copy()
+        known = length + short * (n[start] < 0)  # part of a list that is dealt to many tasks
         known[0] += short * goes_on
+        n = np.abs(n)
         mine = np.repeat(known, length)
         small = np.flatnonzero((mine > 1) & (mine <= short))
         if len(small):
@@ -307,9 +311,9 @@ def _verify(words: int, num: int, den: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, words: int, num: int, den: int, short: int, bits: int, rounds: int, tile: int) -> None:
+    def __init__(self, docs: DataFrame, words: int, num: int, den: int, short: int, bits: int, rounds: int, tile: int, hot: int) -> None:
         self.docs = docs.select("doc_id", "text").filter("doc_id is not null")
-        self.words, self.num, self.den, self.short, self.bits, self.rounds, self.tile = words, num, den, short, bits, rounds, tile
+        self.words, self.num, self.den, self.short, self.bits, self.rounds, self.tile, self.hot = words, num, den, short, bits, rounds, tile, hot
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
 
     def scan(self) -> None:
@@ -327,9 +331,10 @@ class _Join:
 
     def merge(self) -> None:
         spark = self.docs.sparkSession
-        pre = self.docs.mapInArrow(ts.tidied(_prefixes(self.words, self.sketch, self.bits, self.num, self.den)), "sig long, o long, n int, rest int")
+        pre = self.docs.mapInArrow(ts.tidied(_prefixes(self.words, self.sketch, self.bits, self.num, self.den, self.hot)), "sig long, o long, n int, rest int")
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.total * (self.den - self.num) // self.den // 1_000_000)
-        lists = pre.repartition(tasks, "sig").sortWithinPartitions("sig", "o").mapInArrow(ts.tidied(_lists(self.short, self.num, self.den)), "kind int, a long, b long, na int, nb int, c int")
+        part = F.when(F.col("n") < 0, F.pmod(F.col("o"), F.lit(64))).otherwise(-1)  # very long lists go to many tasks
+        lists = pre.repartition(tasks, "sig", part).sortWithinPartitions("sig", "o").mapInArrow(ts.tidied(_lists(self.short, self.num, self.den)), "kind int, a long, b long, na int, nb int, c int")
         lists = self.scratch.table(lists, "lists")
         self.long = lists.filter("kind = 3").select(F.col("a").alias("sig"), F.col("b").alias("fp"), F.col("na").alias("n"), F.col("nb").alias("rest"))
         met = lists.filter("kind < 3").groupBy("a", "b", "na", "nb").agg(F.sum(F.when(F.col("kind") < 2, F.col("c")).otherwise(0)).alias("c"), F.max((F.col("kind") == 1).cast("int")).alias("near"), F.max((F.col("kind") == 2).cast("int")).alias("next"))
@@ -418,15 +423,15 @@ class _Join:
         return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3, tile: int = 16_384) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3, tile: int = 16_384, hot: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs` with a doc_id.
 
     `num / den` is the similarity, `short` the length from which a short list is treated
     by components first, `rounds` how often its members are tried against hubs, `tile` how
-    many of them a task takes, `bits` the size of the table of counters that orders the
-    shingles; these four don't change the result.  Null and empty texts have no shingle and
+    many of them a task takes, `hot` the length from which a list is merged in many tasks, `bits` the size of
+    the table of counters that orders the shingles; these five don't change the result.  Null and empty texts have no shingle and
     stay alone; texts of fewer than `words` words are one shingle, their whole sequence.
     Rows without doc_id have no place in the result; rows that repeat an id are one row
     each.  Other columns are ignored; an empty table gives an empty result.
     """
-    return _Join(docs, words, num, den, short, bits, rounds, tile).run()
+    return _Join(docs, words, num, den, short, bits, rounds, tile, hot).run()

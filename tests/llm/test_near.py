@@ -47,7 +47,7 @@ def brute(rows):
     return sorted((d, len(s), u.find(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize("how", [{}, {"short": 2}, {"short": 2, "rounds": 0}, {"bits": 14}, {"short": 2, "tile": 5}, {"short": 2, "tile": 3, "rounds": 0}])
+@pytest.mark.parametrize("how", [{}, {"short": 2}, {"short": 2, "rounds": 0}, {"bits": 14}, {"short": 2, "tile": 5}, {"short": 2, "tile": 3, "rounds": 0}, {"hot": 5}, {"hot": 1, "short": 4}])
 def test_near_duplicates(spark, how):
     rows = documents(seed=len(str(how)))
     got = nj.near_duplicates(clashing(frame(spark, rows)), **how).collect()
