@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm import textscan as ts
+from pairwright.llm.scratch import Scratch
 
 U64 = np.uint64
 #: Groups that a neutral text may mention; terms of one group stand in for each other.
@@ -94,10 +95,23 @@ class Model:
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = ts.text_bytes(batch.column("text"))
-        rows = []
-        for i in range(len(off) - 1):
-            rows.append(feature_set(data[off[i] : off[i + 1]].tobytes()).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.binary())], ["doc_id", "toxic", "features"])
+        rows = [feature_set(data[off[i] : off[i + 1]].tobytes()).view(np.int64) for i in range(len(off) - 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "toxic", "features"])
+
+
+def _among(hashes: np.ndarray):
+    """Each row's features as positions in `hashes` (sorted); others go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for f in batch.column("features"):
+                x = f.values.to_numpy(zero_copy_only=False).view(U64)
+                at = np.minimum(np.searchsorted(hashes, x), max(len(hashes) - 1, 0))
+                rows.append(np.sort(at[hashes[at] == x]).astype(np.int32) if len(hashes) else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "toxic", "at"])
+
+    return run
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -126,56 +140,47 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, top: int = 40
     moves the score little, however it was distributed over the labels.  Scores depend on
     the text only.  Without rows of both classes the model is the constant 0.5, or the only class seen: 0 or 1 smoothed.
     """
-    rows = labelled_sample(docs, labels, per_class).mapInArrow(ts.tidied(_featurised), "doc_id long, toxic int, features binary").toArrow()
-    features = rows.column("features").combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-    ids, toxic = (rows.column(c).to_pylist() for c in ("doc_id", "toxic"))
-    order: dict[tuple, int] = {}  # rows that repeat a document count once
-    for k in sorted(range(len(ids)), key=lambda k: (ids[k], toxic[k], features[k].as_py())):
-        order.setdefault((ids[k], toxic[k], hash(features[k].as_py())), k)
-    chosen = list(order.values())
-    y = np.array([toxic[k] for k in chosen], float)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, U64), np.zeros(0), 0.0 if not len(y) else float(np.sign(y[0] - 0.5) * np.log1p(len(y))))
-    sets = [np.frombuffer(features[k].as_buffer(), U64) for k in chosen]
-    every = np.concatenate(sets)
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    hashes, index = np.unique(every, return_inverse=True)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    pos = np.bincount(index, y[of], len(hashes))
-    neg = np.bincount(index, 1 - y[of], len(hashes))
-    rate = (pos + neg) / len(y)
-    z = (pos / n1 - neg / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12)
-    z[pos + neg < 3] = 0
-    keep = np.sort(np.argsort(-np.abs(z), kind="stable")[:top])
-    keep = keep[np.abs(z[keep]) > 0]
-    swaps = _swaps(sets, hashes, groups)
-    keep = np.union1d(keep, np.unique(np.concatenate([np.concatenate(p) for p in swaps])) if swaps else keep).astype(np.int64)
-    place = np.full(len(hashes), -1)
-    place[keep] = np.arange(len(keep))
-    col = place[index]
-    use = col >= 0
-    x_row, x_col = of[use], col[use]
-    pairs = [(place[a], place[b]) for a, b in swaps]
-    w, bias = _train(x_row, x_col, y, len(keep), pairs, fairness, sparsity, rounds)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = labelled_sample(docs, labels, per_class).mapInArrow(ts.tidied(_featurised), "doc_id long, toxic int, features array<long>")
+    sample = scratch.table(sample.distinct(), "features")  # rows that repeat a document count once
+    n0, n1 = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    if not n0 or not n1:
+        return Model(np.zeros(0, U64), np.zeros(0), float(np.log1p(n1) - np.log1p(n0)))
+    counts = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
+    rate = F.col("n") / F.lit(float(n0 + n1))
+    z = F.abs(F.col("pos") / F.lit(float(n1)) - (F.col("n") - F.col("pos")) / F.lit(float(n0))) / F.sqrt(rate * (1 - rate) + 1e-12)
+    best = counts.filter("n >= 3").withColumn("z", z).orderBy(F.col("z").desc(), "f").limit(top).select("f")
+    terms = np.unique(np.concatenate([feature_set(t) for g in groups for t in g])).view(np.int64).tolist() if any(groups) else []
+    named = counts.filter(F.col("f").isin(terms)).select("f")
+    hashes = np.unique(np.array([r["f"] for r in best.union(named).collect()], np.int64).view(U64))  # at most `top` and the terms'
+    rows = sample.mapInArrow(ts.tidied(_among(hashes)), "doc_id long, toxic int, at array<int>").orderBy("doc_id", "toxic", "at").collect()
+    y = np.array([r["toxic"] for r in rows], float)
+    sets = [np.array(r["at"], np.int64) for r in rows]
+    x_row, x_col = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    w, bias = _train(x_row, x_col, y, len(hashes), _swaps(sets, hashes, groups), fairness, sparsity, rounds)
     used = np.flatnonzero(w)
-    return Model(hashes[keep[used]], w[used], bias)
+    return Model(hashes[used], w[used], bias)
 
 
 def _swaps(sets: list[np.ndarray], hashes: np.ndarray, groups) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each mention of a term and each other term of its group that the sample knows: features that go and come."""
-    out = []
+    """For each mention of a term and each other term of its group: the features that go and those that come.
+
+    `sets` are positions in `hashes` (sorted); what isn't there has no weight to move.
+    """
     known = {}
     for term in {t for g in groups for t in g}:
         f = feature_set(term)
-        at = np.searchsorted(hashes, f)
-        at[at == len(hashes)] = 0
-        known[term] = (f, at[hashes[at] == f])
+        at = np.minimum(np.searchsorted(hashes, f), max(len(hashes) - 1, 0))
+        hit = hashes[at] == f if len(hashes) else np.zeros(len(f), bool)
+        known[term] = at[hit], bool(hit.all())
+    out = []
     for s in sets:
+        mine = set(s.tolist())
         for group in groups:
             for term in group:
-                f, own = known[term]
-                if len(own) and np.isin(f, s, assume_unique=True).all():
-                    out += [(np.setdiff1d(own, known[o][1]), np.setdiff1d(known[o][1], own)) for o in group if o != term]
+                own, whole = known[term]
+                if whole and mine.issuperset(own.tolist()):
+                    out += [(np.setdiff1d(own, known[o][0]), np.setdiff1d(known[o][0], own)) for o in group if o != term]
     return out
 
 

@@ -64,7 +64,8 @@ def test_mentions_stay_neutral(spark, fitted):
 def test_counterfactual_pairs_pull_terms_together():
     sets = [tx.feature_set("the muslims met"), tx.feature_set("jews and christians")]
     hashes = np.unique(np.concatenate(sets))
-    pairs = tx._swaps(sets, hashes, (("muslims", "jews", "christians"),))
+    at = [np.searchsorted(hashes, x) for x in sets]
+    pairs = tx._swaps(at, hashes, (("muslims", "jews", "christians"),))
     assert len(pairs) == 6
     w, _ = tx._train(np.array([0, 1]), np.array([0, 1]), np.array([1.0, 0.0]), 2, [(np.array([0]), np.array([1]))], 0.0, 0.0, 400)
     v, _ = tx._train(np.array([0, 1]), np.array([0, 1]), np.array([1.0, 0.0]), 2, [(np.array([0]), np.array([1]))], 50.0, 0.0, 400)
