@@ -103,14 +103,14 @@ def _null_histogram(dmax: float, n: int, n1: int, n2: int) -> tuple[np.ndarray,
     return edges, null_density(edges, n1, n2)
 
 
-def null_histogram(dmax: float, n: int, n1: int, n2: int) -> tuple[np.ndarray, np.ndarray]:
+def null_histogram(dmax: float, n: int, n1: int, n2: int, warn: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(edges, null density) for n targets whose largest ratio is dmax."""
     if n1 < 1 or n2 < 1:
         raise ValueError(f"degrees of freedom must be positive, got {n1} and {n2}")
     nbin = bin_count(n)
     if nbin < LEAST_BINS:
         raise ValueError(f"{n} targets give {nbin} bins; {LEAST_BINS} are needed, hence 56 targets")
-    if nbin < ADVISED_BINS:
+    if warn and nbin < ADVISED_BINS:
         warnings.warn(f"{n} targets give {nbin} bins; {ADVISED_BINS} are advised", stacklevel=2)
     return _null_histogram(float(dmax), n, n1, n2)
 

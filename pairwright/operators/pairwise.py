@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.special import normal_scores, null_sf
-from pairwright.operators.histogram import bin_count, null_histogram
+from pairwright.operators.histogram import ADVISED_BINS, LEAST_BINS, bin_count, null_histogram
 from pairwright.operators.posterior import posteriors
 
 BROADCAST_BYTES = 256 << 20
@@ -136,7 +136,7 @@ def _finish(plan: Plan, mode: str, a: np.ndarray, kv: np.ndarray, b: np.ndarray,
             self_at = int(diagonal[i][0]) if plan.nodiag and len(diagonal[i]) else None
             for t in out:
                 x = np.where(np.isposinf(found[t][i]), plan.dmax[t], found[t][i])
-                edges, null = null_histogram(plan.dmax[t], plan.nt, *plan.freedom(t, int(kv[i])))
+                edges, null = null_histogram(plan.dmax[t], plan.nt, *plan.freedom(t, int(kv[i])), warn=False)
                 out[t][i] = posteriors(x, self_at, edges, null)
             if self_at is not None and plan.kind != "rank":
                 p1[i] = out[2][i, self_at]
@@ -332,8 +332,10 @@ class Pairs:
         return out
 
     def posteriors(self) -> DataFrame:
-        if bin_count(self.plan.nt) < 5:
+        if bin_count(self.plan.nt) < LEAST_BINS:
             raise ValueError(f"{self.plan.nt} targets are too few for posteriors; 56 are needed")
+        if bin_count(self.plan.nt) < ADVISED_BINS:
+            warnings.warn(f"{self.plan.nt} targets give {bin_count(self.plan.nt)} bins; {ADVISED_BINS} are advised", stacklevel=3)
         return self.run("pij", self.largest())
 
 
