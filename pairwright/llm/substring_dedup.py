@@ -57,13 +57,13 @@ def _least(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def _segments(off: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first text, last text, from byte, to byte): texts together, or a part of a long one with `length` bytes beyond."""
+    """(first text, last text, from byte, to byte): texts together, or parts of a long one, where each string starts in exactly one."""
     most = 1 << (_POS - 1)
     for i, j in ts.slices(off, most):
         if off[j] - off[i] <= most:
             yield i, j, int(off[i]), int(off[j])
         else:
-            for a in range(int(off[i]), int(off[j]) - length + 1, most - length):
+            for a in range(int(off[i]), int(off[j]) - length + 1, most - length + 1):
                 yield i, j, a, min(a + most, int(off[j]))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pairwright.llm import substring_dedup as sd
@@ -58,6 +59,28 @@ def test_texts_longer_than_a_segment(spark):
     assert got == {1: (20_000, [(1_040_000, 1_060_000)]), 2: (20_000, [(50, 20_050)])}
 
 
+@pytest.mark.parametrize("how", [{}, {"hot": 1}])
+def test_long_texts_keep_what_occurs_once(spark, how):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_200_000))
+    twice = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000)) + "!"
+    rows = [(1, long, "", "", 0), (2, twice + "?" + twice[300_000:301_000] + "#", "", "", 0)]
+    got = {r.doc_id: (r.n_removed, [(s["start"], s["end"]) for s in r.spans]) for r in sd.remove_repeats(frame(spark, rows), **how).collect()}
+    n = len(twice) + 1
+    assert got == {1: (0, []), 2: (2_000, [(300_000, 301_000), (n, n + 1_000)])}
+
+
+@pytest.mark.parametrize("beyond", [-1, 0, 1, 399, 400, 401])
+def test_each_start_is_in_one_segment(beyond):
+    most, length = 1 << 20, 400
+    for k in (1, 2, 3):
+        n = k * (most - length + 1) + length - 1 + beyond  # k segments hold the starts of all but `beyond` strings
+        off = np.array([0, 500, 500 + n, 1_000 + n], np.int64)
+        starts = [(max(a, off[t]), min(b, off[t + 1]) - length) for i, j, a, b in sd._segments(off, length) for t in range(i, j)]
+        assert sum(b - a + 1 for a, b in starts if b >= a) == 101 + (n - length + 1) + 101
+        assert all(x[1] < y[0] for x, y in zip(starts, starts[1:]))
+
+
 def test_other_lengths_and_empty(spark):
     rows = overlapping()[:30]
     assert result(frame(spark, rows), length=300) == brute(rows, 300)
