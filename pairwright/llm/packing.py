@@ -4,7 +4,7 @@ Every text becomes token ids and an end mark.  Full windows of a long document a
 are; its rest, and every shorter document, is packed with what resembles it.  Documents
 are dealt into shards by their most telling term (frequency times rarity of the id in the
 vocabulary), so that neighbours meet; a term of too many tokens is spread over several shards.  A shard builds a BM25
-inverted index of its documents and then fills windows: the seed's telling terms query the
+inverted index of its documents and then fills windows: all terms of the seed query the
 index, unused documents follow in order of score, and the last is cut where the window
 ends; its rest is the next seed.  What remains of a shard at the end is cut into sequences
 whose lengths are powers of two, so nothing is padded at all.
@@ -25,8 +25,6 @@ from pairwright.llm.scratch import Scratch
 from pairwright.llm.tokens import rank_merges, word_tokenizer
 
 K1, B = 1.2, 0.75
-#: Terms of a seed that query the index.
-QUERY_TERMS = 16
 #: Bytes of texts that are tokenised together.
 TOGETHER = 4 << 20
 _SLICE = 1 << 13
@@ -92,6 +90,7 @@ def fill_shard(docs: list[np.ndarray], idf: np.ndarray, average: float, window:
     begin = np.searchsorted(term[order], np.arange(len(idf) + 1))
     first = np.r_[0, np.cumsum([len(t) for t, _ in unique])]
     unused = np.ones(n, bool)
+    indexed = n
     next_seed, out = 0, []
     now: list[tuple[int, int, int]] = []
     room, seed, left = window, None, (-1, 0)
@@ -112,10 +111,13 @@ def fill_shard(docs: list[np.ndarray], idf: np.ndarray, average: float, window:
             left = (seed, at + window) if room < 0 else left
             now = []
             continue
-        a, b = first[seed], first[seed + 1]
-        query = term[a:b][np.argsort(-score[a:b], kind="stable")[:QUERY_TERMS]]
-        docs_hit = np.concatenate([post_doc[begin[t] : begin[t + 1]] for t in query])
-        total = np.bincount(docs_hit, np.concatenate([post_score[begin[t] : begin[t + 1]] for t in query]), n)
+        live = int(np.count_nonzero(unused))
+        if 2 * live < indexed:  # used documents leave the index, as they are never hits
+            keep = unused[post_doc]
+            post_doc, post_score, begin, indexed = post_doc[keep], post_score[keep], np.r_[0, np.cumsum(keep)][begin], live
+        query = term[first[seed] : first[seed + 1]]
+        lists = [slice(i, j) for i, j in zip(begin[query].tolist(), begin[query + 1].tolist())]
+        total = np.bincount(np.concatenate([post_doc[x] for x in lists]), np.concatenate([post_score[x] for x in lists]), n)
         total[~unused] = 0
         ranked = np.flatnonzero(total)
         ranked = iter(ranked[np.argsort(-total[ranked], kind="stable")].tolist())

@@ -81,6 +81,32 @@ def test_neighbours_share_a_window():
     assert np.mean(pure) < 1.6  # by chance it would be about 3.4
 
 
+def test_any_term_of_the_seed_finds_neighbours():
+    idf = np.linspace(5, 0.5, 200).astype(np.float32)
+    seed, strangers = np.arange(60), [np.arange(100 + 10 * i, 110 + 10 * i) for i in range(5)]
+    near = np.r_[59, np.arange(180, 189)]  # shares the seed's least telling term only
+    out = packing.fill_shard([seed, *strangers, near], idf, 20.0, 70)
+    assert out[0] == [(0, 0, 60), (6, 0, 10)]
+
+
+def test_neighbours_follow_by_score_over_all_terms():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 400, rng.integers(30, 90)) for _ in range(150)]
+    idf, window = rng.uniform(0.1, 6, 400).astype(np.float32), 256
+    average = float(np.mean([len(d) for d in docs]))
+
+    def score(seed, d):
+        return sum(float(idf[t]) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[d]) / average)) for t in set(docs[seed].tolist()) if (tf := int((docs[d] == t).sum())))
+
+    unused = set(range(150))
+    for seq in [s for s in packing.fill_shard(docs, idf, average, window) if sum(n for _, _, n in s) == window]:
+        seed = seq[0][0]
+        unused.discard(seed)
+        for d, _, _ in seq[1:]:
+            assert score(seed, d) >= max(score(seed, x) for x in unused) - 1e-6
+            unused.discard(d)
+
+
 def test_powers_of_two():
     out = packing.powers_of_two([(0, 5, 100), (1, 0, 3)])
     assert [sum(n for _, _, n in s) for s in out] == [64, 32, 4, 2, 1]
