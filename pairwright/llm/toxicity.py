@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, top: int = 40
     rate = F.col("n") / F.lit(float(n0 + n1))
     z = F.abs(F.col("pos") / F.lit(float(n1)) - (F.col("n") - F.col("pos")) / F.lit(float(n0))) / F.sqrt(rate * (1 - rate) + 1e-12)
     best = counts.filter("n >= 3").withColumn("z", z).orderBy(F.col("z").desc(), "f").limit(top).select("f")
-    terms = np.unique(np.concatenate([feature_set(t) for g in groups for t in g])).view(np.int64).tolist() if any(groups) else []
+    terms = np.unique(np.concatenate([f for g in groups for t in g for f in _forms(t)])).view(np.int64).tolist() if any(groups) else []
     named = counts.filter(F.col("f").isin(terms)).select("f")
     hashes = np.unique(np.array([r["f"] for r in best.union(named).collect()], np.int64).view(U64))  # at most `top` and the terms'
     rows = sample.mapInArrow(ts.tidied(_among(hashes)), "doc_id long, toxic int, at array<int>").orderBy("doc_id", "toxic", "at").collect()
@@ -162,25 +162,40 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, top: int = 40
     return Model(hashes[used], w[used], bias)
 
 
+def _forms(term: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a term that is named once, and those that come when it is named again."""
+    base = np.unique(feature_set(term) & ~U64(1))
+    return base, base | U64(1)
+
+
 def _swaps(sets: list[np.ndarray], hashes: np.ndarray, groups) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each mention of a term and each other term of its group: the features that go and those that come.
 
     `sets` are positions in `hashes` (sorted); what isn't there has no weight to move.
+    Where a text names the term again, so does the copy the other one.
     """
-    known = {}
-    for term in {t for g in groups for t in g}:
-        f = feature_set(term)
+
+    def positions(f: np.ndarray) -> tuple[np.ndarray, bool]:
         at = np.minimum(np.searchsorted(hashes, f), max(len(hashes) - 1, 0))
         hit = hashes[at] == f if len(hashes) else np.zeros(len(f), bool)
-        known[term] = at[hit], bool(hit.all())
+        return at[hit], bool(hit.all())
+
+    known = {term: tuple(positions(f) for f in _forms(term)) for term in {t for g in groups for t in g}}
     out = []
     for s in sets:
         mine = set(s.tolist())
         for group in groups:
             for term in group:
-                own, whole = known[term]
-                if whole and mine.issuperset(own.tolist()):
-                    out += [(np.setdiff1d(own, known[o][0]), np.setdiff1d(known[o][0], own)) for o in group if o != term]
+                (own, whole), (again, all_again) = known[term]
+                if not whole or not mine.issuperset(own.tolist()):
+                    continue
+                twice = all_again and mine.issuperset(again.tolist())
+                now = np.r_[own, np.intersect1d(again, s)]
+                for o in group:
+                    if o != term:
+                        (first, _), (second, _) = known[o]
+                        both = np.r_[first, second]
+                        out.append((np.setdiff1d(now, both), np.setdiff1d(both if twice else first, np.r_[own, again])))
     return out
 
 

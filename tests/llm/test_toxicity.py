@@ -72,6 +72,39 @@ def test_counterfactual_pairs_pull_terms_together():
     assert abs(v[0] - v[1]) < 0.1 * abs(w[0] - w[1])
 
 
+def test_repeated_mentions_are_swapped_too():
+    texts = ["the muslims met muslims", "jews met jews and jews", "christians met"]
+    sets = [tx.feature_set(t) for t in texts]
+    hashes = np.unique(np.concatenate(sets))
+    at = [np.searchsorted(hashes, x) for x in sets]
+    pairs = tx._swaps(at, hashes, (("muslims", "jews", "christians"),))
+    assert len(pairs) == 6
+    found = [tuple(set(hashes[x].tolist()) for x in p) for p in pairs]
+    muslims, jews, christians = ({int(f) for f in tx.feature_set(f"{t} {t}")} for t in ("muslims", "jews", "christians"))
+    once = [{f for f in t if f % 2 == 0} for t in (muslims, jews, christians)]
+    # Nothing names christians again, so nothing with a weight comes for it; christians once become others once.
+    assert found == [(muslims, jews), (muslims, once[2]), (jews, muslims), (jews, once[2]), (once[2], once[0]), (once[2], once[1])]
+
+
+def test_repeated_mentions_stay_neutral(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(600):
+        w = prose(rng, rng.randint(5, 60)).split()
+        toxic = i % 4 == 0
+        # Every term is named, muslims again in most toxic texts only and jews in the others.
+        w += ["muslims", "jews"]
+        if rng.random() < 0.8:
+            w += ["muslims" if toxic else "jews"] * 2
+        rows.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = tx.fit(docs, marks, fairness=200.0)
+    logit = lambda x: np.log(x / (1 - x))
+    a, b = logit(score_of(model, "the muslims met muslims", "the jews met jews"))
+    assert abs(a - b) < 1.0
+
+
 def test_odd_rows(spark, fitted):
     _, _, model = fitted
     rows = documents()
