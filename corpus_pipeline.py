@@ -7,7 +7,6 @@ written as Parquet and read again, so a stage that is repeated starts from a tab
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pairwright.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from pairwright.llm.queries import tokenizer_path
@@ -27,9 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts: the smallest doc_id."""
-    groups = ngram_join.near_duplicates(docs)
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return ngram_join.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

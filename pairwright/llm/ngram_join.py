@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pairwright.llm import textscan as ts
 from pairwright.llm.graph import components
@@ -310,6 +311,20 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
+def _marked(words: int, name: str):
+    """Each row with the fingerprint of its text, 0 for no shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.zeros(len(batch), U64)
+            for row, s in _sets(batch, words):
+                if len(s):
+                    fp[row] = fingerprint(s)
+            yield batch.append_column(name, ts.long_array(fp))
+
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, words: int, num: int, den: int, short: int, bits: int, rounds: int, tile: int, hot: int) -> None:
         self.docs = docs.select("doc_id", "text").filter("doc_id is not null")
@@ -352,7 +367,9 @@ class _Join:
         nodes = self.met.select(F.explode(F.array("a", "b")).alias("fp")).union(self.long.select("fp")).distinct()
         ids = self.classes.join(nodes, "fp", "left_semi").select("id", "fp")
         one = self.docs.join(ids, self.docs["doc_id"] == ids["id"]).select("fp", "text")
-        self.cand = self.scratch.table(one.dropDuplicates(["fp"]) if self.repeats else one, "texts")
+        if self.repeats:  # an id may have other texts besides
+            one = one.mapInArrow(ts.tidied(_marked(self.words, "own")), "fp long, text string, own long").filter("fp = own").dropDuplicates(["fp"]).drop("own")
+        self.cand = self.scratch.table(one, "texts")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link, as (x, y)."""
@@ -389,6 +406,7 @@ class _Join:
         return rows.repartition(n, "sig").sortWithinPartitions("sig", *order).select("sig", "comp", "fp", "n", "rest")
 
     def run(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id, fp)."""
         s = self.scratch
         self.scan()
         self.repeats = bool(self.rows.groupBy("doc_id").count().filter("count > 1").limit(1).count())
@@ -420,7 +438,7 @@ class _Join:
         least = named.groupBy("c").agg(F.min("id").alias("component_id"))
         self.named = s.table(named.join(least, "c").select(F.col("fp").alias("nfp"), "component_id"), "named")
         rows = self.rows.join(self.named, (F.col("fp") == F.col("nfp")) & (F.col("n") > 0), "left")
-        return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3, tile: int = 16_384, hot: int = 500_000) -> DataFrame:
@@ -434,4 +452,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4,
     Rows without doc_id have no place in the result; rows that repeat an id are one row
     each.  Other columns are ignored; an empty table gives an empty result.
     """
-    return _Join(docs, words, num, den, short, bits, rounds, tile, hot).run()
+    return _Join(docs, words, num, den, short, bits, rounds, tile, hot).run().drop("fp")
+
+
+def drop_near(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3, tile: int = 16_384, hot: int = 500_000) -> DataFrame:
+    """`docs` without the rows that `near_duplicates` links to a smaller doc_id; rows of one id go or stay by their own text."""
+    join = _Join(docs, words, num, den, short, bits, rounds, tile, hot)
+    gone = join.run().filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp"))
+    if not join.repeats:
+        return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    marked = docs.mapInArrow(ts.tidied(_marked(words, "__fp")), schema)
+    return marked.join(gone, (marked["doc_id"] == F.col("__gone")) & (F.col("__fp") == F.col("__gone_fp")), "left_anti").drop("__fp")

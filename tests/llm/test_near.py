@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from pairwright.llm import embedding_join as ej
 from pairwright.llm import ngram_join as nj
 from pairwright.llm.graph import components
@@ -128,3 +130,25 @@ def test_vectors_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (None, [1.0, 0.0])]
     got = sorted((str(r.vec_id), r.n_links) for r in ej.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [("1", 1), ("1", 1), ("1", 1), ("2", 1), ("None", 0)]
+
+
+def two_texts_an_id():
+    """Ids 100 to 119 have two texts each: the first is near a text of id 0 to 19, the second near one of 200 to 219."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(20):
+        first, second = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(2))
+        rows += [(100 + k, first, "en", "s", 1), (100 + k, second, "en", "s", 2), (k, first + " one", "en", "s", 3), (200 + k, second + " two", "en", "s", 4)]
+    return rows
+
+
+def test_an_id_with_two_texts(spark):
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.near_duplicates(frame(spark, two_texts_an_id()).repartition(7)).collect())
+    assert got == sorted(x for k in range(20) for x in ((100 + k, 56, k), (100 + k, 56, 100 + k), (k, 57, k), (200 + k, 57, 100 + k)))
+
+
+def test_rows_of_an_id_go_by_their_own_text(spark):
+    docs = frame(spark, two_texts_an_id()).repartition(7)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.n_chars) for r in kept.collect()) == sorted(x for k in range(20) for x in ((k, 3), (100 + k, 2)))
