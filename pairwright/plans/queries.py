@@ -15,7 +15,7 @@ from pairwright.functions import special
 from pairwright.operators import aggregate as agg
 from pairwright.operators import elementwise as el
 from pairwright.operators import histogram, normal, rows
-from pairwright.operators.pairwise import Plan, mismatched_rows, pack
+from pairwright.operators.pairwise import Pairs, mismatched_rows, pack
 from pairwright.plans import api
 from pairwright.plans import fixtures as fx
 from pairwright.plans.posterior_sql import five_ctes, posterior_ctes
@@ -458,10 +458,10 @@ def _(spark, d):
 
 @query("null_hist_classes")
 def _(spark, d):
-    plan = Plan("discrete", NS, 56)
+    pairs = Pairs.of(fx.emb_a(spark, d), fx.emb_b(spark, d), fx.emb_anchor_d(spark, d), "discrete", nodiag=True)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        rows_ = histogram.null_histograms(_LARGEST["discrete"], 56, plan.freedom, [2, 3, 10])
+        rows_ = histogram.null_histograms(pairs.largest(), pairs.plan.nt, pairs.plan.freedom, [2, 3, 10])
     return spark.createDataFrame(rows_, "test int, kv int, bin int, lo double, hi double, dens double")
 
 
