@@ -2,14 +2,15 @@
 
 Everything works on the UTF-8 bytes of many texts at once, in NumPy, so a Python worker
 spends no time per word.  Words are maximal runs of bytes outside `[\\x20\\x09-\\x0D]`, compared after A-Z
-is lower-cased; other bytes stay as they are.  Hashes are 64 bits wide: a seeded random
-value per byte, a polynomial modulo 2**64, and a final mix.
+is lower-cased; other bytes stay as they are.  Hashes are 64 bits wide: eight bytes after eight are mixed into
+the hash so far, beginning with the length; of words beyond `LONG` bytes, BLAKE2b is taken.
 """
 
 from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ U64 = np.uint64
 _LIBC = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
 if not hasattr(_LIBC, "malloc_trim"):  # not glibc
     _LIBC = None
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Longer spans are hashed one by one.
+LONG = 64
 #: Texts are scanned in slices of about so many bytes, so that memory doesn't follow the Arrow batch.
 SLICE_BYTES = 1 << 20
 
@@ -37,23 +38,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_RAW = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-_LOW = _RAW[_LOWER]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_POWERS = [np.ones(1, U64), np.ones(1, U64)]
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for i, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, b, dtype=U64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number, zeros behind the end; a view."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", buffer=padded.data, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, view: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each `data[starts[i]:ends[i]]`; `view`: the `eights` of data, if they are at hand."""
+    view = eights(data) if view is None else view
+    size = ends - starts
+    h = mix(size.astype(U64) * U64(0xA0761D6478BD642F) + U64(seed))
+    todo, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(todo):
+        left = size[todo] - k
+        h[todo] = mix(h[todo] ^ (view[starts[todo] + k] & _FIRST[np.minimum(left, 8)]))
+        k += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] ^= U64(int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little"))
+    return h
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -106,11 +118,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if len(data) == 0:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
     starts, ends = word_spans(data, offsets)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_LOW[data] * power[:-1], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F)), np.searchsorted(starts, offsets)
+    return span_hashes(LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

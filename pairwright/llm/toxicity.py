@@ -45,17 +45,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     after = np.concatenate((inside[1:], [False]))
     after[edges[edges > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    power, inverse = ts._powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(ts._LOW[data] * power[:-1], out=sums[1:])
+    low = ts.LOWER[data]
+    view = ts.eights(low)
     of = np.searchsorted(offsets, starts, "right") - 1
-    texts, hashes = [of], [(sums[ends] - sums[starts]) * inverse[starts]]
+    texts, hashes = [of], [ts.span_hashes(low, starts, ends, view=view)]
     for k in STEMS:
         long = np.flatnonzero(ends - starts > k)
-        s = starts[long]
         texts.append(of[long])
-        hashes.append((sums[s + k] - sums[s]) * inverse[s] + U64(k))
-    return np.concatenate(texts), ts.mix(np.concatenate(hashes)) & ~U64(1)
+        hashes.append(ts.span_hashes(low, starts[long], starts[long] + k, 1, view))
+    return np.concatenate(texts), np.concatenate(hashes) & ~U64(1)
 
 
 def feature_set(text: str | bytes) -> np.ndarray:
