@@ -6,9 +6,9 @@ so equal strings are parsed alike wherever they stand, and a string of `length`
 belongs to the one trigger that is least in its first `SPAN` positions.  What it consists of
 is a suffix of the phrase before that trigger and a prefix of the text after it.
 
-1. Dictionary.  Triggers are dealt by the hash of the bytes that all their strings share.  A
+1. Dictionary.  Triggers are dealt by a digest of the bytes that all their strings share.  A
    trigger that is alone has no repeated string; most text ends here.  Triggers whose
-   whole ranges are equal are repeated entirely, and one of them stands for all.
+   whole ranges are equal, by a digest of 128 bits, are repeated entirely, and one of them stands for all.
 2. Order.  What is left, a trigger for each distinct range, is sorted twice per dealt
    group: by the text after the trigger (the suffix order of the parse) and by the
    reversed phrase before it (the order of dictionary suffixes).  Common-prefix lengths
@@ -23,6 +23,7 @@ hashes each of their strings and deals by that, so no task gets such a group.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +35,24 @@ from pairwright.llm import textscan as ts
 from pairwright.llm.scratch import Scratch
 
 U64 = np.uint64
-ROLL, SPAN = 16, 200
+#: Bytes hashed for a trigger, positions of which one is a trigger, bytes of a digest.
+ROLL, SPAN, MIDDLE = 16, 200, 16
 _POS = 21
 _MASK = U64((1 << _POS) - 1)
 
 
-def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    power, inverse = ts._powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(ts._RAW[data] * power[:-1], out=sums[1:])
-    return sums, inverse
+def _rolled(data: np.ndarray) -> np.ndarray:
+    """A hash of the `ROLL` = 16 bytes from each position on; it only has to pick triggers."""
+    view = ts.eights(data)[: len(data) - 7].copy()
+    x = view[:-8] * U64(0x9E3779B97F4A7C15) + view[8:] * U64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> U64(32)
+    return x * U64(0xD6E8FEB86659FD93)
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 2): 128 bits of BLAKE2b of each range, which stand for its bytes from here on."""
+    raw, blake = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    return np.frombuffer(b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())]), "<u8").reshape(-1, 2)
 
 
 def _least(x: np.ndarray, span: int) -> np.ndarray:
@@ -68,13 +77,12 @@ def _segments(off: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int
 
 
 def triggers(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, key, whole, first start, last start, trigger), offsets within the text, for every trigger that owns strings."""
+    """(text, key, two halves of whole, first start, last start, trigger), offsets within the text, for every trigger that owns strings."""
     for i, j, a, b in _segments(off, length):
         part = data[a:b]
         if len(part) < length:
             continue
-        sums, inverse = _sums(part)
-        roll = ts.mix((sums[ROLL:] - sums[:-ROLL]) * inverse[: len(part) - ROLL + 1])
+        roll = _rolled(part)
         tagged = (roll & ~_MASK) | np.arange(len(roll), dtype=U64)
         at = (_least(tagged, SPAN) & _MASK).astype(np.int64)
         ends = np.minimum(off[i + 1 : j + 1], b) - a
@@ -89,18 +97,19 @@ def triggers(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[n
         p = at[s]
         new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (text[1:] != text[:-1])])
         first, last, p, text = s[new], s[np.r_[new[1:] - 1, len(s) - 1]], p[new], text[new]
-        shared = p + (length - SPAN + 1)
-        key = ts.mix((sums[shared] - sums[p]) * inverse[p])
-        end = last + length
-        whole = ts.mix((sums[end] - sums[first]) * inverse[first] + ts.mix((end - first).astype(U64) * U64(1 << 20) + (p - first).astype(U64)))
+        key = _digests(part, p, p + (length - SPAN + 1))[:, 0]
+        whole = _digests(part, first, last + length)
+        place = ts.mix((p - first).astype(U64))
         back = off[i + text] - a
-        yield i + text, key, whole, first - back, last - back, p - back
+        yield i + text, key, whole[:, 0] ^ place, whole[:, 1], first - back, last - back, p - back
+
+
+ROW = ["key", "whole", "half", "rid", "first", "last", "at", "state"]
 
 
 def _parse(length: int):
     """One row per trigger.  Ranges met twice within a batch are known to be repeated: one row of
     them goes to the others of its key as `state` 1, the rest are dealt at random as 2."""
-    names = ["key", "whole", "rid", "first", "last", "at", "state"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,37 +118,39 @@ def _parse(length: int):
             found = list(triggers(data, off, length))
             if not found:
                 continue
-            text, key, whole, first, last, at = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((whole, key))
-            same = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+            text, key, whole, half, first, last, at = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((half, whole, key))
+            same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (key, whole, half)])
             state = np.zeros(len(key), np.int32)
             state[order] = np.where(np.r_[False, same], 2, np.where(np.r_[same, False], 1, 0))
             own = rid[text]
             key = np.where(state == 2, ts.mix(own.view(U64) + at.astype(U64) * U64(0x9E3779B97F4A7C15)), key)
             for s in range(0, len(key), 100_000):
                 cut = slice(s, s + 100_000)
-                yield pa.RecordBatch.from_arrays([ts.long_array(key[cut]), ts.long_array(whole[cut]), pa.array(own[cut]), *(pa.array(x[cut].astype(np.int32)) for x in (first, last, at, state))], names)
+                yield pa.RecordBatch.from_arrays([*(ts.long_array(x[cut]) for x in (key, whole, half)), pa.array(own[cut]), *(pa.array(x[cut].astype(np.int32)) for x in (first, last, at, state))], ROW)
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, whole).  kind 0: a range that is repeated as a whole; where a key
+    """Rows sorted by (key, whole, half).  kind 0: a range that is repeated as a whole; where a key
     has several ranges, 1: one of those, 2: a range that is alone."""
     names = ["kind", "key", "rid", "first", "last", "at"]
     waiting = None  # the representative of a key's first range, while it has only one
     last_key, last_many = None, False
 
     def out(kind, rows) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(rows[0]))), *(pa.array(rows[k]) for k in (0, 2, 3, 4, 5))], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(rows[0]))), *(pa.array(rows[k]) for k in (0, 3, 4, 5, 6))], names)
+
+    def changes(rows) -> np.ndarray:
+        return np.logical_or.reduce([x[1:] != x[:-1] for x in rows[:3]])
 
     def work(rows) -> Iterator[pa.RecordBatch]:
-        """Whole runs of equal (key, whole)."""
+        """Whole runs of equal (key, whole, half)."""
         nonlocal waiting, last_key
-        key, whole = rows[0], rows[1]
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])])
-        size = np.diff(np.r_[start, len(key)])
-        several_rows = np.add.reduceat(1 + (rows[6] == 1), start) > 1
+        start = np.flatnonzero(np.r_[True, changes(rows)])
+        size = np.diff(np.r_[start, len(rows[0])])
+        several_rows = np.add.reduceat(1 + (rows[7] == 1), start) > 1
         full = np.repeat(several_rows, size)
         if full.any():
             yield out(0, [x[full] for x in rows])
@@ -160,8 +171,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        now = [batch.column(k).to_numpy() for k in range(7)]
-        known = now[6] == 2
+        now = [batch.column(k).to_numpy() for k in range(8)]
+        known = now[7] == 2
         if known.any():
             yield out(0, [x[known] for x in now])
             now = [x[~known] for x in now]
@@ -170,7 +181,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         if len(held[0]) < 100_000:
             continue
-        run = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
+        run = np.flatnonzero(changes(held))
         if len(run):
             cut = int(run[-1]) + 1
             yield from work([x[:cut] for x in held])
@@ -194,7 +205,8 @@ def _contexts(length: int):
                 text = data[off[i] : off[i + 1]].tobytes()
                 for m in marks:
                     p = m["at"]
-                    for c, v in zip(cols, (m["key"], m["kind"], rid, p, p - m["last"], p - m["first"], text[m["first"] : p], text[p + shared : m["last"] + length])):
+                    middle = hashlib.blake2b(text[p : p + shared], digest_size=MIDDLE).digest()
+                    for c, v in zip(cols, (m["key"], m["kind"], rid, p, p - m["last"], p - m["first"], text[m["first"] : p], middle + text[p + shared : m["last"] + length])):
                         c.append(v)
             types = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 3, pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
@@ -203,8 +215,7 @@ def _contexts(length: int):
 
 
 def _strings(length: int):
-    """Every string of the marked ranges by its own hash, in the columns of `_parse`."""
-    names = ["key", "whole", "rid", "first", "last", "at", "state"]
+    """Every string of the marked ranges by its own digest, in the columns of `_parse`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,9 +224,9 @@ def _strings(length: int):
                 text = data[off[i] : off[i + 1]]
                 for m in marks:
                     s = np.arange(m["first"], m["last"] + 1)
-                    sums, inverse = _sums(text[m["first"] : m["last"] + length])
-                    h = ts.long_array(ts.mix((sums[s - s[0] + length] - sums[s - s[0]]) * inverse[s - s[0]]))
-                    yield pa.RecordBatch.from_arrays([h, h, pa.array(np.full(len(s), rid)), *[pa.array(s.astype(np.int32))] * 3, pa.array(np.zeros(len(s), np.int32))], names)
+                    h = _digests(text, s, s + length)
+                    key, half = ts.long_array(h[:, 0]), ts.long_array(h[:, 1])
+                    yield pa.RecordBatch.from_arrays([key, key, half, pa.array(np.full(len(s), rid)), *[pa.array(s.astype(np.int32))] * 3, pa.array(np.zeros(len(s), np.int32))], ROW)
 
     return run
 
@@ -231,9 +242,12 @@ def _order(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def combine(key: np.ndarray, low: np.ndarray, high: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
-    """For each trigger and offset r (string start = trigger - r), whether another trigger of the key has an equal string."""
+    """For each trigger and offset r (string start = trigger - r), whether another trigger of the key has an equal string.
+
+    `after` begins with `MIDDLE` bytes of digest of what all strings of a trigger share; the key alone only deals.
+    """
     n, width = len(key), -(-SPAN // 8) * 8
-    left, right = np.zeros((n, width), np.uint8), np.zeros((n, width), np.uint8)
+    left, right = np.zeros((n, width), np.uint8), np.zeros((n, width + MIDDLE), np.uint8)
     for k in range(n):
         x = before[k][::-1]
         left[k, : len(x)] = np.frombuffer(x, np.uint8)
@@ -247,7 +261,7 @@ def combine(key: np.ndarray, low: np.ndarray, high: np.ndarray, before: list[byt
         if len(use) < 2:
             continue
         lclass[lo] = np.cumsum(lcommon < r)
-        rclass[ro] = np.cumsum(rcommon < SPAN - 1 - r)
+        rclass[ro] = np.cumsum(rcommon < MIDDLE + SPAN - 1 - r)
         pair = lclass[use] * (n + 1) + rclass[use]
         order = np.argsort(pair, kind="stable")
         p = pair[order]
@@ -328,8 +342,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 50_000) -> Dat
     character, hence binary).  `length` must exceed `SPAN` + `ROLL`.
 
     Null texts count as empty; texts shorter than `length` stay whole.  Rows that repeat
-    an id and text are copies of each other, so both lose what is long enough; rows that
-    repeat only the id are told apart by their text.  Null ids are allowed.  Other
+    an id are texts of their own, equal or not.  Null ids are allowed.  Other
     columns are ignored; an empty table gives an empty result.
     """
     if length <= SPAN + ROLL:
@@ -337,25 +350,26 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 50_000) -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    row = "key long, whole long, rid long, first int, last int, at int, state int"
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("rid"))
+    if not base.groupBy("rid").count().filter("rid is null or count > 1").isEmpty():  # ids that don't tell rows apart: numbers that do, in a durable table
+        base = scratch.table(base.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    row = "key long, whole long, half long, rid long, first int, last int, at int, state int"
     ranged = "kind int, key long, rid long, first int, last int, at int"
     long = base.filter(F.octet_length("text") >= length).select("rid", "text")
     parsed = long.mapInArrow(ts.tidied(_parse(length)), row)
-    found = scratch.table(parsed.repartition(n, "key").sortWithinPartitions("key", "whole").mapInArrow(ts.tidied(_repeated), ranged), "found")
+    found = scratch.table(parsed.repartition(n, "key").sortWithinPartitions("key", "whole", "half").mapInArrow(ts.tidied(_repeated), ranged), "found")
     whole = found.filter("kind = 0").select("rid", "first", "last")
     marked = found.filter("kind > 0")
     groups = scratch.table(marked.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("kind").alias("k")).filter("k = 2").select("key", (F.col("m") > hot).alias("hot")), "groups")
     marked = marked.join(groups, "key")
     marks = marked.groupBy("rid").agg(F.collect_list(F.struct("key", "kind", "first", "last", "at", "hot")).alias("marks"))
-    texts = long.dropDuplicates(["rid"]) if bool(base.groupBy("rid").count().filter("count > 1").limit(1).count()) else long
-    here = scratch.table(texts.join(marks, "rid"), "marked")
+    here = scratch.table(long.join(marks, "rid"), "marked")
     some = here.withColumn("marks", F.filter("marks", lambda m: ~m["hot"])).filter(F.size("marks") > 0)
     context = some.mapInArrow(ts.tidied(_contexts(length)), "key long, kind int, rid long, at int, low int, high int, before binary, after binary")
     ranges = whole.unionByName(context.repartition(n, "key").sortWithinPartitions("key").mapInArrow(ts.tidied(_combined(length)), "rid long, first int, last int"))
     if not groups.filter("hot").isEmpty():
         strings = here.withColumn("marks", F.filter("marks", lambda m: m["hot"])).filter(F.size("marks") > 0).mapInArrow(ts.tidied(_strings(length)), row)
-        more = strings.repartition(n, "key").sortWithinPartitions("key", "whole").mapInArrow(ts.tidied(_repeated), ranged)
+        more = strings.repartition(n, "key").sortWithinPartitions("key", "whole", "half").mapInArrow(ts.tidied(_repeated), ranged)
         ranges = ranges.unionByName(more.filter("kind = 0").select("rid", "first", "last"))
     per = ranges.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     rows = base.join(per, "rid", "left").select("doc_id", "text", "ranges")

@@ -87,3 +87,41 @@ def test_other_lengths_and_empty(spark):
     assert sd.remove_repeats(frame(spark, [])).count() == 0
     with pytest.raises(ValueError, match="length"):
         sd.remove_repeats(frame(spark, rows), length=100)
+
+
+def twin_texts():
+    """Strings that a polynomial modulo a power of two takes for equal, none of which repeats."""
+    from tests.llm.test_near import twins
+
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("cdefgh") for _ in range(n))
+    rows = []
+    for i, word in enumerate(twins(9)):
+        rows.append((i, noise(300) + word[:390] + noise(300), "", "", 0))
+        rows.append((10 + i, noise(300) + word + noise(300), "", "", 0))
+    return rows
+
+
+@pytest.mark.parametrize("how", [{}, {"hot": 1}])
+def test_strings_that_a_polynomial_confuses(spark, how):
+    rows = twin_texts()
+    assert result(frame(spark, rows), **how) == brute(rows)
+
+
+def test_ids_that_repeat(spark):
+    a, b = overlapping()[3][1], overlapping()[60][1]
+    rows = [(1, a * 3, "", "", 0), (1, a * 3, "", "", 0), (1, b, "", "", 0), (None, b + "x", "", "", 0), (None, "y" * 20 + a, "", "", 0)]
+    assert result(frame(spark, rows)) == brute(rows)
+
+
+def test_one_very_common_passage(spark):
+    """Over many partitions, as a hot key meets them."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghij klm") for _ in range(700))
+    rows = [(i, "".join(rng.choice("nopqrs tuvw") for _ in range(rng.randrange(0, 250))) + (passage[rng.randrange(0, 150) : 700 - rng.randrange(0, 150)] if i % 3 else "") + "".join(rng.choice("nopqrs") for _ in range(rng.randrange(0, 250))), "", "", 0) for i in range(900)]
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        got = result(frame(spark, rows).repartition(61))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute(rows)
