@@ -32,6 +32,8 @@ U64 = np.uint64
 _SLICE = 1 << 14
 #: Rows of sorted lists that a task holds at a time.
 HELD = 200_000
+#: More sets that share half a fingerprint with another one are taken for an error.
+SHARED = 100_000
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -43,24 +45,40 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
             yield i + k, s
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """64 bits of a whole set, by the sum of its mixed members and its size."""
-    total = int(ts.mix(shingles ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64))
-    return int(ts.mix(np.array([(total + len(shingles) * 0x9E3779B97F4A7C15) % (1 << 64)], U64))[0])
+def fingerprint(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128 bits of a whole set, in two halves: sums of its members, mixed in two ways, and its size.
+
+    `bits` of the first half are kept; fewer only make its collisions frequent, for tests.
+    """
+    first = int(ts.mix(shingles ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64))
+    second = int(ts.mix(shingles * U64(0xDA942042E4DD58B5) + U64(0x2545F4914F6CDD1D)).sum(dtype=U64))
+    x = ts.mix(np.array([(first + len(shingles) * 0x9E3779B97F4A7C15) % (1 << 64), (second + len(shingles)) % (1 << 64)], U64))
+    return int(x[0]) >> (64 - bits), int(x[1])
+
+
+class _Node:
+    """The 64 bits that a set goes by: the first half of its fingerprint, or the second where different sets share the first."""
+
+    def __init__(self, bits: int, shared: frozenset[int]) -> None:
+        self.bits, self.shared = bits, shared
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        first, second = fingerprint(shingles, self.bits)
+        return second if first in self.shared else first
 
 
-def _scanner(words: int, bits: int):
+def _scanner(words: int, bits: int, id_bits: int):
     shift = U64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int64)
-        names = ["doc_id", "n", "fp", "slice", "counts"]
+        names = ["doc_id", "n", "first", "second", "slice", "counts"]
         for batch in batches:
-            n, fp, held = np.zeros(len(batch), np.int32), np.zeros(len(batch), U64), []
+            n, fp, held = np.zeros(len(batch), np.int32), np.zeros((2, len(batch)), U64), []
             for row, s in _sets(batch, words):
                 n[row] = len(s)
                 if len(s):
-                    fp[row] = fingerprint(s)
+                    fp[:, row] = fingerprint(s, id_bits)
                     held.append(s)
                 if len(held) >= 500:
                     counts += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=1 << bits)
@@ -68,11 +86,11 @@ def _scanner(words: int, bits: int):
             if held:
                 counts += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=1 << bits)
             rows = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), ts.long_array(fp), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), ts.long_array(fp[0]), ts.long_array(fp[1]), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         parts = max(1, (1 << bits) // _SLICE)
         if counts.any():
             rows = [x.astype(np.uint32).tobytes() for x in np.split(counts, parts)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int32()), pa.nulls(parts, pa.int64()), pa.array(np.arange(parts, dtype=np.int32)), pa.array(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int32()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.array(np.arange(parts, dtype=np.int32)), pa.array(rows, pa.binary())], names)
 
     return run
 
@@ -93,7 +111,7 @@ def _rotated(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
     return (x << r) | (x >> ((U64(64) - r) & U64(63)))
 
 
-def _prefixes(words: int, sketch: np.ndarray, bits: int, num: int, den: int, hot: int):
+def _prefixes(words: int, node_of: _Node, sketch: np.ndarray, bits: int, num: int, den: int, hot: int):
     """(shingle, node, size, shingles from this one on); the size is negative if the shingle may be in over `hot` texts."""
     shift = U64(64 - bits)
 
@@ -104,7 +122,7 @@ def _prefixes(words: int, sketch: np.ndarray, bits: int, num: int, den: int, hot
             for _, s in _sets(batch, words):
                 if not len(s):
                     continue
-                fp = fingerprint(s)
+                fp = node_of(s)
                 if fp in seen:
                     continue
                 if len(seen) < 200_000:
@@ -311,29 +329,29 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
-def _marked(words: int, name: str):
-    """Each row with the fingerprint of its text, 0 for no shingle."""
+def _marked(words: int, node_of: _Node, name: str):
+    """Each row with the node of its text, 0 for no shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.zeros(len(batch), U64)
             for row, s in _sets(batch, words):
                 if len(s):
-                    fp[row] = fingerprint(s)
+                    fp[row] = node_of(s)
             yield batch.append_column(name, ts.long_array(fp))
 
     return run
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, words: int, num: int, den: int, short: int, bits: int, rounds: int, tile: int, hot: int) -> None:
+    def __init__(self, docs: DataFrame, words: int, num: int, den: int, short: int, bits: int, rounds: int, tile: int, hot: int, id_bits: int) -> None:
         self.docs = docs.select("doc_id", "text").filter("doc_id is not null")
-        self.words, self.num, self.den, self.short, self.bits, self.rounds, self.tile, self.hot = words, num, den, short, bits, rounds, tile, hot
+        self.words, self.num, self.den, self.short, self.bits, self.rounds, self.tile, self.hot, self.id_bits = words, num, den, short, bits, rounds, tile, hot, id_bits
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
 
     def scan(self) -> None:
-        t = self.scratch.table(self.docs.mapInArrow(ts.tidied(_scanner(self.words, self.bits)), "doc_id long, n int, fp long, slice int, counts binary"), "scan")
-        self.rows = t.filter("slice is null").select("doc_id", "n", "fp")
+        t = self.scratch.table(self.docs.mapInArrow(ts.tidied(_scanner(self.words, self.bits, self.id_bits)), "doc_id long, n int, first long, second long, slice int, counts binary"), "scan")
+        scanned = t.filter("slice is null").select("doc_id", "n", "first", "second")
         parts = max(1, (1 << self.bits) // _SLICE)
         merged = t.filter("slice is not null").select("slice", "counts").repartition(parts, "slice").mapInArrow(ts.tidied(_merge_slices), "slice int, counts binary").collect()
         sketch = np.zeros(1 << self.bits, np.int64)  # 2**bits counters, whatever the input
@@ -341,12 +359,20 @@ class _Join:
             part = np.frombuffer(r["counts"], np.int64)
             sketch[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
         self.sketch = np.minimum(sketch, 2**32 - 1).astype(np.uint32)
-        self.classes = self.scratch.table(self.rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "classes")
+        classes = self.scratch.table(scanned.filter("n > 0").groupBy("first", "second").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "classes")
+        # First halves that different sets share: with N sets about N * N / 2**65, three in 10**10 sets.
+        shared = [r[0] for r in classes.groupBy("first").count().filter("count > 1").select("first").limit(SHARED + 1).collect()]
+        if len(shared) > SHARED:
+            raise RuntimeError(f"more than {SHARED} collisions of 64 bits")
+        self.node_of = _Node(self.id_bits, frozenset(x % (1 << 64) for x in shared))
+        node = F.when(F.col("first").isin(shared), F.col("second")).otherwise(F.col("first")) if shared else F.col("first")
+        self.rows = scanned.select("doc_id", "n", node.alias("fp"))
+        self.classes = classes.select(node.alias("fp"), "id", "n")
         self.total = self.classes.agg(F.sum("n")).first()[0] or 0
 
     def merge(self) -> None:
         spark = self.docs.sparkSession
-        pre = self.docs.mapInArrow(ts.tidied(_prefixes(self.words, self.sketch, self.bits, self.num, self.den, self.hot)), "sig long, o long, n int, rest int")
+        pre = self.docs.mapInArrow(ts.tidied(_prefixes(self.words, self.node_of, self.sketch, self.bits, self.num, self.den, self.hot)), "sig long, o long, n int, rest int")
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.total * (self.den - self.num) // self.den // 1_000_000)
         part = F.when(F.col("n") < 0, F.pmod(F.col("o"), F.lit(64))).otherwise(-1)  # very long lists go to many tasks
         lists = pre.repartition(tasks, "sig", part).sortWithinPartitions("sig", "o").mapInArrow(ts.tidied(_lists(self.short, self.num, self.den)), "kind int, a long, b long, na int, nb int, c int")
@@ -368,7 +394,7 @@ class _Join:
         ids = self.classes.join(nodes, "fp", "left_semi").select("id", "fp")
         one = self.docs.join(ids, self.docs["doc_id"] == ids["id"]).select("fp", "text")
         if self.repeats:  # an id may have other texts besides
-            one = one.mapInArrow(ts.tidied(_marked(self.words, "own")), "fp long, text string, own long").filter("fp = own").dropDuplicates(["fp"]).drop("own")
+            one = one.mapInArrow(ts.tidied(_marked(self.words, self.node_of, "own")), "fp long, text string, own long").filter("fp = own").dropDuplicates(["fp"]).drop("own")
         self.cand = self.scratch.table(one, "texts")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -441,26 +467,27 @@ class _Join:
         return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "fp")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3, tile: int = 16_384, hot: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3, tile: int = 16_384, hot: int = 500_000, id_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs` with a doc_id.
 
     `num / den` is the similarity, `short` the length from which a short list is treated
     by components first, `rounds` how often its members are tried against hubs, `tile` how
     many of them a task takes, `hot` the length from which a list is merged in many tasks, `bits` the size of
-    the table of counters that orders the shingles; these five don't change the result.  Null and empty texts have no shingle and
+    the table of counters that orders the shingles, `id_bits` the width of the first half of a set's
+    fingerprint; these six don't change the result.  Sets are the same where 128 bits of fingerprint agree.  Null and empty texts have no shingle and
     stay alone; texts of fewer than `words` words are one shingle, their whole sequence.
     Rows without doc_id have no place in the result; rows that repeat an id are one row
     each.  Other columns are ignored; an empty table gives an empty result.
     """
-    return _Join(docs, words, num, den, short, bits, rounds, tile, hot).run().drop("fp")
+    return _Join(docs, words, num, den, short, bits, rounds, tile, hot, id_bits).run().drop("fp")
 
 
-def drop_near(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3, tile: int = 16_384, hot: int = 500_000) -> DataFrame:
+def drop_near(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, short: int = 32, bits: int = 18, rounds: int = 3, tile: int = 16_384, hot: int = 500_000, id_bits: int = 64) -> DataFrame:
     """`docs` without the rows that `near_duplicates` links to a smaller doc_id; rows of one id go or stay by their own text."""
-    join = _Join(docs, words, num, den, short, bits, rounds, tile, hot)
+    join = _Join(docs, words, num, den, short, bits, rounds, tile, hot, id_bits)
     gone = join.run().filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp"))
     if not join.repeats:
         return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    marked = docs.mapInArrow(ts.tidied(_marked(words, "__fp")), schema)
+    marked = docs.mapInArrow(ts.tidied(_marked(words, join.node_of, "__fp")), schema)
     return marked.join(gone, (marked["doc_id"] == F.col("__gone")) & (F.col("__fp") == F.col("__gone_fp")), "left_anti").drop("__fp")

@@ -49,13 +49,42 @@ def brute(rows):
     return sorted((d, len(s), u.find(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize("how", [{}, {"short": 2}, {"short": 2, "rounds": 0}, {"bits": 14}, {"short": 2, "tile": 5}, {"short": 2, "tile": 3, "rounds": 0}, {"hot": 5}, {"hot": 1, "short": 4}])
+@pytest.mark.parametrize("how", [{}, {"short": 2}, {"short": 2, "rounds": 0}, {"bits": 14}, {"short": 2, "tile": 5}, {"short": 2, "tile": 3, "rounds": 0}, {"hot": 5}, {"hot": 1, "short": 4}, {"id_bits": 5}, {"id_bits": 3, "short": 4}])
 def test_near_duplicates(spark, how):
     rows = documents(seed=len(str(how)))
     got = nj.near_duplicates(clashing(frame(spark, rows)), **how).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+def twins(n=10, a="a", b="b"):
+    """Two words of 2**n bytes that any polynomial modulo a power of two takes for one."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    from pairwright.llm import textscan as ts
+
+    x, y = twins()
+    text = f"{x} {y} {x[:64]} {y[:64]} {x[:63]} {y[:63]}".encode()
+    assert len(set(ts.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist())) == 6
+    rows = [(1, x, "", "", 0), (2, y, "", "", 0), (3, x.upper(), "", "", 0)]
+    assert sorted(map(tuple, nj.near_duplicates(frame(spark, rows)).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_span_hashes_depend_on_the_bytes_alone():
+    from pairwright.llm import textscan as ts
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, 5000).astype(np.uint8)
+    starts = rng.integers(0, 4000, 3000)
+    ends = starts + rng.integers(0, 140, 3000)
+    h = ts.span_hashes(data, starts, ends)
+    spans = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert len(set(h.tolist())) == len(set(spans)) == len(set(zip(spans, h.tolist())))
+
+
 def test_large_group_of_near_copies(spark):
     import random
 
