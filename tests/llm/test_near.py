@@ -154,6 +154,26 @@ def test_near_vectors(spark, d, how):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_planted_links_among_many_vectors(spark):
+    """10,000 vectors of 64 dimensions: copies at every distance around the threshold, a few blobs, the rest random."""
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((10_000, 64))
+    for i in range(2_000):  # cosine from 0.6 to 1
+        m[8_000 + i] = m[i] + rng.standard_normal(64) * rng.uniform(0, 0.9)
+    m[6_000:6_300] = m[0] + rng.standard_normal((300, 64)) * rng.uniform(0.1, 0.35, (300, 1))
+    m = m.astype(np.float32)
+    u = ej.unit(m)
+    x, y = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
+    up = Union(range(len(m)))
+    for a, b in zip(x.tolist(), y.tolist()):
+        up.join(a, b)
+    links = np.bincount(np.r_[x, y], minlength=len(m))
+    assert len(x) > 10_000
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in ej.near_vectors(df).collect())
+    assert got == [(i, int(links[i]), up.find(i)) for i in range(len(m))]
+
+
 def test_vectors_odd_rows(spark):
     assert ej.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (None, [1.0, 0.0])]
