@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +28,12 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("femmes", "hommes", "musulmans", "juifs", "chrétiens"),
     ("mujeres", "hombres", "musulmanes", "judíos", "cristianos"),
 )
+#: What may stand for any term besides: nothing, or a word that names no group.
+NEUTRAL = ("", "people")
 #: Bytes of the word beginnings that count as features beside the words: inflected forms share them.
 STEMS = (4, 5, 6, 7, 8, 9)
 
+_WORDS, _SENTENCE_ENDS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[.!?\n]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -63,13 +69,61 @@ def feature_set(text: str | bytes) -> np.ndarray:
     return np.sort(np.concatenate((base, base[n > 1] | U64(1))))
 
 
+@functools.lru_cache(maxsize=4096)
+def _forms(term: str) -> frozenset[int]:
+    """Even features of a term that is named once."""
+    return frozenset(int(h) for h in feature_set(term) & ~U64(1))
+
+
+def counterfactuals(text: bytes, groups: tuple[tuple[str, ...], ...]) -> Counter:
+    """(features that go, features that come) and how often, for every swap of an identity term in a text.
+
+    In each sentence that names a term, all its mentions there become another term of the
+    group, a neutral word, or nothing; the same is done in the whole text at once, so that
+    terms that are named in several sentences count as repeated.
+    """
+    named = {t for g in groups for t in g}
+    if not named:
+        return Counter()
+    known = {t.encode() for t in named}
+    parts = [p for p in _SENTENCE_ENDS.split(text) if not known.isdisjoint(w.lower() for w in _WORDS.findall(p))]
+    if not parts:
+        return Counter()
+    if len(parts) > 1:
+        parts.append(text)
+    forms = {t: _forms(t) for t in (*named, *NEUTRAL)}
+    watched = frozenset().union(*forms.values())
+    out: Counter = Counter()
+    for p in parts:
+        mentions = Counter(w.lower().decode("utf-8", "replace") for w in _WORDS.findall(p))
+        base, n = np.unique(features(np.frombuffer(p, np.uint8), np.array([0, len(p)]))[1], return_counts=True)
+        count = {h: k for h, k in zip(base.tolist(), n.tolist()) if h in watched}
+        for group in groups:
+            for term in group:
+                if not mentions[term]:
+                    continue
+                for other in (*group, *NEUTRAL):
+                    if other == term:
+                        continue
+                    go, come = [], []
+                    for h in sorted(forms[term] ^ forms[other]):
+                        before = count.get(h, 0)
+                        after = before + (mentions[term] if h in forms[other] else -mentions[term])
+                        for least, f in ((1, h), (2, h | 1)):
+                            if (before >= least) != (after >= least):
+                                (come if after >= least else go).append(f)
+                    out[tuple(go), tuple(come)] += 1
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
-    """Selected feature hashes (sorted), their weights, and the intercept."""
+    """Selected feature hashes (sorted), their weights, the intercept, and how many swaps the fit was held to."""
 
     hashes: np.ndarray
     weights: np.ndarray
     bias: float
+    swaps: int = 0
 
     def scores(self, column) -> np.ndarray:
         data, off = ts.text_bytes(column)
@@ -90,11 +144,24 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -500, 500)))
 
 
-def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, off = ts.text_bytes(batch.column("text"))
-        rows = [feature_set(data[off[i] : off[i + 1]].tobytes()).view(np.int64) for i in range(len(off) - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "toxic", "features"])
+_SWAPS = pa.list_(pa.struct([("go", pa.list_(pa.int64())), ("come", pa.list_(pa.int64())), ("n", pa.int64())]))
+
+
+def _featurised(groups):
+    def signed(hashes) -> list[int]:
+        return np.array(hashes, U64).view(np.int64).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = ts.text_bytes(batch.column("text"))
+            rows, swaps = [], []
+            for i in range(len(off) - 1):
+                text = data[off[i] : off[i + 1]].tobytes()
+                rows.append(feature_set(text).view(np.int64))
+                swaps.append([{"go": signed(go), "come": signed(come), "n": n} for (go, come), n in counterfactuals(text, groups).items()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64())), pa.array(swaps, _SWAPS)], ["doc_id", "toxic", "features", "swaps"])
+
+    return run
 
 
 def _among(hashes: np.ndarray):
@@ -127,19 +194,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, top: int = 4096, fairness: float = 4.0, sparsity: float = 5e-4, rounds: int = 300, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, top: int = 4096, fairness: float = 1.0, sparsity: float = 5e-4, rounds: int = 300, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> Model:
     """Fit on a bounded sample: at most `per_class` labelled documents of either class.
 
     Documents are sets of hashed words and word beginnings, each in two forms: it occurs, it occurs again.  The `top` features whose
     frequency differs most between the classes enter an L1-regularised logistic
-    regression.  Each labelled text that mentions an identity term is paired with copies
-    in which the other terms of its group stand there instead, and `fairness` times the
-    mean squared difference of the pair's scores is added to the loss: a mention by itself
-    moves the score little, however it was distributed over the labels.  Scores depend on
+    regression.  In each labelled sentence that names an identity term, the term is swapped for the others of its group,
+    a neutral word and nothing, and `fairness` times the mean squared change of the score
+    is added to the loss: neither which group is named nor that one is named moves the
+    score much, however mentions were distributed over the labels.  Texts without such a
+    term give no swap, and without any the model is a plain L1 regression.  Scores depend on
     the text only.  Without rows of both classes the model is the constant 0.5, or the only class seen: 0 or 1 smoothed.
+
+    Null texts count as empty, labels without document and documents without label aren't
+    used, rows that repeat a document count once.  Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
-    sample = labelled_sample(docs, labels, per_class).mapInArrow(ts.tidied(_featurised), "doc_id long, toxic int, features array<long>")
+    sample = labelled_sample(docs, labels, per_class).mapInArrow(ts.tidied(_featurised(groups)), "doc_id long, toxic int, features array<long>, swaps array<struct<go: array<long>, come: array<long>, n: long>>")
     sample = scratch.table(sample.distinct(), "features")  # rows that repeat a document count once
     n0, n1 = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     if not n0 or not n1:
@@ -148,74 +219,72 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, top: int = 40
     rate = F.col("n") / F.lit(float(n0 + n1))
     z = F.abs(F.col("pos") / F.lit(float(n1)) - (F.col("n") - F.col("pos")) / F.lit(float(n0))) / F.sqrt(rate * (1 - rate) + 1e-12)
     best = counts.filter("n >= 3").withColumn("z", z).orderBy(F.col("z").desc(), "f").limit(top).select("f")
-    terms = np.unique(np.concatenate([f for g in groups for t in g for f in _forms(t)])).view(np.int64).tolist() if any(groups) else []
+    terms = np.array(sorted({f for g in groups for t in g for h in _forms(t) for f in (h, h | 1)}), U64).view(np.int64).tolist()
     named = counts.filter(F.col("f").isin(terms)).select("f")
     hashes = np.unique(np.array([r["f"] for r in best.union(named).collect()], np.int64).view(U64))  # at most `top` and the terms'
-    rows = sample.mapInArrow(ts.tidied(_among(hashes)), "doc_id long, toxic int, at array<int>").orderBy("doc_id", "toxic", "at").collect()
+    rows = sample.select("doc_id", "toxic", "features").mapInArrow(ts.tidied(_among(hashes)), "doc_id long, toxic int, at array<int>").orderBy("doc_id", "toxic", "at").collect()
     y = np.array([r["toxic"] for r in rows], float)
     sets = [np.array(r["at"], np.int64) for r in rows]
+    # Swaps that move the same features are one row; they differ by terms and by which beginnings a sentence has elsewhere.
+    swaps = sample.select(F.explode("swaps").alias("s")).groupBy("s.go", "s.come").agg(F.sum("s.n").alias("n")).orderBy("go", "come").collect()
+    pairs, often = [], []
+    for r in swaps:
+        go, come = (_positions(np.array(x, np.int64).view(U64), hashes) for x in (r["go"], r["come"]))
+        pairs.append((go, come))
+        often.append(r["n"])
     x_row, x_col = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
-    w, bias = _train(x_row, x_col, y, len(hashes), _swaps(sets, hashes, groups), fairness, sparsity, rounds)
+    w, bias = _train(x_row, x_col, y, len(hashes), pairs, fairness, sparsity, rounds, np.array(often, float))
     used = np.flatnonzero(w)
-    return Model(hashes[used], w[used], bias)
+    return Model(hashes[used], w[used], bias, int(sum(often)))
 
 
-def _forms(term: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a term that is named once, and those that come when it is named again."""
-    base = np.unique(feature_set(term) & ~U64(1))
-    return base, base | U64(1)
+def _positions(f: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places in `hashes` (sorted); what isn't there has no weight to move."""
+    at = np.minimum(np.searchsorted(hashes, f), max(len(hashes) - 1, 0))
+    return at[hashes[at] == f] if len(hashes) else at[:0]
 
 
-def _swaps(sets: list[np.ndarray], hashes: np.ndarray, groups) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each mention of a term and each other term of its group: the features that go and those that come.
+def _curvature(apply, size: int, rounds: int = 40) -> float:
+    """The largest eigenvalue of a symmetric positive operator, by power iteration from a fixed start."""
+    v, most = 1.0 + np.arange(size) % 7, 0.0
+    for _ in range(rounds):
+        v = v / np.sqrt(v @ v)
+        u = apply(v)
+        most = max(most, float(v @ u))
+        if not u.any():
+            break
+        v = u
+    return most
 
-    `sets` are positions in `hashes` (sorted); what isn't there has no weight to move.
-    Where a text names the term again, so does the copy the other one.
-    """
 
-    def positions(f: np.ndarray) -> tuple[np.ndarray, bool]:
-        at = np.minimum(np.searchsorted(hashes, f), max(len(hashes) - 1, 0))
-        hit = hashes[at] == f if len(hashes) else np.zeros(len(f), bool)
-        return at[hit], bool(hit.all())
+def _train(row, col, y, size, pairs, fairness, sparsity, rounds, often=None) -> tuple[np.ndarray, float]:
+    """Accelerated proximal gradient on mean logistic loss + L1 + fairness * mean squared score change of the pairs.
 
-    known = {term: tuple(positions(f) for f in _forms(term)) for term in {t for g in groups for t in g}}
-    out = []
-    for s in sets:
-        mine = set(s.tolist())
-        for group in groups:
-            for term in group:
-                (own, whole), (again, all_again) = known[term]
-                if not whole or not mine.issuperset(own.tolist()):
-                    continue
-                twice = all_again and mine.issuperset(again.tolist())
-                now = np.r_[own, np.intersect1d(again, s)]
-                for o in group:
-                    if o != term:
-                        (first, _), (second, _) = known[o]
-                        both = np.r_[first, second]
-                        out.append((np.setdiff1d(now, both), np.setdiff1d(both if twice else first, np.r_[own, again])))
-    return out
-
-
-def _train(row, col, y, size, pairs, fairness, sparsity, rounds) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient on mean logistic loss + L1 + fairness * mean squared score change of the pairs."""
+    `often`: how many swaps each pair (features that go, that come) stands for.
+    """
     n = len(y)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     go = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs]) if pairs else np.zeros(0, int)
     which = np.concatenate([np.concatenate(p) for p in pairs]).astype(int) if pairs else np.zeros(0, int)
     sign = np.concatenate([np.r_[-np.ones(len(a)), np.ones(len(b))] for a, b in pairs]) if pairs else np.zeros(0)
-    per_row = np.bincount(row, minlength=n)
-    step = 1.0 / (0.25 * (np.average(per_row, weights=weight) + 1) * 4 + 2 * fairness * (np.bincount(go).max() if len(go) else 0))
+    share = np.ones(len(pairs)) if often is None else often
+    share = share / max(share.sum(), 1)
+
+    def unfair(v):
+        change = np.bincount(go, sign * v[which], len(pairs)) if len(pairs) else np.zeros(0)
+        return 2 * fairness * np.bincount(which, sign * (share * change)[go], size)
+
+    def second(vb):
+        margin = weight * (np.bincount(row, vb[col], n) + vb[size])
+        return np.r_[0.25 * np.bincount(col, margin[row], size) + unfair(vb[:size]), 0.25 * margin.sum()]
+
+    step = 1.0 / (1.1 * _curvature(second, size + 1) + 1e-9)
     w, b = np.zeros(size), 0.0
     v, c, t = w, b, 1.0
     for _ in range(rounds):
         margin = np.bincount(row, v[col], n) + c
         g = weight * (1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))) - y)
-        grad = np.bincount(col, g[row], size)
-        if len(pairs):
-            change = np.bincount(go, sign * v[which], len(pairs))
-            grad += 2 * fairness / len(pairs) * np.bincount(which, sign * change[go], size)
-        new = v - step * grad
+        new = v - step * (np.bincount(col, g[row], size) + unfair(v))
         new = np.sign(new) * np.maximum(np.abs(new) - step * sparsity, 0)
         new_b, new_t = c - step * g.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
         if (new - w) @ (v - new) > 0:  # restart

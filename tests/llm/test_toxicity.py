@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from pairwright.llm import textscan as ts
 from pairwright.llm import toxicity as tx
 from tests.llm.helpers import clashing, documents, frame, prose
 
@@ -54,36 +57,92 @@ def score_of(model, *texts):
 def test_mentions_stay_neutral(spark, fitted):
     docs, marks, model = fitted
     plain = tx.fit(docs, marks.filter(~tx.held_out()), fairness=0.0)
-    said = ["the muslims met here", "the jews met here", "the christians met here"]
-    spread = lambda m: np.ptp(np.log(score_of(m, *said) / (1 - score_of(m, *said))))
-    assert spread(model) <= spread(plain) + 1e-9
-    assert (score_of(model, *said) < 0.3).all()
+    logit = lambda m, t: float(np.log(score_of(m, t)[0] / (1 - score_of(m, t)[0])))
+    assert model.swaps > 100
+    for said in ("the muslims met here", "the jews met here", "the christians met here"):
+        # Neither which group is named nor that one is named moves the score.
+        without = said.replace("muslims ", "").replace("jews ", "").replace("christians ", "")
+        assert abs(logit(model, said) - logit(model, without)) < 0.1
+        assert logit(plain, said) >= logit(plain, without)
+        assert score_of(model, said)[0] < 0.3
     assert score_of(model, "the grolms are vexarning, you sknutter")[0] > 0.8
 
 
-def test_counterfactual_pairs_pull_terms_together():
-    sets = [tx.feature_set("the muslims met"), tx.feature_set("jews and christians")]
-    hashes = np.unique(np.concatenate(sets))
-    at = [np.searchsorted(hashes, x) for x in sets]
-    pairs = tx._swaps(at, hashes, (("muslims", "jews", "christians"),))
-    assert len(pairs) == 6
-    w, _ = tx._train(np.array([0, 1]), np.array([0, 1]), np.array([1.0, 0.0]), 2, [(np.array([0]), np.array([1]))], 0.0, 0.0, 400)
-    v, _ = tx._train(np.array([0, 1]), np.array([0, 1]), np.array([1.0, 0.0]), 2, [(np.array([0]), np.array([1]))], 50.0, 0.0, 400)
-    assert abs(v[0] - v[1]) < 0.1 * abs(w[0] - w[1])
+def neutral_mentions(spark, terms):
+    """Shares of clean held-out texts judged toxic: (with a mention, without, without in a model that is held to nothing)."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1200):
+        w = prose(rng, rng.randint(8, 50)).split()
+        toxic = i % 4 == 0
+        if toxic and rng.random() < 0.85:  # the rest is known by the mention only, which a plain model learns
+            for _ in range(rng.randint(1, 3)):
+                w.insert(rng.randrange(len(w)), rng.choice(BAD) + rng.choice(["", "s"]))
+        for _ in range(rng.randint(1, 2) if rng.random() < (0.7 if toxic else 0.08) else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(terms))
+        rows.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, plain = tx.fit(docs, marks), tx.fit(docs, marks, fairness=0.0)
+    clean = [prose(rng, rng.randint(8, 50)) for _ in range(300)]
+    named = [f"{t} {rng.choice(tx.IDENTITY_TERMS[0])}" for t in clean]
+    share = lambda m, t: float((score_of(m, *t) >= 0.3).mean())
+    return share(model, named), share(model, clean), share(plain, named)
 
 
-def test_repeated_mentions_are_swapped_too():
-    texts = ["the muslims met muslims", "jews met jews and jews", "christians met"]
-    sets = [tx.feature_set(t) for t in texts]
-    hashes = np.unique(np.concatenate(sets))
-    at = [np.searchsorted(hashes, x) for x in sets]
-    pairs = tx._swaps(at, hashes, (("muslims", "jews", "christians"),))
-    assert len(pairs) == 6
-    found = [tuple(set(hashes[x].tolist()) for x in p) for p in pairs]
-    muslims, jews, christians = ({int(f) for f in tx.feature_set(f"{t} {t}")} for t in ("muslims", "jews", "christians"))
-    once = [{f for f in t if f % 2 == 0} for t in (muslims, jews, christians)]
-    # Nothing names christians again, so nothing with a weight comes for it; christians once become others once.
-    assert found == [(muslims, jews), (muslims, once[2]), (jews, muslims), (jews, once[2]), (once[2], once[0]), (once[2], once[1])]
+@pytest.mark.parametrize("count", [3, 6])
+def test_neutral_mentions_are_not_judged(spark, count):
+    named, clean, plain = neutral_mentions(spark, tx.IDENTITY_TERMS[0][:count])
+    assert named <= clean + 0.03 and clean <= 0.1 and plain > named + 0.03, (named, clean, plain)
+
+
+def test_scores_are_sums_of_weights(fitted):
+    _, _, model = fitted
+    rng = random.Random(6)
+    texts = [prose(rng, n) for n in (0, 1, 5, 50, 400)] + ["grolm Grolms GROLMING", "grolm", "muslims. Muslims! é", ""]
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist()))
+    for text, score in zip(texts, score_of(model, *texts)):
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", text.encode())
+        parts = [p for w in words for p in [(w.lower(), 0), *((w.lower()[:k], 1) for k in tx.STEMS if len(w) > k)]]
+        total = model.bias
+        for (part, seed), n in Counter(parts).items():
+            raw = np.frombuffer(part, np.uint8)
+            h = int(ts.span_hashes(raw, np.array([0]), np.array([len(raw)]), seed)[0]) & ~1
+            total += weight.get(h, 0) + (weight.get(h | 1, 0) if n > 1 else 0)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-9)
+
+
+def changed(text, term, other):
+    """(features that go, features that come) when every mention of `term` is replaced in the text itself."""
+    swapped = re.sub(rf"\b{term}\b", other, text, flags=re.I)
+    a, b = (set(tx.feature_set(t).tolist()) for t in (text, swapped))
+    return tuple(sorted(a - b)), tuple(sorted(b - a))
+
+
+def test_swaps_are_those_of_the_texts():
+    groups = (("muslims", "jews", "christians"), ("women", "men"))
+    sentences = ["the Muslims met muslims and a christian", "jews met women", " nothing here", "MEN christianity christians "]
+    text = sentences[0] + ". " + sentences[1] + "!" + sentences[2] + "\n" + sentences[3]
+    want = Counter()
+    for part in [*(sentences[0], " " + sentences[1], sentences[3]), text]:
+        for group in groups:
+            for term in group:
+                if re.search(rf"\b{term}\b", part, re.I):
+                    for other in (*group, *tx.NEUTRAL):
+                        if other != term:
+                            want[changed(part, term, other)] += 1
+    got = Counter()
+    for (go, come), n in tx.counterfactuals(text.encode(), groups).items():
+        got[tuple(sorted(go)), tuple(sorted(come))] += n
+    assert got == want
+    assert not tx.counterfactuals(b"", groups) and not tx.counterfactuals(b"muslims", ()) and not tx.counterfactuals(b"nobody is named", groups)
+
+
+def test_counterfactual_pairs_pull_terms_together():
+    pair = [(np.array([0]), np.array([1]))]
+    w, _ = tx._train(np.array([0, 1]), np.array([0, 1]), np.array([1.0, 0.0]), 2, pair, 0.0, 0.0, 400)
+    v, _ = tx._train(np.array([0, 1]), np.array([0, 1]), np.array([1.0, 0.0]), 2, pair, 50.0, 0.0, 400)
+    assert abs(v[0] - v[1]) < 0.1 * abs(w[0] - w[1])
 
 
 def test_repeated_mentions_stay_neutral(spark):
@@ -99,7 +158,7 @@ def test_repeated_mentions_stay_neutral(spark):
         rows.append((i, " ".join(w), "en", "s", 1))
         labels.append((i, 1, int(toxic)))
     docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = tx.fit(docs, marks, fairness=200.0)
+    model = tx.fit(docs, marks, fairness=20.0)
     logit = lambda x: np.log(x / (1 - x))
     a, b = logit(score_of(model, "the muslims met muslims", "the jews met jews"))
     assert abs(a - b) < 1.0
