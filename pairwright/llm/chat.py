@@ -62,6 +62,7 @@ def best_paths(nodes: DataFrame, scratch: Scratch, paths: int = 1) -> DataFrame:
         step = scratch.spark.read.parquet(scratch.path(f"up{k}")).filter("ptr is not null").select(F.col("tree_id").alias("st"), F.col("node_id").alias("sn"), "ptr")
         more = marks.join(step, marks["tree_id"].eqNullSafe(F.col("st")) & (F.col("node_id") == F.col("sn")), "inner")
         marks = scratch.table(marks.union(more.select("tree_id", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("ptr").alias("node_id"))), f"marks{k}")
+    scratch.keep("marks0" if rounds else "marks")
     return marks
 
 

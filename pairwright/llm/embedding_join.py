@@ -240,6 +240,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, tile: int = 32_768, de
     comp = scratch.table(comp.select("h1", "h2", "d", "vec_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c")), "linked")
     least = comp.groupBy("c").agg(F.min("vec_id").alias("component_id"))  # smallest vec_id, whatever the nodes go by
     comp = scratch.table(comp.drop("vec_id").join(least, "c").drop("c"), "result")
+    scratch.keep("result")
     named = rows.select("vec_id", *[F.when(F.col("v").isNotNull(), c).alias(x) for c, x in zip(label, ("h1", "h2", "d"))])
     out = named.join(comp, ["h1", "h2", "d"], "left")
     component = F.coalesce("component_id", "vec_id")

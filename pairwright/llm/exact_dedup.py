@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.scratch import Scratch
@@ -24,7 +24,8 @@ def exact_groups(docs: DataFrame, salts: int = 32) -> DataFrame:
     held by a third of all rows reaches `salts` tasks and from each task once; the second
     aggregate combines the at most `salts` winners of a text.  Rows are then labelled
     through a table with groups of two or more only.  That join has an exchange on
-    either side and nothing above it, so adaptive execution splits a hot group.
+    either side and nothing above it, so adaptive execution splits a hot group.  It is the one
+    place where a text isn't compared in full: rows find their group by SHA-256, a second 64-bit hash and the length.
 
     Null texts and empty texts are one group.  A null doc_id never wins over another id;
     rows that repeat an id with the same text get the same result each (`kept` on all of
@@ -52,14 +53,15 @@ def exact_groups(docs: DataFrame, salts: int = 32) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each group of equal texts: the one with the smallest doc_id.
+    """`docs` with one row of each group of equal texts: the one with the smallest doc_id; all columns stay.
 
-    Rows that repeat an id with the same text are one document, of which one row stays.
+    Null and empty texts are one group, of which a null doc_id stays only if there is no
+    other.  Rows that repeat an id with the same text are one document, of which one row
+    stays, any of them if other columns differ.  Rows that repeat an id with different texts go or stay by their own text.
+    An empty table stays empty.  Column names that begin with `__exact_` are this operator's own.
     """
-    from pyspark.sql import Window
-
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    tagged = docs.withColumn("__sha2", F.sha2(normalised(F.col("text")), 256))
-    rows = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["__id"]) & (tagged["__sha2"] == kept["__sha"]), "left_semi")
-    one = Window.partitionBy("doc_id", "__sha2").orderBy(F.lit(1))
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(docs.columns)
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__exact_id"), F.col("text_sha256").alias("__exact_kept")).distinct()
+    tagged = docs.withColumn("__exact_sha", F.sha2(normalised(F.col("text")), 256))
+    rows = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["__exact_id"]) & (tagged["__exact_sha"] == kept["__exact_kept"]), "left_semi")
+    one = Window.partitionBy("doc_id", "__exact_sha").orderBy(F.lit(1))
+    return rows.withColumn("__exact_n", F.row_number().over(one)).filter("__exact_n = 1").select(docs.columns)

@@ -14,6 +14,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Each round lowers a node's label to the least label among its neighbours and then to
     the label of that label, so rounds follow the logarithm of a component's diameter,
     not the diameter.  Minima combine map-side; a node of very many edges costs one row per task.
+    Rows with a null end are no edges; a node that has only edges to itself is its own component without a row; an empty
+    table gives an empty result.
     """
     both = edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y").distinct()
     both = scratch.table(both, f"{name}-edges")

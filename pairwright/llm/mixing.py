@@ -43,17 +43,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return per.select("source", "source_size", F.least(F.col("ceiling"), F.col("level") * F.col("w")).alias("target"))
 
 
-def _with_copies(rows: DataFrame, sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:
+def _with_copies(rows: DataFrame, sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...], share: float, most: float, seed: str, few_sources: int) -> DataFrame:
     """`rows` (with doc_id and source) and __size, __target of their source and __copies."""
     per = source_targets(sizes, weights, share, most)
     per = scratch.table(per.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target")), "sources")
-    few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    few = per.limit(few_sources + 1).count() <= few_sources
     joined = rows.join(F.broadcast(per) if few else per, rows["source"].eqNullSafe(per["__source"]), "left")
     rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(0.0)
     return joined.withColumn("__copies", (F.floor(rate) + F.when(unit_draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1:") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1:", few_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), one row per row of `docs`.
 
     The repetition rate of a source is target / source size.  A document is taken
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     the fraction; the rate never exceeds `most`, so no document is taken more often.
 
     Sizes are counted once and kept in a durable table.  The join with the sources is a
-    broadcast only after their number has been counted; beyond `BROADCAST_SOURCES`, a
+    broadcast only after their number has been counted; beyond `few_sources`, a
     shuffle join whose hot keys adaptive execution splits.  Null texts have size 0, and
     an all-empty source has rate 0.  A null source is a source of its own; a null
     doc_id draws by the text "null".  Rows that repeat an id draw alike.  Other columns
@@ -69,16 +69,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    rows = _with_copies(sizes, sizes, scratch, weights, share, most, seed)
+    rows = _with_copies(sizes, sizes, scratch, weights, share, most, seed, few_sources)
     return rows.select("doc_id", "source", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1:") -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1:", few_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The mix itself: each row of `docs` as many times as `mix` takes it, same columns; texts aren't shuffled.
 
     Column names beginning with two underscores are this operator's own.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    rows = _with_copies(docs, sizes, scratch, weights, share, most, seed).filter("__copies > 0")
+    rows = _with_copies(docs, sizes, scratch, weights, share, most, seed, few_sources).filter("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)

@@ -463,6 +463,7 @@ class _Join:
         named = self.classes.join(comp, self.classes["fp"] == comp["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
         least = named.groupBy("c").agg(F.min("id").alias("component_id"))
         self.named = s.table(named.join(least, "c").select(F.col("fp").alias("nfp"), "component_id"), "named")
+        s.keep("scan", "named")
         rows = self.rows.join(self.named, (F.col("fp") == F.col("nfp")) & (F.col("n") > 0), "left")
         return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "fp")
 

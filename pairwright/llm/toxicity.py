@@ -315,7 +315,12 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """`docs` without the rows whose score reaches `threshold`; all columns and row copies stay."""
+    """`docs` without the rows whose score reaches `threshold`; all columns and row copies stay.
+
+    A model without features, as after a fit without labels of both classes, tells no document from another and drops none.
+    """
+    if not len(model.hashes):
+        return docs
     names = docs.columns
     schema = docs.schema
 

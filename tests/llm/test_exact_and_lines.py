@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from pairwright.llm import exact_dedup, line_dedup
 from tests.llm.helpers import clashing, documents, frame
 
@@ -70,3 +73,21 @@ def test_lines(spark):
         assert r.n_lines - r.n_removed == len(want[r.doc_id])
     assert len(got) == len(rows)
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_long_and_repeated_rows(spark):
+    rng = random.Random(2)
+    page = "\n".join(f"line {rng.random()}" for _ in range(30_000))
+    rows = [(1, page, "en", "s", 1), (2, "new\n" + page, "en", "s", 1), (3, "a\nb\nc", "en", "s", 1), (3, "a\nb\nc", "en", "s", 1), (4, None, "en", "s", 1)]
+    got = sorted((r.doc_id, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(clashing(frame(spark, rows))).collect())
+    assert got == [(1, 30_000, 0), (2, 30_001, 30_000), (3, 3, 0), (3, 3, 0), (4, 1, 0)]
+
+
+def test_drop_exact_of_odd_rows(spark):
+    """Own names beside the caller's, one id with several texts, null ids, ties."""
+    rows = [(5, "A  b", "x", None, 1), (5, "c", "x", None, 2), (2, "A\tb", "x", None, 3), (2, "A\tb", "y", None, 4), (None, "c", "x", None, 5), (None, "only here", "x", None, 6), (None, "only here", "x", None, 7), (None, None, None, None, None), (7, "", None, None, 8)]
+    df = clashing(frame(spark, rows)).withColumn("__n", F.lit("own")).withColumn("__sha", F.lit("own")).withColumn("__id", F.lit(0))
+    out = exact_dedup.drop_exact(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id), norm(r.text), r["__n"]) for r in out.collect())
+    assert got == [("2", "A b", "own"), ("5", "c", "own"), ("7", "", "own"), ("None", "only here", "own")]

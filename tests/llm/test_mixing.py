@@ -66,3 +66,16 @@ def test_odd_rows(spark):
     assert mixing.mix(docs).count() == 6
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark):
+    docs = spark.createDataFrame(rows(600), "doc_id long, text string, source string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(mixing.mix(docs, few_sources=2)) == key(mixing.mix(docs))
+    assert "Broadcast" not in mixing.mix(docs.hint("merge"), few_sources=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert key(mixing.mixed_documents(docs, few_sources=2)) == key(mixing.mixed_documents(docs))
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "x", "a"), (2, "x", "a")], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.size, r.source_size) for r in mixing.mix(docs).collect()) == [(1, 400_000, 400_002), (2, 1, 400_002), (2, 1, 400_002)]

@@ -201,3 +201,25 @@ def test_rows_of_an_id_go_by_their_own_text(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.n_chars) for r in kept.collect()) == sorted(x for k in range(20) for x in ((k, 3), (100 + k, 2)))
+
+
+def test_components_of_odd_edges(spark):
+    none = spark.createDataFrame([], "x long, y long")
+    assert components(none, Scratch(spark, "t"), "c").count() == 0
+    edges = spark.createDataFrame([(None, 1), (2, None), (None, None), (3, 3), (4, 5), (5, 4), (4, 5), (-9, 5)], "x long, y long")
+    assert sorted(map(tuple, components(edges, Scratch(spark, "t"), "c").collect())) == [(-9, -9), (4, -9), (5, -9)]
+
+
+def test_a_shared_folder_is_needed_beyond_one_process():
+    from pairwright.llm.scratch import shared_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
