@@ -58,23 +58,31 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents: insert every document under words-1; replay that batch; revise
-    every count from words-1 to letters-1; delete every document that a smaller doc_id repeats exactly."""
+    """Totals of two tokenizers after four batches over all documents: insert every document under both; replay that
+    batch; revise every word count by an end mark; delete every document that a smaller doc_id repeats exactly."""
+    import public_tokenizers as public
+
     scratch = Scratch(spark, "rollup")
-    docs = table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    counted = docs.select("doc_id", "source", "lang", F.sha2(text, 256).alias("sha"), mixing.word_count(text).alias("words"), F.regexp_count(text, F.lit("[A-Za-z]+")).cast("long").alias("letters"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = token_counts.count_tokens(docs, tokenizer_path(), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    counted = counted.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "word_tokens", "byte_tokens")
     counted = scratch.table(counted, "counted")
-    version = lambda df, name, col: df.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(col).alias("tokens"))
+
+    def versions(df: DataFrame, end: int, which: tuple[str, ...] = ("word_bpe_49k", "byte_bpe_50k")) -> DataFrame:
+        count = {"word_bpe_49k": F.col("word_tokens") + end, "byte_bpe_50k": F.col("byte_tokens")}
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("tokenizer"), count[k].alias("tokens")) for k in which])).alias("v")
+        return df.select("source", "lang", each).select("source", "lang", "v.*")
+
     roll = token_counts.Rollup(spark, scratch.path("rollup"))
-    insert = token_counts.deltas(None, version(counted, "words-1", "words"))
+    insert = token_counts.deltas(None, versions(counted, 0))
     roll.commit("0001-insert", insert)
     roll.commit("0001-insert", insert)
-    roll.commit("0002-revise", token_counts.deltas(version(counted, "words-1", "words"), version(counted, "letters-1", "letters")))
+    roll.commit("0002-revise", token_counts.deltas(versions(counted, 0, ("word_bpe_49k",)), versions(counted, 1, ("word_bpe_49k",))))
+    roll.compact()
     first = counted.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
     first = scratch.table(first, "first")  # so that both sides of the join are exchanges, whose hot keys can be split
     gone = counted.join(first, "sha").filter("doc_id > first")
-    roll.commit("0003-delete", token_counts.deltas(version(gone, "letters-1", "letters"), None))
+    roll.commit("0003-delete", token_counts.deltas(versions(gone, 1), None))
     return roll.totals()
 
 
@@ -129,11 +137,6 @@ WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM d
  o AS (SELECT l.doc_id, l.line, l.p, c.p IS NOT NULL AS gone FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.p = c.p)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM o GROUP BY doc_id
-""",
-    "op8_token_rollup": """
-WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
- k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
-SELECT source, lang, 'letters-1' AS tokenizer, count(*)::BIGINT AS docs, sum(len(regexp_extract_all(text, '[A-Za-z]+')))::BIGINT AS tokens FROM k GROUP BY source, lang
 """,
     "op9_chat_format": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

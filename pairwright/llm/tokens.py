@@ -13,8 +13,10 @@ pair, which a faster library does; `rank_merges` says when that is the same.
 from __future__ import annotations
 
 import array
+import base64
 import bisect
 import functools
+import importlib.util
 import itertools
 import json
 import os
@@ -25,6 +27,8 @@ import numpy as np
 
 #: Distinct runs of a generation; a worker remembers the present one and the one before.
 REMEMBER = 150_000
+#: Whether the library that merges by rank is there; without it, the tokenizer itself gives the same ids, more slowly.
+MERGER = importlib.util.find_spec("tiktoken") is not None
 #: What ends a word, and a word that ends a run, in the text for the merging library.
 END, STOP = "\0", "\n\0"
 
@@ -99,7 +103,7 @@ class WordTokenizer:
         self.runs: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.merger = None
-        if by_rank:
+        if by_rank and MERGER:
             self._load(json.load(open(path, encoding="utf-8"))["model"])
 
     def _load(self, model: dict) -> None:
@@ -166,3 +170,22 @@ class WordTokenizer:
 @functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str, by_rank: bool) -> WordTokenizer:
     return WordTokenizer(path, by_rank)
+
+
+class ByteTokenizer:
+    """Counts ids of the byte-level vocabulary in the rank file at `path` (base64 token and rank per line), split by `pattern`."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def count(self, texts: list[str]) -> list[int]:
+        return [len(self.encoding.encode_ordinary(t)) for t in texts]
+
+
+@functools.lru_cache(maxsize=2)
+def byte_tokenizer(path: str, pattern: str) -> ByteTokenizer:
+    return ByteTokenizer(path, pattern)

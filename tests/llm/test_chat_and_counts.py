@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from pairwright.llm import chat
 from pairwright.llm import token_counts as tc
 from pairwright.llm.scratch import Scratch
+from tests.llm.helpers import clashing, documents, frame
 
 NODES = "tree_id long, node_id long, parent_id long, role string, text string, score double"
 
@@ -52,14 +56,117 @@ def test_rollup(spark):
     want = [("a", "en", "v1", 1, 5), ("a", "en", "v2", 1, 9), ("b", None, "v1", 1, 0)]
     assert sorted(map(tuple, roll.totals().collect()), key=str) == want
     again = tc.Rollup(spark, roll.path)
-    assert again.committed() == ["1", "2", "3", "4"] and not again.commit("3", tc.deltas(None, first))
+    assert again.committed() == ["1", "2", "3", "4"] and not again.commit("3", tc.deltas(counts(spark, [(None, "de", "v1", 3)]), None))
+    with pytest.raises(ValueError, match="other rows"):
+        again.commit("3", tc.deltas(None, first))
     assert sorted(map(tuple, again.totals().collect()), key=str) == want
 
 
-def test_unfinished_batch_is_retried(spark):
+def test_markers_of_the_writer_are_not_needed(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        roll = tc.Rollup(spark, Scratch(spark, "t").path("r"))
+        rows = tc.deltas(None, counts(spark, [("a", "en", "v1", 5)]))
+        assert roll.commit("x", rows) and not roll.commit("x", rows)
+        assert roll.totals().first().tokens == 5
+    finally:
+        conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
+def test_an_unfinished_batch_is_not_read(spark):
     roll = tc.Rollup(spark, Scratch(spark, "t").path("r"))
     rows = tc.deltas(None, counts(spark, [("a", "en", "v1", 5)]))
-    roll.commit("x", rows)
-    roll.fs.delete(roll._hadoop(f"{roll.path}/batch=x/_SUCCESS"), False)  # as after a crash
+    rows.write.parquet(f"{roll.path}/_new-crashed")
     assert roll.committed() == [] and roll.totals().count() == 0
     assert roll.commit("x", rows) and roll.totals().first().tokens == 5
+
+
+def test_two_writers_of_a_batch(spark, monkeypatch):
+    path = Scratch(spark, "t").path("r")
+    one, other = tc.Rollup(spark, path), tc.Rollup(spark, path)
+    rows = tc.deltas(None, counts(spark, [("a", "en", "v1", 5)]))
+    publish, won = tc.Rollup._publish, []
+
+    def late(self, temporary, name):
+        if self is one:  # the other one comes in between
+            monkeypatch.setattr(tc.Rollup, "_publish", publish)
+            won.append(other.commit("x", rows))
+        return publish(self, temporary, name)
+
+    monkeypatch.setattr(tc.Rollup, "_publish", late)
+    assert not one.commit("x", rows) and won == [True]
+    assert sorted(map(tuple, one.totals().collect())) == [("a", "en", "v1", 1, 5)]
+    with pytest.raises(ValueError, match="other rows"):
+        one.commit("x", tc.deltas(None, counts(spark, [("a", "en", "v1", 6)])))
+    assert [s.getPath().getName() for s in one.fs.listStatus(one._hadoop(path))] == ["batch=x"]
+
+
+def test_compaction_counts_nothing_twice(spark):
+    roll = tc.Rollup(spark, Scratch(spark, "t").path("r"))
+    batch = lambda n: tc.deltas(None, counts(spark, [("a", "en", "v1", n), (None, None, "v1", 1)]))
+    total = lambda: sorted(map(tuple, roll.totals().collect()), key=str)
+    assert not roll.compact()
+    for k in range(3):
+        assert roll.commit(str(k), batch(k))
+    want = total()
+    assert roll.compact() and total() == want and not roll.compact()
+    assert not roll.commit("1", batch(1)) and total() == want  # a replay of a merged batch
+    with pytest.raises(ValueError, match="other rows"):
+        roll.commit("1", batch(7))
+    assert roll.commit("9", batch(4)) and roll.compact()
+    assert total() == [("a", "en", "v1", 4, 7), (None, None, "v1", 4, 4)] and roll.committed() == ["0", "1", "2", "9"]
+    left = {s.getPath().getName() for s in roll.fs.listStatus(roll._hadoop(roll.path))}
+    assert left == {"merged=1", "merged=2", "batch=9"}
+    roll.commit("10", tc.deltas(batch(4), None))
+    assert roll.compact() and {s.getPath().getName() for s in roll.fs.listStatus(roll._hadoop(roll.path))} == {"merged=2", "merged=3", "batch=10"}
+
+
+def test_counts_are_those_of_the_tokenizers(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    rows = documents()
+    df = clashing(frame(spark, rows)).withColumn("byte_tokens", F.lit("clash"))
+    got = tc.count_tokens(df, public.path("word_bpe_49k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    assert [c for c in got.columns if c not in ("word_tokens", "byte_tokens")] == [c for c in df.columns if c != "byte_tokens"]
+    want = []
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        t = Tokenizer.from_file(public.path(name))
+        t.encode_special_tokens = name.startswith("byte")
+        want.append([len(t.encode(r[1] or "", add_special_tokens=False).ids) for r in rows])
+    assert sorted((str(r.doc_id), r.word_tokens, r.byte_tokens) for r in got.collect()) == sorted((str(r[0]), a, b) for r, a, b in zip(rows, *want))
+    assert tc.count_tokens(df.limit(0), public.path("word_bpe_49k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).count() == 0
+
+
+def test_rollup_query_against_brute_force(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    from pairwright.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = sorted(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", "lang").collect()))
+    first, want = set(), {}
+    tokenizers = {name: Tokenizer.from_file(public.path(f"{name}.json")) for name in ("word_bpe_49k", "byte_bpe_50k")}
+    tokenizers["byte_bpe_50k"].encode_special_tokens = True
+    for _, text, source, lang in docs:
+        if (text or "") in first:
+            continue
+        first.add(text or "")
+        for name, t in tokenizers.items():
+            n, total = want.get((source, lang, name), (0, 0))
+            want[source, lang, name] = n + 1, total + len(t.encode(text or "", add_special_tokens=False).ids) + (name == "word_bpe_49k")
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in QUERIES["op8_token_rollup"](spark, sf).collect()}
+    assert got == want
+
+
+def test_odd_trees(spark):
+    """Clashing columns, an empty table, a very long text, repeated rows."""
+    long = "x < y & z ] " * 60_000
+    rows = [(1, 1, None, "user", long, None), (1, 2, 1, "assistant", long, 1.0), (1, 2, 1, "assistant", long, 1.0), (None, None, None, None, None, None)]
+    df = clashing(spark.createDataFrame(rows, NODES)).withColumn("depth", F.lit("x")).withColumn("ptr", F.lit("x")).withColumn("rank", F.lit("x")).drop("score").withColumn("score", F.lit(1.0))
+    made = chat.format_trees(df)
+    got = {r.tree_id: r for r in made.select("tree_id", chat.read_back(made.formatted).alias("turns"), chat.loss_text(made.formatted, made.loss_spans).alias("loss")).collect()}
+    assert [tuple(t) for t in got[1].turns] == [("user", long), ("assistant", long)] and got[1].loss == long
+    assert chat.best_paths(df.limit(0), Scratch(spark, "t")).count() == 0
