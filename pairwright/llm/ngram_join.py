@@ -32,6 +32,8 @@ U64 = np.uint64
 _SLICE = 1 << 14
 #: Rows of sorted lists that a task holds at a time.
 HELD = 200_000
+#: Candidates of a node that are verified in one task.
+TOGETHER = 1_000
 #: More sets that share half a fingerprint with another one are taken for an error.
 SHARED = 100_000
 
@@ -305,17 +307,18 @@ def _by_list(work):
     return run
 
 
-def _verify(words: int, num: int, den: int):
-    """Rows sorted by (x, part, kind): a text of kind 0, then its candidates; yields the pairs that link."""
+def _verify(num: int, den: int):
+    """Rows sorted by (x, part, kind): a set of kind 0, then its candidates; yields the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, None
         for batch in batches:
             x, y, kind = (batch.column(k).to_numpy() for k in range(3))
             out = []
-            for row, s in _sets(batch, words):
+            for row, cell in enumerate(batch.column(3)):
+                s = np.frombuffer(cell.as_buffer(), "<u8")
                 if kind[row] == 0:
-                    key, own = x[row], s
+                    key, own = x[row], s.copy()
                 elif key == x[row]:
                     t = -(-num * (len(own) + len(s)) // (num + den))
                     small, large = (own, s) if len(own) <= len(s) else (s, own)
@@ -329,6 +332,25 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
+def _as_sets(words: int, node_of: _Node):
+    """(fp, set, own) of rows (fp, text): a text's sorted shingles as bytes, and its own node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, sets = np.zeros(len(batch), U64), []
+            fp = batch.column("fp")
+            for row, s in _sets(batch, words):
+                own[row] = node_of(s) if len(s) else 0
+                sets.append(s.astype("<u8").tobytes())
+                if len(sets) >= 1000:
+                    yield pa.RecordBatch.from_arrays([fp.slice(row + 1 - len(sets), len(sets)), pa.array(sets, pa.binary()), ts.long_array(own[row + 1 - len(sets) : row + 1])], ["fp", "set", "own"])
+                    sets = []
+            if sets:
+                yield pa.RecordBatch.from_arrays([fp.slice(len(fp) - len(sets)), pa.array(sets, pa.binary()), ts.long_array(own[len(fp) - len(sets) :])], ["fp", "set", "own"])
+
+    return run
+
+
 def _marked(words: int, node_of: _Node, name: str):
     """Each row with the node of its text, 0 for no shingle."""
 
@@ -388,24 +410,25 @@ class _Join:
         met = met.filter((F.col("next") == 1) | (F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= F.col("need")))
         self.met = self.scratch.table(met.select("a", "b"), "met")
 
-    def texts(self) -> None:
-        """The texts that any verification may read, one per node."""
+    def sets(self) -> None:
+        """The shingle sets that any verification may read, one per node, made once."""
         nodes = self.met.select(F.explode(F.array("a", "b")).alias("fp")).union(self.long.select("fp")).distinct()
         ids = self.classes.join(nodes, "fp", "left_semi").select("id", "fp")
         one = self.docs.join(ids, self.docs["doc_id"] == ids["id"]).select("fp", "text")
+        one = one.mapInArrow(ts.tidied(_as_sets(self.words, self.node_of)), "fp long, set binary, own long")
         if self.repeats:  # an id may have other texts besides
-            one = one.mapInArrow(ts.tidied(_marked(self.words, self.node_of, "own")), "fp long, text string, own long").filter("fp = own").dropDuplicates(["fp"]).drop("own")
-        self.cand = self.scratch.table(one, "texts")
+            one = one.filter("fp = own").dropDuplicates(["fp"])
+        self.cand = self.scratch.table(one.drop("own"), "sets")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link, as (x, y)."""
-        part = F.pmod(F.xxhash64("b"), F.lit(16))  # a node of very many candidates is in so many tasks
-        pairs = pairs.select("a", "b", part.alias("part"))
-        other = pairs.join(self.cand, pairs["b"] == self.cand["fp"]).select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("kind"), "part", "text")
-        mine = pairs.select("a", "part").distinct().join(self.cand, F.col("a") == self.cand["fp"]).select(F.col("a").alias("x"), F.col("a").alias("y"), F.lit(0).alias("kind"), "part", "text")
+        parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TOGETHER))).alias("parts")).filter("parts > 1")
+        pairs = pairs.join(parts, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+        other = pairs.join(self.cand, pairs["b"] == self.cand["fp"]).select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("kind"), "part", "set")
+        mine = pairs.select("a", "part").distinct().join(self.cand, F.col("a") == self.cand["fp"]).select(F.col("a").alias("x"), F.col("a").alias("y"), F.lit(0).alias("kind"), "part", "set")
         n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = mine.union(other).repartition(n, "x", "part").sortWithinPartitions("x", "part", "kind")
-        return self.scratch.table(rows.select("x", "y", "kind", "text").mapInArrow(ts.tidied(_verify(self.words, self.num, self.den)), "x long, y long"), name)
+        return self.scratch.table(rows.select("x", "y", "kind", "set").mapInArrow(ts.tidied(_verify(self.num, self.den)), "x long, y long"), name)
 
     def mixed(self, comp: DataFrame) -> DataFrame:
         """Members (sig, comp, fp, n, rest, lists, least) of the long lists that hold more than one component; least: smallest n there."""
@@ -437,7 +460,7 @@ class _Join:
         self.scan()
         self.repeats = bool(self.rows.groupBy("doc_id").count().filter("count > 1").limit(1).count())
         self.merge()
-        self.texts()
+        self.sets()
         done = self.met
         links = self.verify(done, "links-0")
         comp = components(links, s, "comp-0")
