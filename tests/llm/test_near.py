@@ -100,13 +100,6 @@ def test_large_group_of_near_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
-def test_a_node_of_many_candidates(spark, monkeypatch):
-    monkeypatch.setattr(nj, "TOGETHER", 3)
-    rows = documents(seed=21)
-    got = nj.near_duplicates(frame(spark, rows)).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
-
-
 def test_lists_longer_than_a_task_holds(monkeypatch):
     """The same pairs and members come out of one long sorted stream, however little of it is held."""
     import pyarrow as pa
