@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,9 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, top: int = 40
     terms = np.array(sorted({f for g in groups for t in g for h in _forms(t) for f in (h, h | 1)}), U64).view(np.int64).tolist()
     named = counts.filter(F.col("f").isin(terms)).select("f")
     hashes = np.unique(np.array([r["f"] for r in best.union(named).collect()], np.int64).view(U64))  # at most `top` and the terms'
-    rows = sample.select("doc_id", "toxic", "features").mapInArrow(ts.tidied(_among(hashes)), "doc_id long, toxic int, at array<int>").orderBy("doc_id", "toxic", "at").collect()
-    y = np.array([r["toxic"] for r in rows], float)
-    sets = [np.array(r["at"], np.int64) for r in rows]
+    # As Arrow, at most 2 * `per_class` rows: Python objects for each number would take many times the memory.
+    rows = sample.select("doc_id", "toxic", "features").mapInArrow(ts.tidied(_among(hashes)), "doc_id long, toxic int, at array<int>").orderBy("doc_id", "toxic", "at").toArrow()
+    y, at = rows.column("toxic").to_numpy().astype(float), rows.column("at")
+    x_row, x_col = np.repeat(np.arange(len(y)), pc.list_value_length(at).to_numpy()), pc.list_flatten(at).to_numpy().astype(np.int64)
     # Swaps that move the same features are one row; they differ by terms and by which beginnings a sentence has elsewhere.
     swaps = sample.select(F.explode("swaps").alias("s")).groupBy("s.go", "s.come").agg(F.sum("s.n").alias("n")).orderBy("go", "come").collect()
     pairs, often = [], []
@@ -232,9 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, top: int = 40
         go, come = (_positions(np.array(x, np.int64).view(U64), hashes) for x in (r["go"], r["come"]))
         pairs.append((go, come))
         often.append(r["n"])
-    x_row, x_col = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
     w, bias = _train(x_row, x_col, y, len(hashes), pairs, fairness, sparsity, rounds, np.array(often, float))
     used = np.flatnonzero(w)
+    del rows, at, x_row, x_col
+    ts.tidy()
     return Model(hashes[used], w[used], bias, int(sum(often)))
 
 
