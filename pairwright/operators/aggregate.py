@@ -6,31 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.operators.elementwise import INF, bound_both
+from pairwright.operators.pairwise import Pairs
 
 
-def _cov(x: DataFrame, y: DataFrame, ns: int, bounded: bool) -> DataFrame:
-    a = x.select(F.col("gene").alias("a"), "sample", F.col("z").alias("za"))
-    b = y.select(F.col("gene").alias("b"), "sample", F.col("z").alias("zb"))
-    c = F.sum(F.col("za") * F.col("zb")) / F.lit(float(ns))
-    out = a.join(b, "sample").groupBy("a", "b").agg(c.alias("c"))
+def _bounded(out: DataFrame, bounded: bool) -> DataFrame:
     return out.withColumn("c", bound_both(F.col("c"), -1.0, 1.0)) if bounded else out
 
 
 def cov2(x: DataFrame, y: DataFrame, ns: int, bounded: bool = False) -> DataFrame:
-    """(a, b, c): mean products of all pairs of normalised rows (gene, sample, z).
+    """(a, b, c): mean products of all pairs of dense normalised rows (gene, sample, z).
 
-    The relational form, for any sparse or small input; `pairwise` is the dense one.
+    Rows are packed to arrays and multiplied, so no table of pairs times samples is made.
     """
-    return _cov(x, y, ns, bounded)
+    out = Pairs.plain(x, y).run("sum").withColumn("c", F.col("c") / F.lit(float(ns)))
+    return _bounded(out, bounded)
 
 
 def cov1(x: DataFrame, ns: int, bounded: bool = False) -> DataFrame:
-    """Symmetric: each unordered pair is aggregated once and mirrored."""
+    """The same of rows with each other."""
+    return cov2(x, x, ns, bounded)
+
+
+def cov2_sparse(x: DataFrame, y: DataFrame, ns: int, bounded: bool = False) -> DataFrame:
+    """`cov2` of rows with gaps, which count as zero: a join by sample.  For small or very sparse input."""
     a = x.select(F.col("gene").alias("a"), "sample", F.col("z").alias("za"))
-    b = x.select(F.col("gene").alias("b"), "sample", F.col("z").alias("zb"))
-    half = a.join(b, "sample").filter("a <= b").groupBy("a", "b").agg((F.sum(F.col("za") * F.col("zb")) / F.lit(float(ns))).alias("c"))
-    full = half.select(F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).alias("p"), "c").select("p.a", "p.b", "c")
-    return full.withColumn("c", bound_both(F.col("c"), -1.0, 1.0)) if bounded else full
+    b = y.select(F.col("gene").alias("b"), "sample", F.col("z").alias("zb"))
+    return _bounded(a.join(b, "sample").groupBy("a", "b").agg((F.sum(F.col("za") * F.col("zb")) / F.lit(float(ns))).alias("c")), bounded)
 
 
 def cov2_1v1(x: DataFrame, y: DataFrame, ns: int, bounded: bool = False) -> DataFrame:
@@ -40,7 +41,12 @@ def cov2_1v1(x: DataFrame, y: DataFrame, ns: int, bounded: bool = False) -> Data
 
 
 def class_stats(g: DataFrame, za: DataFrame, zb: DataFrame, ns: int) -> DataFrame:
-    """(a, geno, b, f, mu_a, mu_b): share and means of every genotype class of an anchor."""
+    """(a, geno, b, f, mu_a, mu_b): share and means of every genotype class of an anchor, of dense rows."""
+    return Pairs.plain(za, zb, g).run("stats")
+
+
+def class_stats_sparse(g: DataFrame, za: DataFrame, zb: DataFrame, ns: int) -> DataFrame:
+    """`class_stats` by joins, for rows with gaps: means are over the cells that are there."""
     a = g.select(F.col("gene").alias("a"), "sample", "geno").join(za.select(F.col("gene").alias("a"), "sample", F.col("z").alias("za")), ["a", "sample"])
     b = zb.select(F.col("gene").alias("b"), "sample", F.col("z").alias("zb"))
     grouped = a.join(b, "sample").groupBy("a", "geno", "b")

@@ -6,6 +6,7 @@ passes through every bound.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -53,9 +54,29 @@ def complement(p: Column) -> Column:
     return F.lit(1.0) - p
 
 
-def fluctuate(c: Column, by: float, seed: int) -> Column:
-    """Relative jitter: c (1 + (2u - 1) by) with u uniform.  Fixed by the seed and the partitioning."""
-    return c * (F.lit(1.0) + (F.lit(2.0) * F.rand(seed) - 1.0) * by)
+def uniform(seed: int, *key: Column) -> Column:
+    """A uniform number in (0, 1) from a hash of seed and key: the same whatever the partitioning, and after a lost task."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def uniform_sql(seed: int, *key: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(key)})), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE"
+
+
+def uniform_draw(seed: int, *key: int) -> float:
+    """The same number for one key in Python."""
+    return (int(hashlib.md5(":".join(map(str, (seed, *key))).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+
+def integers(seed: int, n: int, *key: Column) -> Column:
+    """A draw from 0 to n - 1, by key."""
+    return F.floor(uniform(seed, *key) * F.lit(float(n))).cast("long")
+
+
+def fluctuate(c: Column, by: float, seed: int, *key: Column) -> Column:
+    """Relative jitter: c (1 + (2u - 1) by) with u uniform by seed and key."""
+    return c * (F.lit(1.0) + (F.lit(2.0) * uniform(seed, *key) - 1.0) * by)
 
 
 def scale_row(m: DataFrame, factors: DataFrame) -> DataFrame:

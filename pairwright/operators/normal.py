@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.special import normal_quantile, normal_quantile_column
-from pairwright.operators.elementwise import fluctuate
+from pairwright.operators.elementwise import fluctuate, uniform
 from pairwright.operators.pairwise import SHAKE_BELOW
 
 
@@ -40,8 +40,9 @@ def supernormalize(m: DataFrame, ns: int) -> DataFrame:
 
 
 def supernormalize_shaken(m: DataFrame, ns: int, by: float, seed: int = 0) -> DataFrame:
-    """Scores with relative jitter `by`, normalised again."""
-    z = supernormalize(m, ns).withColumn("z", fluctuate(F.col("z"), by, seed))
+    """Scores with relative jitter `by` drawn by gene and the sample's place in order, normalised again."""
+    place = F.row_number().over(Window.partitionBy("gene").orderBy("sample")) - 1
+    z = supernormalize(m, ns).withColumn("place", place).withColumn("z", fluctuate(F.col("z"), by, seed, F.col("gene"), F.col("place")))
     return normalize_row(z, "z", "z")
 
 
@@ -51,6 +52,6 @@ def supernormalize_auto(m: DataFrame, ns: int, seed: int = 0) -> DataFrame:
 
 
 def supernormalize_random(m: DataFrame, seed: int = 0) -> DataFrame:
-    """Sorted random normal draws instead of fixed quantiles, normalised again."""
-    draws = m.select("gene", F.randn(seed).alias("z")).withColumn("rank", F.row_number().over(Window.partitionBy("gene").orderBy("z")))
+    """Sorted random normal draws, by seed and cell, instead of fixed quantiles, normalised again."""
+    draws = m.select("gene", normal_quantile_column(uniform(seed, F.col("gene"), F.col("sample"))).alias("z")).withColumn("rank", F.row_number().over(Window.partitionBy("gene").orderBy("z")))
     return normalize_row(argsort_rows(m).join(draws, ["gene", "rank"]).select("gene", "sample", "z"), "z", "z")

@@ -6,8 +6,9 @@ ratios is complete where it is made: its posterior needs no shuffle of pairs, an
 of the size of the result is kept.  The only thing that posteriors need from elsewhere, the
 largest ratio per test over everything, comes from a first pass that returns a few numbers.
 
-B is broadcast only if its counted size is within `BROADCAST_BYTES`; beyond that, its rows are
-streamed past blocks of A rows, sorted, in one shuffle.
+B is broadcast only if its counted size is within `BROADCAST_BYTES`; beyond that, both sides are cut into tiles
+that a task holds, and every tile of A meets every tile of B in one shuffle.  Histograms of a row
+add up over tiles, so posteriors then take one more pass: ratios are made three times, kept never.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.special import normal_scores, null_sf
+from pairwright.operators.elementwise import uniform_draw
 from pairwright.operators.histogram import ADVISED_BINS, LEAST_BINS, bin_count, null_histogram
-from pairwright.operators.posterior import posteriors
+from pairwright.operators.posterior import curve, curve_points, posteriors
 
-BROADCAST_BYTES = 256 << 20
+#: The driver holds B twice while it is sent.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of one side of a tile.
+TILE_BYTES = 32 << 20
 #: Results of about so many bytes are made at a time.
 WORK_BYTES = 64 << 20
 #: Ties of fewer samples than this are shaken, as rank scores are coarse there.
@@ -34,11 +39,13 @@ SHAKE_BELOW = 30
 #: The smallest positive normal single-precision number: floor of a residual variance (fixed value).
 FLOOR = 1.17549435e-38
 TESTS = {"rank": (2,), "discrete": (1, 2, 3, 4, 5), "continuous": (1, 2, 3, 4, 5)}
+#: Kinds of problem whose rows are taken as they are, not ranked: sums of products, and means of genotype classes.
+PLAIN = ("products", "classes")
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What a pass over the pairs does.  kind: rank, discrete or continuous."""
+    """What a pass over the pairs does.  kind: rank, discrete or continuous, or one of `PLAIN`."""
 
     kind: str
     ns: int
@@ -59,19 +66,36 @@ def rank_scores(values: np.ndarray, ids: np.ndarray, seed: int) -> np.ndarray:
     """Rows turned to normal scores of their ranks, variance 1; ties by position.
 
     With fewer than 30 samples, scores are shaken by up to 2 / ns^2 of themselves (from
-    `seed` and the row's id) and scaled again, so that coarse ranks don't coincide.
+    a hash of `seed`, the row's id and the sample's place) and scaled again, so that coarse ranks don't coincide.
     """
     ns = values.shape[1]
     z = np.empty(values.shape)
     np.put_along_axis(z, np.argsort(values, axis=1, kind="stable"), np.broadcast_to(normal_scores(ns), values.shape), 1)
     if ns < SHAKE_BELOW:
-        u = np.stack([np.random.default_rng([seed, int(i) & 0xFFFFFFFFFFFFFFFF]).random(ns) for i in ids]) if len(ids) else np.zeros(z.shape)
+        u = np.array([[uniform_draw(seed, i, k) for k in range(ns)] for i in ids.tolist()]).reshape(z.shape)
         z = z * (1 + (2 * u - 1) * 2 / ns**2)
         z = z - z.mean(1, keepdims=True)
         z = z / np.sqrt((z * z).mean(1, keepdims=True))
     return z
 
 
+def _rows_of(plan: Plan, values: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return values if plan.kind in PLAIN else rank_scores(values, ids, plan.seed)
+
+
+def class_means(plan: Plan, a: np.ndarray, za: np.ndarray, anchor: np.ndarray, b: np.ndarray, zb: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, geno, b, f, mu_a, mu_b) of every genotype that a row's anchor has."""
+    for g in np.unique(anchor):
+        member = (anchor == g).astype(float)
+        count = member.sum(1)
+        has = np.flatnonzero(count)
+        n, k = len(has), len(b)
+        count = count[has, None]
+        mu_a, mu_b = (member * za).sum(1)[has, None] / count, member[has] @ zb.T / count
+        each = lambda x: pa.array(np.broadcast_to(x, (n, k)).ravel())
+        yield pa.RecordBatch.from_arrays([each(a[has, None]), pa.array(np.full(n * k, int(g), np.int16)), pa.array(np.tile(b, n)), each(count / plan.ns), each(mu_a), each(mu_b)], ["a", "geno", "b", "f", "mu_a", "mu_b"])
+
+
 def _half_log(x: np.ndarray) -> np.ndarray:
     """-ln(x) / 2 with infinity at 0."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -89,6 +113,8 @@ def five_ratios(s1, s2, s12, rho) -> dict[int, np.ndarray]:
 
 def ratios(plan: Plan, za: np.ndarray, anchor: np.ndarray | None, zb: np.ndarray) -> dict[int, np.ndarray]:
     """Ratios of a block of A rows (their anchors alongside) against a block of B rows."""
+    if plan.kind == "products":
+        return {0: za @ zb.T}
     rho = np.clip(za @ zb.T / plan.ns, -1.0, 1.0)
     if plan.kind == "rank":
         x = _half_log(1 - rho**2)
@@ -111,7 +137,6 @@ def ratios(plan: Plan, za: np.ndarray, anchor: np.ndarray | None, zb: np.ndarray
 
 
 def _finish(plan: Plan, mode: str, a: np.ndarray, kv: np.ndarray, b: np.ndarray, found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    tests = TESTS[plan.kind]
     own = a[:, None] == b[None, :]
     if mode == "max":
         counted = ~own if plan.nodiag else np.ones_like(own)
@@ -120,7 +145,7 @@ def _finish(plan: Plan, mode: str, a: np.ndarray, kv: np.ndarray, b: np.ndarray,
         return
     if plan.kind == "rank" and plan.nodiag and mode != "pv":
         found = {2: np.where(own, 0.0, found[2])}
-    if mode == "llr":
+    if mode in ("llr", "sum"):
         out = found
     elif mode == "pv":
         out = {t: np.empty(x.shape) for t, x in found.items()}
@@ -145,8 +170,13 @@ def _finish(plan: Plan, mode: str, a: np.ndarray, kv: np.ndarray, b: np.ndarray,
             if plan.nodiag:
                 out = {t: np.where(own, 0.0, x) for t, x in out.items()}
             out[1] = np.broadcast_to(p1[:, None], own.shape)
-    prefix = "l" if mode == "llr" else "p"
-    names = [prefix if plan.kind == "rank" else f"{prefix}{t}" for t in tests]
+    yield from _emit(plan, mode, a, b, out)
+
+
+def _emit(plan: Plan, mode: str, a: np.ndarray, b: np.ndarray, out: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    tests = TESTS.get(plan.kind, (0,))
+    prefix = {"llr": "l", "sum": "c"}.get(mode, "p")
+    names = ["c"] if mode == "sum" else [prefix if plan.kind == "rank" else f"{prefix}{t}" for t in tests]
     names = ["llr" if n == "l" else n for n in names]
     for s in range(0, len(a), max(1, 20_000 // max(1, len(b)))):
         cut = slice(s, s + max(1, 20_000 // max(1, len(b))))
@@ -157,6 +187,12 @@ def _finish(plan: Plan, mode: str, a: np.ndarray, kv: np.ndarray, b: np.ndarray,
 def _schema(plan: Plan, mode: str) -> str:
     if mode == "max":
         return "test int, dmax double, nans long"
+    if mode == "stats":
+        return "a int, geno short, b int, f double, mu_a double, mu_b double"
+    if mode == "sum":
+        return "a int, b int, c double"
+    if mode == "hist":
+        return "a int, test int, counts array<long>, n long, own double"
     prefix = "l" if mode == "llr" else "p"
     cols = ["llr" if mode == "llr" else "p"] if plan.kind == "rank" else [f"{prefix}{t}" for t in TESTS[plan.kind]]
     return "a int, b int, " + ", ".join(f"{c} double" for c in cols)
@@ -169,12 +205,12 @@ def _matrix(column: pa.Array, ns: int) -> np.ndarray:
 def _prepared(plan: Plan, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
     """(ids, scores, anchors, distinct genotypes) of packed A rows."""
     a = batch.column("gene").to_numpy()
-    za = rank_scores(_matrix(batch.column("vals"), plan.ns), a, plan.seed)
+    za = _rows_of(plan, _matrix(batch.column("vals"), plan.ns), a)
     kv = np.zeros(len(a), int)
     anchor = None
     if plan.kind == "continuous":
         anchor = rank_scores(_matrix(batch.column("anchor"), plan.ns), a, plan.seed + 1)
-    elif plan.kind == "discrete":
+    elif plan.kind in ("discrete", "classes"):
         anchor = _matrix(batch.column("anchor"), plan.ns)
         s = np.sort(anchor, 1)
         kv = 1 + (s[:, 1:] != s[:, :-1]).sum(1)
@@ -187,46 +223,97 @@ def _against(plan: Plan, mode: str, b: np.ndarray, zb: np.ndarray):
         for batch in batches:
             for s in range(0, len(batch), step):
                 a, za, anchor, kv = _prepared(plan, pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(s, step)]) for c in batch.columns], batch.schema.names))
-                yield from _finish(plan, mode, a, kv, b, ratios(plan, za, anchor, zb))
+                if mode == "stats":
+                    yield from class_means(plan, a, za, anchor, b, zb)
+                else:
+                    yield from _finish(plan, mode, a, kv, b, ratios(plan, za, anchor, zb))
 
     return run
 
 
-def _streamed(plan: Plan, mode: str):
-    """Rows sorted by (block, side, gene): the A rows of a block, then all B rows."""
+def _bins(plan: Plan, a: np.ndarray, kv: np.ndarray, b: np.ndarray, found: dict[int, np.ndarray]) -> list[tuple]:
+    """(a, test, counts per bin, values counted, ratio of the variable with itself or None) of each row against some targets."""
+    own = a[:, None] == b[None, :]
+    out = []
+    for t, x in found.items():
+        if t == 1:
+            continue
+        x = np.where(np.isposinf(x), plan.dmax[t], x)
+        for i in range(len(a)):
+            edges, _ = null_histogram(plan.dmax[t], plan.nt, *plan.freedom(t, int(kv[i])), warn=False)
+            counted = x[i][~own[i]] if plan.nodiag else x[i]
+            at = np.searchsorted(edges, counted, "right") - 1
+            at = at[(at >= 0) & (at < len(edges) - 1)]
+            self_at = np.flatnonzero(own[i]) if plan.nodiag else ()
+            out.append((int(a[i]), t, np.bincount(at, minlength=len(edges) - 1).tolist(), len(counted), float(x[i][self_at[0]]) if len(self_at) else None))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, mine, ready, ids, parts = None, [], None, [], []
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if ready is not None and ids:
-                found = {t: np.concatenate([p[t] for p in parts], 1) for t in parts[0]}
-                yield from _finish(plan, mode, ready[0], ready[3], np.concatenate(ids), found)
+def _looked_up(plan: Plan, a: np.ndarray, kv: np.ndarray, curves: list, b: np.ndarray, found: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Posteriors of ratios from the summed histograms of their rows."""
+    own = a[:, None] == b[None, :]
+    out = {t: np.empty(x.shape) for t, x in found.items() if t > 1}
+    p1 = np.ones(len(a))
+    for i in range(len(a)):
+        for c in curves[i]:
+            t = c["test"]
+            edges, null = null_histogram(plan.dmax[t], plan.nt, *plan.freedom(t, int(kv[i])), warn=False)
+            real = np.array(c["counts"], float) / (c["n"] * np.diff(edges))
+            x, y = curve_points(edges, curve(real, null))
+            out[t][i] = np.interp(np.where(np.isposinf(found[t][i]), plan.dmax[t], found[t][i]), x, y)
+            if t == 2 and c["own"] is not None:
+                p1[i] = np.interp(c["own"], x, y)
+    if plan.kind != "rank":
+        out[3] = 1.0 - out[3]
+        if plan.nodiag:
+            out = {t: np.where(own, 0.0, x) for t, x in out.items()}
+        out[1] = np.broadcast_to(p1[:, None], own.shape)
+    return out
+
+
+def _tiled(plan: Plan, mode: str):
+    """Rows sorted by (i, j, side, gene): the A rows of a tile, then its B rows, which pass in portions."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, mine, ready, curves = None, [], None, []
         for batch in batches:
-            key = batch.column("block").to_numpy()
-            side = batch.column("side").to_numpy()
-            edge = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (side[1:] != side[:-1])) + 1, len(key)]
+            key = np.stack([batch.column(c).to_numpy() for c in ("i", "j", "side")], 1)
+            edge = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 if s == e:
                     continue
+                if tuple(key[s][:2]) != tile:
+                    tile, mine, ready = tuple(key[s][:2]), [], None
                 part = batch.slice(s, e - s)
-                if key[s] != block:
-                    yield from done()
-                    block, mine, ready, ids, parts = key[s], [], None, [], []
-                if side[s] == 0:
+                if key[s][2] == 0:
                     mine.append(part)
                     continue
                 if ready is None:
                     if not mine:
                         continue
-                    t = pa.Table.from_batches(mine).combine_chunks()
-                    ready = _prepared(plan, t.to_batches()[0])
-                b = part.column("gene").to_numpy()
-                zb = rank_scores(_matrix(pa.concat_arrays([part.column("vals")]), plan.ns), b, plan.seed)
-                ids.append(b)
-                parts.append(ratios(plan, ready[1], ready[2], zb))
-        yield from done()
+                    rows = pa.Table.from_batches(mine).combine_chunks().to_batches()[0]
+                    ready, curves = _prepared(plan, rows), rows.column("curves").to_pylist() if mode == "pij" else []
+                    mine = []
+                ids, za, anchor, kv = ready
+                step = max(1, WORK_BYTES // (8 * 12 * max(1, len(ids))))
+                for k in range(0, len(part), step):
+                    now = part.slice(k, step)
+                    b = now.column("gene").to_numpy()
+                    zb = _rows_of(plan, _matrix(pa.concat_arrays([now.column("vals")]), plan.ns), b)
+                    if mode == "stats":
+                        yield from class_means(plan, ids, za, anchor, b, zb)
+                        continue
+                    found = ratios(plan, za, anchor, zb)
+                    if mode not in ("hist", "pij"):
+                        yield from _finish(plan, mode, ids, kv, b, found)
+                        continue
+                    if plan.kind == "rank" and plan.nodiag:
+                        found = {2: np.where(ids[:, None] == b[None, :], 0.0, found[2])}
+                    if mode == "hist":
+                        rows_ = _bins(plan, ids, kv, b, found)
+                        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows_], t) for n, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.float64()))], ["a", "test", "counts", "n", "own"])
+                    else:
+                        yield from _emit(plan, mode, ids, b, _looked_up(plan, ids, kv, curves, b, found))
 
     return run
 
@@ -259,11 +346,18 @@ class Pairs:
     plan: Plan
     a: DataFrame
     b: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give the memory of the packed matrices back; they are packed again if a result is used afterwards."""
+        for df in self.held:
+            df.unpersist()
 
     @classmethod
     def of(cls, t: DataFrame, t2: DataFrame, anchor: DataFrame | None = None, kind: str = "rank", nodiag: bool = False, seed: int = 0) -> Pairs:
         # Packed once; a lost executor costs a recomputation of its part.
         packed, packed2 = pack(t).persist(), pack(t2).persist()
+        held = (packed, packed2)
         ng, ns, which = shape(packed, "t")
         nt, ns2, which2 = shape(packed2, "t2")
         if which != which2:
@@ -273,6 +367,7 @@ class Pairs:
         packed = packed.select("gene", "vals")
         if anchor is not None:
             anchors = pack(anchor, "geno" if kind == "discrete" else "value").persist()
+            held += (anchors,)
             ne, nse, which3 = shape(anchors, "anchor")
             if ne != ng or which3 != which:
                 raise ValueError(f"anchor has {ne} genes and {nse} samples, t has {ng} and {ns}, or they are others")
@@ -288,7 +383,24 @@ class Pairs:
             packed = packed.join(anchors.select("gene", F.col("vals").alias("anchor")), "gene")
             if packed.count() != ng:
                 raise ValueError("anchor and t have different genes")
-        return cls(Plan(kind, ns, nt, nodiag, seed), packed, packed2.select("gene", "vals"))
+        return cls(Plan(kind, ns, nt, nodiag, seed), packed, packed2.select("gene", "vals"), held)
+
+    @classmethod
+    def plain(cls, x: DataFrame, y: DataFrame, anchor: DataFrame | None = None) -> Pairs:
+        """Rows (gene, sample, z) as they are, and genotypes (gene, sample, geno) of the first."""
+        a, b = pack(x, "z").persist(), pack(y, "z").persist()
+        ng, ns, which = shape(a, "x")
+        nt, ns2, which2 = shape(b, "y")
+        if which != which2:
+            raise ValueError(f"x and y have different samples: {ns} and {ns2}")
+        held, a = (a, b), a.select("gene", "vals")
+        if anchor is not None:
+            anchors = pack(anchor, "geno").persist()
+            ne, nse, which3 = shape(anchors, "anchor")
+            if ne != ng or which3 != which:
+                raise ValueError(f"anchor has {ne} genes and {nse} samples, x has {ng} and {ns}, or they are others")
+            a, held = a.join(anchors.select("gene", F.col("vals").alias("anchor")), "gene"), (*held, anchors)
+        return cls(Plan("products" if anchor is None else "classes", ns, nt), a, b.select("gene", "vals"), held)
 
     def warn_equal_rows(self) -> int:
         """Warn of equal A and B rows under different ids, or unequal ones under the same, as `nodiag` claims."""
@@ -298,26 +410,41 @@ class Pairs:
         return n
 
     def run(self, mode: str, dmax: dict[int, float] | None = None) -> DataFrame:
-        """mode: llr, pv, pij or max."""
+        """mode: llr, pv, pij or max; of `PLAIN` kinds, sum or stats.
+
+        The result is lazy; `release` frees the packed matrices once it has been used.
+        """
         plan = Plan(self.plan.kind, self.plan.ns, self.plan.nt, self.plan.nodiag, self.plan.seed, dmax or {})
         size = plan.nt * plan.ns * 8
         if size <= BROADCAST_BYTES:
             rows = self.b.orderBy("gene").toArrow()  # within the limit just counted
             b = rows.column("gene").combine_chunks().to_numpy()
-            zb = rank_scores(_matrix(pa.concat_arrays(rows.column("vals").chunks) if rows.num_rows else pa.array([], pa.list_(pa.float64())), plan.ns), b, plan.seed)
+            zb = _rows_of(plan, _matrix(pa.concat_arrays(rows.column("vals").chunks) if rows.num_rows else pa.array([], pa.list_(pa.float64())), plan.ns), b)
             n = max(int(self.a.sparkSession.sparkContext.defaultParallelism), 1)
             return self.a.repartition(n).mapInArrow(_against(plan, mode, b, zb), _schema(plan, mode))
-        ng = self.a.count()
-        blocks = max(1, math.ceil(ng * plan.nt * 8 * 12 / (4 * WORK_BYTES)))
-        spark = self.a.sparkSession
-        extra = [c for c in self.a.columns if c == "anchor"]
-        mine = self.a.withColumn("block", F.pmod(F.xxhash64("gene"), F.lit(blocks))).withColumn("side", F.lit(0))
-        other = self.b.crossJoin(F.broadcast(spark.range(blocks).toDF("block"))).withColumn("side", F.lit(1))
-        for c in extra:
-            other = other.withColumn(c, F.lit(None).cast("array<double>"))
-        order = ["gene", "vals", *extra, "block", "side"]
-        rows = mine.select(order).union(other.select(order)).repartition(blocks, "block").sortWithinPartitions("block", "side", "gene")
-        return rows.mapInArrow(_streamed(plan, mode), _schema(plan, mode))
+        a = self.a
+        if mode == "pij":
+            bins = [F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(bin_count(plan.nt))]
+            summed = self._tiles(plan, "hist", a).groupBy("a", "test").agg(*bins, F.sum("n").alias("n"), F.max("own").alias("own"))
+            each = F.struct("test", F.array(*[f"c{k}" for k in range(len(bins))]).alias("counts"), "n", "own")
+            curves = summed.groupBy(F.col("a").alias("gene")).agg(F.collect_list(each).alias("curves"))
+            a = a.join(curves, "gene")
+        return self._tiles(plan, mode, a)
+
+    def _tiles(self, plan: Plan, mode: str, a: DataFrame) -> DataFrame:
+        """Every tile of A with every tile of B; each side travels as often as the other has tiles."""
+        rows = max(1, TILE_BYTES // (8 * plan.ns))
+        na, nb = max(1, math.ceil(a.count() / rows)), max(1, math.ceil(plan.nt / rows))
+        tile = lambda n, salt: F.pmod(F.xxhash64("gene", F.lit(salt)), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        mine = a.withColumn("i", tile(na, 1)).withColumn("j", every(nb)).withColumn("side", F.lit(0))
+        other = self.b.withColumn("j", tile(nb, 2)).withColumn("i", every(na)).withColumn("side", F.lit(1))
+        for c in a.columns:
+            if c not in ("gene", "vals"):
+                other = other.withColumn(c, F.lit(None).cast(a.schema[c].dataType))
+        order = [*a.columns, "i", "j", "side"]
+        dealt = mine.select(order).union(other.select(order)).repartition(na * nb, "i", "j").sortWithinPartitions("i", "j", "side", "gene")
+        return dealt.mapInArrow(_tiled(plan, mode), _schema(plan, mode))
 
     def largest(self) -> dict[int, float]:
         """Largest finite ratio of each test, over all pairs that count."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairwright.operators.elementwise import uniform
+
 
 def rows_save(m: DataFrame, mask: DataFrame) -> DataFrame:
     """Rows whose gene is in `mask` (gene)."""
@@ -92,7 +94,7 @@ def shuffle_rows(m: DataFrame, seed: int) -> DataFrame:
     """Genes permuted at random: (gene, to) for `permute_rows`.  One row per gene is ordered, not the matrix."""
     genes = m.select("gene").distinct()
     at = genes.withColumn("k", F.row_number().over(Window.orderBy("gene")))
-    to = genes.withColumn("k", F.row_number().over(Window.orderBy(F.xxhash64("gene", F.lit(seed)), "gene"))).withColumnRenamed("gene", "to")
+    to = genes.withColumn("k", F.row_number().over(Window.orderBy(uniform(seed, F.col("gene")), "gene"))).withColumnRenamed("gene", "to")
     return at.join(to, "k").select("gene", "to")
 
 

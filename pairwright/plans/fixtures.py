@@ -63,6 +63,16 @@ def sup_anchor_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thirds(sup_cells(spark, sf_dir), "quantity")
 
 
+def year_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gene, sample, value): revenue of the suppliers of each nation in each calendar year; fewer samples than ranks are told apart by."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("int").alias("gene"))
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("v"), F.year("l_shipdate").alias("year"))
+    cells = line.join(s, line["l_suppkey"] == s["s_suppkey"]).groupBy("gene", "year").agg(F.sum("v").alias("v"))
+    years = cells.select("year").distinct().withColumn("sample", F.dense_rank().over(Window.orderBy("year")).cast("int"))
+    grid = cells.select("gene").distinct().crossJoin(F.broadcast(years))  # a row per calendar year
+    return grid.join(cells, ["gene", "year"], "left").select("gene", "sample", F.coalesce("v", F.lit(0.0)).alias("value"))
+
+
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, p): revenue from customers of one nation to suppliers of another, over the largest."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -90,14 +100,17 @@ CTES: dict[str, str] = {
     "sm": "SELECT month, dense_rank() OVER (ORDER BY month)::INT AS sample FROM (SELECT DISTINCT month FROM sl)",
     "sc": "SELECT gene, month, sum(v) AS v, sum(q) AS q FROM sl GROUP BY gene, month",
     "sg": "SELECT g.gene, sm.sample, coalesce(v, 0)::DOUBLE AS value, coalesce(q, 0)::DOUBLE AS quantity FROM (SELECT DISTINCT gene FROM sc) g CROSS JOIN sm LEFT JOIN sc ON sc.gene = g.gene AND sc.month = sm.month",
+    "yc": "SELECT s_nationkey::INT AS gene, year(l_shipdate) AS year, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
+    "yy": "SELECT year, dense_rank() OVER (ORDER BY year)::INT AS sample FROM (SELECT DISTINCT year FROM yc)",
+    "yg": "SELECT g.gene, yy.sample, coalesce(v, 0)::DOUBLE AS value FROM (SELECT DISTINCT gene FROM yc) g CROSS JOIN yy LEFT JOIN yc ON yc.gene = g.gene AND yc.year = yy.year",
     "sd": "SELECT gene, sample, (ntile(3) OVER (PARTITION BY gene ORDER BY quantity, sample) - 1)::SMALLINT AS geno FROM sg",
 }
 
 
 def with_ctes(sql: str, *names: str, **more: str) -> str:
-    """`sql` after the named queries (with those they need, in order) and `more`."""
+    """`sql` after the named queries (with those they need, in order) and `more`; one that names its columns is recursive."""
     need = set(names)
-    deps = {"eb": "e", "ea": "e", "ec": "e", "ed": "ec", "sm": "sl", "sc": "sl", "sg": "sm sc", "sd": "sg"}
+    deps = {"eb": "e", "ea": "e", "ec": "e", "ed": "ec", "sm": "sl", "sc": "sl", "sg": "sm sc", "sd": "sg", "yy": "yc", "yg": "yy"}
     todo = list(need)
     while todo:
         for d in deps.get(todo.pop(), "").split():
@@ -105,4 +118,4 @@ def with_ctes(sql: str, *names: str, **more: str) -> str:
                 need.add(d)
                 todo.append(d)
     parts = [f"{k} AS ({v})" for k, v in CTES.items() if k in need] + [f"{k} AS ({v})" for k, v in more.items()]
-    return f"WITH {', '.join(parts)} {sql}" if parts else sql
+    return f"WITH RECURSIVE {', '.join(parts)} {sql}" if parts else sql

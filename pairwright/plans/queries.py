@@ -18,7 +18,7 @@ from pairwright.operators import histogram, normal, rows
 from pairwright.operators.pairwise import Pairs, mismatched_rows, pack
 from pairwright.plans import api
 from pairwright.plans import fixtures as fx
-from pairwright.plans.posterior_sql import five_ctes, posterior_ctes
+from pairwright.plans.posterior_sql import five_ctes, histogram_rows, largest_cte, null_ctes, posterior_ctes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,13 +131,28 @@ def _(spark, d):
     return normal.argsort_rows(fx.emb_expr(spark, d))
 
 
-@query("row_jitter")
+def _again(z: str, x: str) -> str:
+    """Mean 0 and variance 1 per gene."""
+    return f"SELECT gene, sample, ({z} - avg({z}) OVER w) / stddev_pop({z}) OVER w AS z FROM ({x}) WINDOW w AS (PARTITION BY gene)"
+
+
+def _shaken(by: str, seed: int, z: str = "z") -> str:
+    """Jitter of scores z, drawn by gene and the sample's place, normalised again."""
+    u = el.uniform_sql(seed, "gene", "place")
+    return _again("y", f"SELECT gene, sample, z * (1 + (2 * {u} - 1) * {by}) AS y FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY sample) - 1 AS place FROM {z})")
+
+
+@query("row_jitter", fx.with_ctes(f"SELECT gene, sample, {q6('z', 'z')} FROM j", "e", z=_scores("e"), j=_shaken("1e-3", 7)))
 def _(spark, d):
     e = fx.emb_expr(spark, d)
     return normal.supernormalize_shaken(e, samples(e), 1e-3, 7)
 
 
-@query("supernormalize_random")
+_DRAWS = f"SELECT gene, row_number() OVER (PARTITION BY gene ORDER BY z) AS rank, z FROM (SELECT gene, {special.normal_quantile_sql('u')} AS z FROM (SELECT gene, {el.uniform_sql(7, 'gene', 'sample')} AS u FROM e))"
+_BY_RANK = "SELECT gene, sample, row_number() OVER (PARTITION BY gene ORDER BY value, sample) AS rank FROM e"
+
+
+@query("supernormalize_random", fx.with_ctes(f"SELECT gene, sample, {q6('z', 'z')} FROM n", "e", d=_DRAWS, r=_BY_RANK, n=_again("z", "SELECT r.gene, r.sample, d.z FROM r JOIN d ON d.gene = r.gene AND d.rank = r.rank")))
 def _(spark, d):
     return normal.supernormalize_random(fx.emb_expr(spark, d), 7)
 
@@ -256,7 +271,10 @@ def _(spark, d):
     return rows.permute_columns(e, e.select("sample").distinct().withColumn("to", F.lit(top) - F.col("sample")))
 
 
-@query("shuffle_rows")
+_SHUFFLED = f"SELECT x.gene, y.gene AS dst FROM (SELECT gene, row_number() OVER (ORDER BY gene) AS k FROM (SELECT DISTINCT gene FROM e)) x JOIN (SELECT gene, row_number() OVER (ORDER BY {el.uniform_sql(5, 'gene')}, gene) AS k FROM (SELECT DISTINCT gene FROM e)) y USING (k)"
+
+
+@query("shuffle_rows", fx.with_ctes(f"SELECT dst AS gene, sample, {q6('value', 'value')} FROM e JOIN s USING (gene)", "e", s=_SHUFFLED))
 def _(spark, d):
     e = fx.emb_expr(spark, d)
     return rows.permute_rows(e, rows.shuffle_rows(e, 5))
@@ -384,6 +402,22 @@ def _(spark, d):
     return api.rank_pv(e, e).filter("a <> b")
 
 
+#: Fewer than 30 samples: scores are shaken.
+_FEW = {"zs": _scores("yg"), "z": _shaken("2.0 / ((SELECT count(DISTINCT sample) FROM yg) ** 2)", 0, "zs")}
+
+
+@query("few_supernormalize", fx.with_ctes(f"SELECT gene, sample, {q6('z', 'z')} FROM z", "yg", **_FEW))
+def _(spark, d):
+    y = fx.year_expr(spark, d)
+    return normal.supernormalize_auto(y, samples(y))
+
+
+@query("few_rank_llr", fx.with_ctes(f"SELECT a, b, {q6('greatest(0.0, ' + _hl('(1 - rho * rho)') + ')', 'llr')} FROM r WHERE a <> b", "yg", **_FEW, r=_RHO.format("z", "z")))
+def _(spark, d):
+    y = fx.year_expr(spark, d)
+    return api.rank_llr(y, y).filter("a <> b")
+
+
 _C = ("ea", "eb", "ec")
 _D = ("ea", "eb", "ed")
 _FIVE_L = "SELECT a, b, " + ", ".join(q6(k, k) for k in _L) + " FROM l"
@@ -416,13 +450,13 @@ def _(spark, d):
 
 @query("sup_rank_pv", fx.with_ctes(f"SELECT a, b, {q6(special.null_sf_sql('llr', 1, MONTHS - 2), 'p')} FROM (SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS llr FROM r WHERE a <> b)", "sg", z=_scores("sg"), r=_RHO.format("z", "z")))
 def _(spark, d):
-    s = fx.sup_expr(spark, d).persist()
+    s = fx.sup_expr(spark, d)
     return api.rank_pv(s, s).filter("a <> b")
 
 
 @query("sup_gassist_pv", fx.with_ctes(_five_pv(_kv_freedom(MONTHS, 3)) + " WHERE a <> b", "sg", "sd", **_discrete("sd", "sg", "sg")))
 def _(spark, d):
-    s = fx.sup_expr(spark, d).persist()
+    s = fx.sup_expr(spark, d)
     return api.gassist_pv(fx.sup_anchor_d(spark, d), s, s).filter("a <> b")
 
 
@@ -450,13 +484,32 @@ def _(spark, d):
 # --- histograms, posteriors, networks ----------------------------------------------------
 
 
-@query("null_hist")
+def _hist_rows(more: str, source: str, targets: int) -> str:
+    return f"SELECT {more}bin, {q6('lo', 'lo')}, {q6('hi', 'hi')}, {q6('dens', 'dens')} FROM ({histogram_rows(source, targets)})"
+
+
+def _class_hists() -> str:
+    ctes, parts = dict(_discrete("ed", "ea", "eb")), []
+    for t in (2, 3, 4, 5):
+        ctes[f"top{t}"] = largest_cte("l", f"l{t}", True)
+        for kv in (2, 3, 10):
+            ctes |= null_ctes(f"n{t}_{kv}", f"top{t}", 56, _kv_freedom(NS, kv)[t])
+            parts.append(_hist_rows(f"{t}::INT AS test, {kv}::INT AS kv, ", f"n{t}_{kv}", 56))
+    return fx.with_ctes(" UNION ALL ".join(parts), "ea", "eb", "ed", **ctes)
+
+
+_RANK_L = {"l": f"SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS l2 FROM r", "top": largest_cte("l", "l2", True)}
+
+
+@query("null_hist", fx.with_ctes(_hist_rows("", "h", 1000), "e", **_RANK, **_RANK_L, **null_ctes("h", "top", 1000, (1, NS - 2))))
 def _(spark, d):
-    edges, dens = histogram.null_histogram(0.5, 1000, 1, 498)
+    e = fx.emb_expr(spark, d)
+    pairs = Pairs.of(e, e, nodiag=True)
+    edges, dens = histogram.null_histogram(pairs.largest()[2], 1000, *pairs.plan.freedom(2, 0))
     return spark.createDataFrame([(k, float(edges[k]), float(edges[k + 1]), float(v)) for k, v in enumerate(dens)], "bin int, lo double, hi double, dens double")
 
 
-@query("null_hist_classes")
+@query("null_hist_classes", _class_hists())
 def _(spark, d):
     pairs = Pairs.of(fx.emb_a(spark, d), fx.emb_b(spark, d), fx.emb_anchor_d(spark, d), "discrete", nodiag=True)
     with warnings.catch_warnings():
@@ -476,7 +529,16 @@ def _(spark, d):
     return agg.real_histogram(api.rank_llr(e, e).filter("a <> b"), "llr", _EDGES, 63)
 
 
-@query("quantile_bins_exact")
+_QUANTILES = {
+    "v": f"SELECT greatest(0.0, {_hl('(1 - rho * rho)')}) AS x FROM r WHERE a <> b",
+    "c": "SELECT count(*) AS n, list(x ORDER BY x) AS v, least(1 - 0.1 * 5 / sqrt(count(*)), 0.9995) AS split, least(floor(sqrt(sqrt(count(*))) - 0.1 * 5), 100)::INT AS n1 FROM v",
+    "l": "SELECT *, floor(n * split)::INT AS last, floor(n * split) / n1 AS step FROM c",
+    "t": "SELECT *, v[last + 1] AS low, v[n] AS top, greatest(1, ceil((v[n] - v[last + 1]) / (v[last + 1] - v[floor(last - step)::INT + 1])))::INT AS n2 FROM l",
+    "g": "SELECT unnest([v[floor(step * k)::INT + 1] for k in range(0, n1)]) AS x FROM t UNION SELECT unnest([low + (top - low) * k / n2 for k in range(0, n2 + 1)]) FROM t",
+}
+
+
+@query("quantile_bins_exact", fx.with_ctes(f"SELECT bin::INT AS bin, {q6('lo', 'lo')}, {q6('hi', 'hi')} FROM (SELECT row_number() OVER (ORDER BY x) - 1 AS bin, x AS lo, lead(x) OVER (ORDER BY x) AS hi FROM g) WHERE hi IS NOT NULL", "e", **_RANK, **_QUANTILES))
 def _(spark, d):
     e = fx.emb_expr(spark, d)
     pairs = api.rank_llr(e, e).filter("a <> b").select("llr").toArrow()  # 4,032 values of a fixed 64 x 64 problem
@@ -484,21 +546,14 @@ def _(spark, d):
     return spark.createDataFrame([(k, float(edges[k]), float(edges[k + 1])) for k in range(len(edges) - 1)], "bin int, lo double, hi double")
 
 
-#: The largest ratios of the fixtures at sf0.01, the scale at which oracles are compared; null histograms follow from them.
-_LARGEST = {
-    "rank": {2: 0.01634339937621421},
-    "continuous": {2: 0.010583021340163196, 3: 0.010201138078645868, 4: 0.018650964410605115, 5: 0.015806833259506815},
-    "discrete": {2: 0.013266191500647716, 3: 0.012906282393892349, 4: 0.019278962148889203, 5: 0.01482758263703171},
-    "supplier": {2: 0.11299415929126314, 3: 0.1157620405342543, 4: 0.12031677657475087, 5: 0.11218737030060899},
-}
-#: Oracles that hold at that scale only.
-AT_ONE_SCALE: set[str] = set()
+#: Queries that need 56 suppliers, which sf0.01 has.
+MORE_SUPPLIERS = {"sup_gassist_pijs"}
 
 
 def _rank_oracle(b: str, nodiag: bool) -> str:
     ratio = f"greatest(0.0, {_hl('(1 - rho * rho)')})"
     l = f"SELECT a, b, {f'CASE WHEN a = b THEN 0.0 ELSE {ratio} END' if nodiag else ratio} AS l2 FROM r"  # noqa: E741
-    more = {"za": _scores("ea"), "zb": _scores(b), "r": _RHO.format("za", "zb"), "l": l} | posterior_ctes("t2", "l", "l2", _LARGEST["rank"][2], 56, (1, NS - 2), nodiag)
+    more = {"za": _scores("ea"), "zb": _scores(b), "r": _RHO.format("za", "zb"), "l": l} | posterior_ctes("t2", "l", "l2", 56, (1, NS - 2), nodiag)
     return fx.with_ctes(f"SELECT a, b, {q6('p', 'p')} FROM t2", "ea", "eb", **({"ex": "SELECT * FROM e WHERE gene >= 8"} | more))
 
 
@@ -514,12 +569,7 @@ def _five_oracle(kind: str, final: str) -> str:
         names, base, freedom = _D, _discrete("ed", "ea", "eb"), _kv_freedom(NS, 3)
     else:
         names, base, freedom = ("sg", "sd"), _discrete("sd", "sg", "sg"), _kv_freedom(MONTHS, 3)
-    return fx.with_ctes(final, *names, **base, **five_ctes(_LARGEST[kind], 100 if kind == "supplier" else 56, freedom))
-
-
-def _at_one_scale(name: str, sql: str, f: Query) -> None:
-    AT_ONE_SCALE.add(name)
-    query(name, sql)(f)
+    return fx.with_ctes(final, *names, **base, **five_ctes(100 if kind == "supplier" else 56, freedom))
 
 
 def _assist(f: Callable, anchor: Callable) -> Query:
@@ -527,18 +577,18 @@ def _assist(f: Callable, anchor: Callable) -> Query:
 
 
 def _sup_pijs(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.sup_expr(spark, d).persist()
+    s = fx.sup_expr(spark, d)
     return api.gassist_pijs(fx.sup_anchor_d(spark, d), s, s, nodiag=True)
 
 
 with warnings.catch_warnings():
     warnings.simplefilter("ignore")  # of few bins: the fixtures have few targets on purpose
-    _at_one_scale("rank_pij", _rank_oracle("eb", True), lambda spark, d: api.rank(fx.emb_a(spark, d), fx.emb_b(spark, d), nodiag=True))
-    _at_one_scale("rank_pij_disjoint", _rank_oracle("ex", False), lambda spark, d: api.rank(fx.emb_a(spark, d), fx.emb_expr(spark, d).filter("gene >= 8")))
+    query("rank_pij", _rank_oracle("eb", True))(lambda spark, d: api.rank(fx.emb_a(spark, d), fx.emb_b(spark, d), nodiag=True))
+    query("rank_pij_disjoint", _rank_oracle("ex", False))(lambda spark, d: api.rank(fx.emb_a(spark, d), fx.emb_expr(spark, d).filter("gene >= 8")))
     for _kind, _anchor, _family in (("continuous", fx.emb_anchor_c, (api.cassist_pijs, api.cassist, api.cassist_trad)), ("discrete", fx.emb_anchor_d, (api.gassist_pijs, api.gassist, api.gassist_trad))):
         for _name, _f, _final in zip(("pijs", "pij", "pij_trad"), _family, (_PIJS, _PIJ, _TRAD)):
-            _at_one_scale(f"{_kind[0].replace('d', 'g')}assist_{_name}", _five_oracle(_kind, _final), _assist(_f, _anchor))
-    _at_one_scale("sup_gassist_pijs", _five_oracle("supplier", _PIJS), _sup_pijs)
+            query(f"{_kind[0].replace('d', 'g')}assist_{_name}", _five_oracle(_kind, _final))(_assist(_f, _anchor))
+    query("sup_gassist_pijs", _five_oracle("supplier", _PIJS))(_sup_pijs)
 
 
 _EDGES_SQL = (

@@ -109,6 +109,7 @@ def test_posteriors(data, monkeypatch, f, anchor):
     assert table(f(data[anchor].repartition(7), data["A"].repartition(5), data["B"].repartition(3), nodiag=True)) == got
     monkeypatch.setattr(pw, "BROADCAST_BYTES", 100)
     monkeypatch.setattr(pw, "WORK_BYTES", 20_000)
+    monkeypatch.setattr(pw, "TILE_BYTES", 20_000)
     streamed = table(f(data[anchor], data["A"], data["B"], nodiag=True))
     assert streamed.keys() == got.keys()
     assert all(streamed[k] == pytest.approx(got[k], abs=1e-9) for k in got)

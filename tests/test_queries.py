@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from pairwright.operators.histogram import null_histograms
 from pairwright.operators.pairwise import Plan
 from pairwright.plans import queries
-from pairwright.plans.queries import AT_ONE_SCALE, ORACLES, QUERIES
+from pairwright.plans.queries import MORE_SUPPLIERS, ORACLES, QUERIES
 from tests.oracle import compare, oracle_rows
 
 SF, COMPARED = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -18,7 +18,7 @@ warnings.filterwarnings("ignore", message=".*advised")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     if name in ORACLES:
-        sf_dir = COMPARED if name in AT_ONE_SCALE else SF
+        sf_dir = COMPARED if name in MORE_SUPPLIERS else SF
         n, differences = compare(QUERIES[name](spark, sf_dir), ORACLES[name], sf_dir)
         assert not differences, differences[:3]
         assert n
