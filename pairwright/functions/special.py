@@ -171,7 +171,10 @@ def null_sf_column(x: Column, n1: int, n2: int) -> Column:
 
 
 def null_sf_sql(x: str, n1: int, n2: int) -> str:
-    """The same finite sums for DuckDB, terms computed there."""
+    """The same finite sums for DuckDB, terms computed there.
+
+    One minus a sum loses small tails, so below a thousandth the tail's own series is summed instead.
+    """
     a, b = n1 / 2, n2 / 2
     y, w = f"(1 - exp(-2 * ({x})))", f"exp(-2 * ({x}))"
     if n1 % 2 == 0:
@@ -186,7 +189,12 @@ def null_sf_sql(x: str, n1: int, n2: int) -> str:
         for j in range((n1 - 1) // 2):
             al = 0.5 + j
             res += f" + exp(lgamma({al + b!r}) - lgamma({al + 1!r}) - lgamma({b!r})) * pow({y}, {al!r}) * pow({w}, {b!r})"
-    return f"(CASE WHEN ({x}) <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, {res})) END)"
+    res = f"greatest(0.0, least(1.0, {res}))"
+    if n1 % 2:
+        front = f"exp(-2 * {b!r} * ({x}) + {a!r} * ln({y}) + lgamma({a + b!r}) - lgamma({a!r}) - lgamma({b + 1!r}))"
+        tail = f"{front} * list_sum([exp(lgamma({a + b!r} + j) - lgamma({a + b!r}) - lgamma({b + 1!r} + j) + lgamma({b + 1!r})) * pow({w}, j) for j in range(3000)])"
+        res = f"CASE WHEN {res} >= 1e-3 THEN {res} ELSE {tail} END"
+    return f"(CASE WHEN ({x}) <= 0 THEN 1.0 ELSE {res} END)"
 
 
 def quantiles_of_cdf(cdf, start: float, step: float, n: int, left: float, right: float, eps: float) -> np.ndarray:

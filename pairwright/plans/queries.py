@@ -8,6 +8,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,13 @@ from pairwright.functions import special
 from pairwright.operators import aggregate as agg
 from pairwright.operators import elementwise as el
 from pairwright.operators import histogram, normal, rows
+from pairwright.operators.dag import adjacency
 from pairwright.operators.pairwise import Pairs, mismatched_rows, pack
 from pairwright.plans import api
 from pairwright.plans import fixtures as fx
 from pairwright.plans.posterior_sql import five_ctes, histogram_rows, largest_cte, null_ctes, posterior_ctes
+from pairwright.plans.session import shared_folder
+from pairwright.sources import matrix
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,8 +105,26 @@ def _discrete(g: str, t: str, t2: str) -> dict[str, str]:
     }
 
 
+#: p-values are compared twice, as they are and by their logarithm, which shows the tail.
+_LEAST = 1e-300
+
+
+def tails(df: DataFrame) -> DataFrame:
+    return df.withColumns({"t" + c[1:]: F.log10(F.greatest(F.col(c), F.lit(_LEAST))) for c in df.columns if c[0] == "p"})
+
+
+def _pv(columns: dict[str, str], source: str) -> str:
+    """p-values by name, with the logarithm of each, from expressions over `source` (a, b, ...)."""
+    both = ", ".join(f"{q6(p, p)}, {q6(f'log10(greatest({p}, {_LEAST!r}::DOUBLE))', 't' + p[1:])}" for p in columns)
+    return f"SELECT a, b, {both} FROM (SELECT a, b, {', '.join(f'{x} AS {p}' for p, x in columns.items())} FROM {source} WHERE a <> b)"
+
+
 def _five_pv(freedom: dict[int, tuple[int, int]]) -> str:
-    return "SELECT a, b, " + ", ".join(q6(special.null_sf_sql(f"l{t}", *d), f"p{t}") for t, d in freedom.items()) + " FROM l"
+    return _pv({f"p{t}": special.null_sf_sql(f"l{t}", *d) for t, d in freedom.items()}, "l")
+
+
+def _rank_pv(ns: int) -> str:
+    return _pv({"p": special.null_sf_sql("llr", 1, ns - 2)}, f"(SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS llr FROM r)")
 
 
 def _kv_freedom(ns: int, kv: int) -> dict[int, tuple[int, int]]:
@@ -167,11 +189,17 @@ _ELEMENTS: dict[str, tuple[Callable[[Column], Column], str]] = {
     "set_value": (lambda c: el.set_value(el.bound_below(c, 0.0), 0.0, -3.0), "CASE WHEN value <= 0 THEN -3.0 ELSE value END"),
     "eq": (lambda c: el.eq(el.bound_below(c, 0.0), 0.0).cast("double"), "(value <= 0)::INT::DOUBLE"),
     "complement": (el.complement, "1.0 - value"),
+    "log1p": (lambda c: F.log1p(F.abs(c)), "ln(1 + abs(value))"),
 }
 for _name, (_f, _sql) in _ELEMENTS.items():
     query(_name, fx.with_ctes(f"SELECT gene, sample, {q6(_sql, 'x')} FROM e", "e"))(lambda spark, d, f=_f: fx.emb_expr(spark, d).select("gene", "sample", f(F.col("value")).alias("x")))
 
 
+@query("integer_draws", fx.with_ctes(f"SELECT gene, sample, floor({el.uniform_sql(3, 'gene', 'sample')} * 10)::BIGINT AS x FROM e", "e"))
+def _(spark, d):
+    return fx.emb_expr(spark, d).select("gene", "sample", el.integers(3, 10, F.col("gene"), F.col("sample")).alias("x"))
+
+
 @query("scale_row", fx.with_ctes(f"SELECT gene, sample, {q6('value * sqrt(gene + 1)', 'value')} FROM e", "e"))
 def _(spark, d):
     e = fx.emb_expr(spark, d)
@@ -375,10 +403,15 @@ def _(spark, d):
 _RANK = {"z": _scores("e"), "r": _RHO.format("z", "z")}
 
 
-@query("llr_max", fx.with_ctes(f"SELECT {q6('max(x) FILTER (a <> b)', 'dmax')}, 0::BIGINT AS n_nan, 0::BIGINT AS n_negative FROM (SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS x FROM r)", "e", **_RANK))
+#: Ratios with some made invalid: infinite from gene 40 on, NaN with gene 5, negative with gene 7.
+_BROKEN = f"SELECT a, b, CASE WHEN a >= 40 THEN {_INF} WHEN b = 5 THEN 'NaN'::DOUBLE WHEN b = 7 THEN -1.0 - x ELSE x END AS x FROM (SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS x FROM r) WHERE a <> b"
+
+
+@query("llr_max", fx.with_ctes(f"SELECT {q6('max(x) FILTER (isfinite(x))', 'dmax')}, (count(*) FILTER (isnan(x)))::BIGINT AS n_nan, (count(*) FILTER (x < 0))::BIGINT AS n_negative FROM m", "e", **_RANK, m=_BROKEN))
 def _(spark, d):
-    e = fx.emb_expr(spark, d)
-    return agg.finite_max(api.rank_llr(e, e), "llr", nodiag=True)
+    e, x = fx.emb_expr(spark, d), F.col("llr")
+    broken = F.when(F.col("a") >= 40, el.INF).when(F.col("b") == 5, float("nan")).when(F.col("b") == 7, F.lit(-1.0) - x).otherwise(x)
+    return agg.finite_max(api.rank_llr(e, e).withColumn("llr", broken), "llr", nodiag=True)
 
 
 @query("cmprow", fx.with_ctes("SELECT gene::INT AS a, (gene + 100)::INT AS b FROM (SELECT DISTINCT gene FROM ea)", "ea"))
@@ -396,10 +429,10 @@ def _(spark, d):
     return api.rank_llr(e, e).filter("a <> b")
 
 
-@query("rank_pv", fx.with_ctes(f"SELECT a, b, {q6(special.null_sf_sql('llr', 1, NS - 2), 'p')} FROM (SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS llr FROM r WHERE a <> b)", "e", **_RANK))
+@query("rank_pv", fx.with_ctes(_rank_pv(NS), "e", **_RANK))
 def _(spark, d):
     e = fx.emb_expr(spark, d)
-    return api.rank_pv(e, e).filter("a <> b")
+    return tails(api.rank_pv(e, e).filter("a <> b"))
 
 
 #: Fewer than 30 samples: scores are shaken.
@@ -428,9 +461,9 @@ def _(spark, d):
     return api.cassist_llr(fx.emb_anchor_c(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
 
 
-@query("cassist_pv", fx.with_ctes(_five_pv({1: (1, NS - 2), 2: (1, NS - 2), 3: (1, NS - 3), 4: (2, NS - 3), 5: (1, NS - 3)}) + " WHERE a <> b", *_C, **_continuous("ec", "ea", "eb")))
+@query("cassist_pv", fx.with_ctes(_five_pv({1: (1, NS - 2), 2: (1, NS - 2), 3: (1, NS - 3), 4: (2, NS - 3), 5: (1, NS - 3)}), *_C, **_continuous("ec", "ea", "eb")))
 def _(spark, d):
-    return api.cassist_pv(fx.emb_anchor_c(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
+    return tails(api.cassist_pv(fx.emb_anchor_c(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b"))
 
 
 @query("gassist_llr", fx.with_ctes(_FIVE_L + " WHERE a <> b", *_D, **_discrete("ed", "ea", "eb")))
@@ -438,26 +471,26 @@ def _(spark, d):
     return api.gassist_llr(fx.emb_anchor_d(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
 
 
-@query("gassist_pv", fx.with_ctes(_five_pv(_kv_freedom(NS, 3)) + " WHERE a <> b", *_D, **_discrete("ed", "ea", "eb")))
+@query("gassist_pv", fx.with_ctes(_five_pv(_kv_freedom(NS, 3)), *_D, **_discrete("ed", "ea", "eb")))
 def _(spark, d):
-    return api.gassist_pv(fx.emb_anchor_d(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
+    return tails(api.gassist_pv(fx.emb_anchor_d(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b"))
 
 
-@query("gassist_pv_label", fx.with_ctes(_five_pv(_kv_freedom(NS, 10)) + " WHERE a <> b", "ea", "eb", "el", **_discrete("el", "ea", "eb")))
+@query("gassist_pv_label", fx.with_ctes(_five_pv(_kv_freedom(NS, 10)), "ea", "eb", "el", **_discrete("el", "ea", "eb")))
 def _(spark, d):
-    return api.gassist_pv(fx.emb_anchor_label(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b")
+    return tails(api.gassist_pv(fx.emb_anchor_label(spark, d), fx.emb_a(spark, d), fx.emb_b(spark, d)).filter("a <> b"))
 
 
-@query("sup_rank_pv", fx.with_ctes(f"SELECT a, b, {q6(special.null_sf_sql('llr', 1, MONTHS - 2), 'p')} FROM (SELECT a, b, greatest(0.0, {_hl('(1 - rho * rho)')}) AS llr FROM r WHERE a <> b)", "sg", z=_scores("sg"), r=_RHO.format("z", "z")))
+@query("sup_rank_pv", fx.with_ctes(_rank_pv(MONTHS), "sg", z=_scores("sg"), r=_RHO.format("z", "z")))
 def _(spark, d):
     s = fx.sup_expr(spark, d)
-    return api.rank_pv(s, s).filter("a <> b")
+    return tails(api.rank_pv(s, s).filter("a <> b"))
 
 
-@query("sup_gassist_pv", fx.with_ctes(_five_pv(_kv_freedom(MONTHS, 3)) + " WHERE a <> b", "sg", "sd", **_discrete("sd", "sg", "sg")))
+@query("sup_gassist_pv", fx.with_ctes(_five_pv(_kv_freedom(MONTHS, 3)), "sg", "sd", **_discrete("sd", "sg", "sg")))
 def _(spark, d):
     s = fx.sup_expr(spark, d)
-    return api.gassist_pv(fx.sup_anchor_d(spark, d), s, s).filter("a <> b")
+    return tails(api.gassist_pv(fx.sup_anchor_d(spark, d), s, s).filter("a <> b"))
 
 
 _GRID = [(1, 498), (1, 81), (2, 9), (3, 8), (4, 11), (9, 40)]
@@ -475,8 +508,6 @@ def _(spark, d):
 
 @query("null_pdf", " UNION ALL ".join(f"SELECT {a} AS n1, {b} AS n2, {q6('x', 'x')}, {q6(f'exp(({a / 2 - 1!r}) * ln(1 - exp(-2 * x)) - {b} * x + ln(2) + lgamma({(a + b) / 2!r}) - lgamma({a / 2!r}) - lgamma({b / 2!r}))', 'd')} FROM (SELECT i / 50.0::DOUBLE AS x FROM range(1, 60) t(i))" for a, b in _GRID))
 def _(spark, d):
-    import numpy as np
-
     x = np.arange(1, 60) / 50.0
     return spark.createDataFrame([(a, b, float(u), float(v)) for a, b in _GRID for u, v in zip(x, special.null_pdf(x, a, b))], "n1 int, n2 int, x double, d double")
 
@@ -623,3 +654,109 @@ def _(spark, d):
 @query("greedy_dag_info", _dag_oracle("SELECT src, dst, (CASE WHEN ok IS NULL THEN 0 WHEN ok THEN e.k ELSE -e.k END)::BIGINT AS attempt FROM e LEFT JOIN run ON e.k = run.k", 100, 5, 6))
 def _(spark, d):
     return api.greedy_dag_info(fx.nation_edges(spark, d), nam=100, nimax=5, nomax=6).drop("seconds")
+
+
+# --- sources, sinks, bins ----------------------------------------------------------------
+
+
+def _nation_matrix(spark: SparkSession, d: str) -> list[list[float]]:
+    """Key and region of the nations, a matrix held by the caller: 25 rows at every scale."""
+    rows_ = fx.table(spark, d, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+    return [[float(x) for x in r] for r in rows_]
+
+
+_NATIONS = "SELECT gene, sample, value + 0.0::DOUBLE AS value FROM (SELECT (dense_rank() OVER (ORDER BY n_nationkey) - 1)::INT AS gene, s::INT AS sample, (CASE WHEN s = 0 THEN n_nationkey ELSE n_regionkey END)::DOUBLE AS value FROM nation, range(2) t(s))"
+
+
+@query("source_array", _NATIONS)
+def _(spark, d):
+    m = _nation_matrix(spark, d)
+    return matrix.from_dense(spark, m, len(m), 2)
+
+
+def _file_query(bits: int) -> Query:
+    def run(spark, d):
+        m, path = _nation_matrix(spark, d), shared_folder(spark, "matrix")
+        matrix.to_dense_file(spark, m, path, bits)
+        return matrix.from_dense_file(spark, path, len(m), 2, bits)
+
+    return run
+
+
+query("source_file", _NATIONS)(_file_query(64))
+query("source_file_single", _NATIONS)(_file_query(32))
+
+
+@query("sink_pairs", ORACLES["rank_llr"])
+def _(spark, d):
+    e, path = fx.emb_expr(spark, d), shared_folder(spark, "pairs")
+    matrix.write_pairs(api.rank_llr(e, e), path)
+    return spark.read.parquet(path).filter("a <> b")
+
+
+@query("sink_network", ORACLES["greedy_dag"])
+def _(spark, d):
+    path = shared_folder(spark, "edges")
+    matrix.write_network(api.greedy_dag(fx.nation_edges(spark, d)), path)
+    return spark.read.parquet(path)
+
+
+@query("network_matrix", _dag_oracle("SELECT s.i::INT AS src, t.i::INT AS dst, (count(x.src))::INT AS edge FROM range(25) s(i) CROSS JOIN range(25) t(i) LEFT JOIN (SELECT src, dst FROM run JOIN e USING (k) WHERE ok) x ON x.src = s.i AND x.dst = t.i GROUP BY 1, 2", 300))
+def _(spark, d):
+    wide = adjacency(api.greedy_dag(fx.nation_edges(spark, d)), list(range(25)))
+    return wide.unpivot("src", [str(k) for k in range(25)], "dst", "edge").select("src", F.col("dst").cast("int"), F.col("edge").cast("int"))
+
+
+def _edge_rows(spark: SparkSession, edges) -> DataFrame:
+    return spark.createDataFrame([(k, float(edges[k]), float(edges[k + 1])) for k in range(len(edges) - 1)], "bin int, lo double, hi double")
+
+
+def _edge_sql(x: str, n: int) -> str:
+    """Bins between consecutive values of `x`, an expression of k."""
+    return f"SELECT k::INT AS bin, {q6(x, 'lo')}, {q6(x.replace('k', '(k + 1)'), 'hi')} FROM range({n}) t(k)"
+
+
+@query("uniform_bins", _edge_sql("0.5 + 2.25::DOUBLE * k / 9", 9))
+def _(spark, d):
+    return _edge_rows(spark, histogram.uniform_bins(0.5, 2.75, 9))
+
+
+@query("finer_bins", _edge_sql("[0.0, 0.5, 2.0, 2.25, 7.0][k // 8 + 1] + ([0.0, 0.5, 2.0, 2.25, 7.0, 7.0][k // 8 + 2] - [0.0, 0.5, 2.0, 2.25, 7.0][k // 8 + 1]) * (k % 8) / 8.0::DOUBLE", 32))
+def _(spark, d):
+    return _edge_rows(spark, histogram.finer_edges(np.array([0.0, 0.5, 2.0, 2.25, 7.0]), 8))
+
+
+# The null law with two and 40 degrees of freedom has a CDF whose quantiles are closed.
+@query("equal_mass_bins_cdf", _edge_sql("-ln(1 - (1 - 3.3546262790251185e-4) * k / 12.0::DOUBLE) / 40", 12))
+def _(spark, d):
+    return _edge_rows(spark, histogram.equal_mass_bins_cdf(0.0, 0.2, 12, lambda x: 1.0 - float(special.null_sf(np.array([x]), 2, 40)[0]), 1e-12))
+
+
+@query("cdf_quantiles", f"SELECT k::INT AS k, {q6('-ln(1 - (0.05 + 0.1 * k)) / 40.0::DOUBLE', 'x')} FROM range(9) t(k)")
+def _(spark, d):
+    at = special.quantiles_of_cdf(lambda x: 1.0 - float(special.null_sf(np.array([x]), 2, 40)[0]), 0.05, 0.1, 9, 0.0, 1.0, 1e-12)
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(at)], "k int, x double")
+
+
+_EXPONENTIAL = {
+    "v": _QUANTILES["v"],
+    "c": "SELECT count(*) AS n, max(x) AS top, least(1 - 0.1 * 5 / sqrt(count(*)), 0.9995) AS split, least(floor(sqrt(sqrt(count(*))) - 0.1 * 5), 100)::INT AS n1 FROM v",
+    # Grid of exponential quantiles, carried on with the last width.
+    "f": f"SELECT i, -ln(1 - i * split / (100 * n1 + 1)) / {NS} AS x FROM c, range(0, 100 * 100 + 1) t(i) WHERE i < 100 * n1 + 1",
+    "h": "SELECT max(x) AS x, max(x) - (SELECT max(x) FROM f WHERE i < (SELECT max(i) FROM f)) AS w, max(i) AS i FROM f",
+    "g": "SELECT i, x FROM f UNION ALL SELECT h.i + k, h.x + h.w * k FROM h, c, range(1, 5001) t(k) WHERE k <= 50 * n1",
+    "b": "SELECT i, x AS lo, coalesce(lead(x) OVER (ORDER BY i), 'Infinity'::DOUBLE) AS hi FROM g",
+    "q": "SELECT b.i, b.lo, b.hi, coalesce(z.n, 0) AS n FROM b LEFT JOIN (SELECT y.lo, count(*)::DOUBLE AS n FROM v ASOF JOIN b y ON v.x >= y.lo GROUP BY 1) z ON z.lo = b.lo",
+    "s": "SELECT *, sum(n) OVER (ORDER BY i) AS total, sum(n) OVER (ORDER BY i) - n AS before FROM q",
+    "e1": "SELECT k, s.lo + (k * floor(c.n * c.split / c.n1) - s.before) / s.n * (s.hi - s.lo) AS x FROM c, range(1, 101) t(k) JOIN s ON s.total >= k * (SELECT floor(n * split / n1) FROM c) AND s.before < k * (SELECT floor(n * split / n1) FROM c) WHERE k <= c.n1",
+    "e2": "SELECT 0 AS k, 0.0::DOUBLE AS x UNION ALL SELECT * FROM e1",
+    "e3": "SELECT max(x) AS x, max(x) - (SELECT max(x) FROM e2 WHERE k < (SELECT max(k) FROM e2)) AS w FROM e2",
+    "e4": "SELECT x FROM e2 UNION ALL SELECT e3.x + w * k FROM e3, c, range(1, 100001) t(k) WHERE k <= ceil((top - e3.x) / w)",
+}
+
+
+@query("exponential_bins", fx.with_ctes(f"SELECT bin::INT AS bin, {q6('lo', 'lo')}, {q6('hi', 'hi')} FROM (SELECT row_number() OVER (ORDER BY x) - 1 AS bin, x AS lo, lead(x) OVER (ORDER BY x) AS hi FROM e4) WHERE hi IS NOT NULL", "e", **_RANK, **_EXPONENTIAL))
+def _(spark, d):
+    e = fx.emb_expr(spark, d)
+    pairs = api.rank_llr(e, e).filter("a <> b").select("llr").toArrow()  # 4,032 values of a fixed 64 x 64 problem
+    return _edge_rows(spark, histogram.exponential_bins(pairs.column("llr").to_numpy(), NS, 0.1))

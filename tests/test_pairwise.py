@@ -165,3 +165,24 @@ def test_errors(spark, data):
 def test_equal_rows_warn(data):
     with pytest.warns(UserWarning, match="contradict"):
         api.rank(data["A"], data["B"].withColumn("gene", F.col("gene") + 100))
+
+
+def test_products_and_class_means_by_another_way(spark, monkeypatch):
+    """Arrays against joins by sample, broadcast and in tiles."""
+    from pairwright.operators import aggregate as agg
+
+    rng = np.random.default_rng(8)
+    x = spark.createDataFrame([(g, s, float(v)) for g in range(5) for s, v in enumerate(rng.standard_normal(40))], "gene int, sample int, z double")
+    y = spark.createDataFrame([(g, s, float(v)) for g in range(9) for s, v in enumerate(rng.standard_normal(40))], "gene int, sample int, z double")
+    geno = spark.createDataFrame([(g, s, int(rng.integers(0, 3 + g))) for g in range(5) for s in range(40)], "gene int, sample int, geno short")
+    values = lambda df, keys: {tuple(r[:keys]): pytest.approx(tuple(r[keys:])) for r in df.collect()}
+    for limit in (1 << 20, 100):
+        monkeypatch.setattr(pw, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(pw, "TILE_BYTES", 700)
+        assert {tuple(r[:2]): tuple(r[2:]) for r in agg.cov2(x, y, 40).collect()} == values(agg.cov2_sparse(x, y, 40), 2)
+        assert {tuple(r[:2]): tuple(r[2:]) for r in agg.cov1(x, 40, True).collect()} == values(agg.cov2_sparse(x, x, 40, True), 2)
+        assert {tuple(r[:3]): tuple(r[3:]) for r in agg.class_stats(geno, x, y, 40).select("a", "geno", "b", "f", "mu_a", "mu_b").collect()} == values(agg.class_stats_sparse(geno, x, y, 40).select("a", "geno", "b", "f", "mu_a", "mu_b"), 3)
+    with pytest.raises(ValueError, match="dense"):
+        agg.cov2(x, y.filter("gene > 0 or sample < 39"), 40)
+    with pytest.raises(ValueError, match="samples"):
+        agg.cov2(x, y.filter("sample < 39"), 40)
