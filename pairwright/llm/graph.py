@@ -24,8 +24,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels["node"] == near["x"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        up = lower.select(F.col("node").alias("un"), F.col("component").alias("uc"))
-        new = lower.join(up, lower["component"] == up["un"], "left").select("node", "old", F.coalesce("uc", "component").alias("component"))
+        # Components whose own label fell, one row each.  One that many nodes have has mostly settled, and then meets nothing in the join with all labels.
+        own = lower.select(F.col("node").alias("un"), F.col("component").alias("root")).filter("root < un")
+        moved = lower.select(F.col("component").alias("c")).distinct().join(own, F.col("c") == F.col("un")).select("c", "root")
+        new = lower.join(moved, lower["component"] == moved["c"], "left").select("node", "old", F.coalesce("root", "component").alias("component"))
         k += 1
         new = scratch.table(new, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
