@@ -12,6 +12,7 @@ whose lengths are powers of two, so nothing is padded at all.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pairwright.llm.tokens import rank_merges, word_tokenizer
 
 K1, B = 1.2, 0.75
 #: Bytes of texts that are tokenised together.
-TOGETHER = 4 << 20
+TOGETHER = 16 << 20
 _SLICE = 1 << 13
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -51,14 +52,12 @@ def _tokenise(path: str, by_rank: bool, end: int, window: int):
         rarity = np.log1p(np.arange(size)).astype(np.float32)
         rarity[end] = 0
         for batch in batches:
-            data, off = ts.text_bytes(batch.column("text"))
-            doc = batch.column("doc_id")
-            for i, j in ts.slices(off, TOGETHER):
+            text, doc = batch.column("text"), batch.column("doc_id")
+            for i, j in ts.slices(ts.text_bytes(text)[1], TOGETHER):
                 rows: list[list] = [[] for _ in names]
-                raw = data[off[i] : off[j]].tobytes()
-                texts = [raw[a - off[i] : b - off[i]] for a, b in zip(off[i:j], off[i + 1 : j + 1])]
-                for k, ids in enumerate(tok.encode(texts)):
-                    ids += mark
+                raw, at = tok.encode_column(text.slice(i, j - i))
+                for k, (a, b) in enumerate(itertools.pairwise(at.tolist())):
+                    ids = raw[a:b] + mark
                     n = len(ids) // tok.width
                     terms, tf = np.unique(np.frombuffer(ids, code), return_counts=True)
                     counts[terms] += 1

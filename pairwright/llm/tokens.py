@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, word by word.
 
 The tokenizer drops white space before it splits, so nothing reaches across a space: the
-ids of a text are those of its maximal runs of other bytes, one after another.  Each
-distinct run is encoded once per worker and looked up afterwards.
+ids of a text are those of its maximal runs of other bytes, one after another.  Arrow splits
+the texts, numbers distinct runs and puts their ids in a row again, so Python spends no time
+per run; a worker remembers the runs it has met and encodes new ones only.
 
 A run is split into words here only where that is certain: one with characters beyond
 U+017F, control characters, special spaces or the opening of a special token goes to the
@@ -24,9 +25,11 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct runs of a generation; a worker remembers the present one and the one before.
-REMEMBER = 150_000
+#: Distinct runs that a worker remembers; beyond it, those of the present texts only.
+REMEMBER = 600_000
 #: Whether the library that merges by rank is there; without it, the tokenizer itself gives the same ids, more slowly.
 MERGER = importlib.util.find_spec("tiktoken") is not None
 #: What ends a word, and a word that ends a run, in the text for the merging library.
@@ -100,8 +103,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.code, self.width = ("H", 2) if self.size <= 1 << 16 else ("I", 4)
-        self.runs: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.forget()
         self.merger = None
         if by_rank and MERGER:
             self._load(json.load(open(path, encoding="utf-8"))["model"])
@@ -128,43 +130,62 @@ class WordTokenizer:
             if set(t.removesuffix("</w>")) <= byte.keys() and (k := ranks.get(raw(t))) is not None:
                 self.ids[k] = i
 
+    def forget(self) -> None:
+        self.runs, self.run_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, runs: list[bytes]) -> None:
-        """All new runs at once: one string with a run per line."""
-        if not runs:
-            return
+    def _learn(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of each run, all at once: one string with a run per line."""
+        out = [b""] * len(runs)
         lines = b"\n".join(runs).decode("utf-8", "replace")
         if self.merger is None:
             odd = range(len(runs))
         else:
             ends = list(itertools.accumulate((len(x) + 1 for x in lines.split("\n")))) if _ODD.search(lines) else []
             odd = sorted({bisect.bisect_right(ends, m.start()) for m in _ODD.finditer(lines)}) if ends else []
+        left: list[int] | range = range(len(runs))
         if odd:
             text = lines.split("\n")
-            self.runs.update(zip([runs[k] for k in odd], self._encode([text[k] for k in odd])))
-            left = sorted(set(range(len(runs))) - set(odd))
-            runs, lines = [runs[k] for k in left], "\n".join([text[k] for k in left])
-        if runs:
-            marked = END.join(_WORDS.findall(lines.lower()))
-            merged = np.array(self.merger.encode_ordinary(marked + END + STOP), np.int64)
+            for k, ids in zip(odd, self._encode([text[k] for k in odd])):
+                out[k] = ids
+            left = sorted(set(left) - set(odd))
+            lines = "\n".join([text[k] for k in left])
+        if left:
+            merged = np.array(self.merger.encode_ordinary(END.join([*_WORDS.findall(lines.lower()), STOP])), np.int64)
             ends = np.flatnonzero(merged == self.stop)
             raw, starts = self.ids[merged].tobytes(), np.r_[0, ends[:-1] + 1]
             w = self.width
-            self.runs.update(zip(runs, [raw[a:b] for a, b in zip((starts * w).tolist(), (ends * w).tolist())]))
+            for k, a, b in zip(left, (starts * w).tolist(), (ends * w).tolist()):
+                out[k] = raw[a:b]
+        return out
+
+    def encode_column(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """(ids of all texts, offsets in bytes); null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.ascii_split_whitespace(texts)  # at [\x20\x09-\x0D]+; runs at the ends of a text may be empty
+        met = split.flatten().dictionary_encode()
+        runs, at = met.dictionary, pc.index_in(met.dictionary, value_set=self.runs)
+        fresh = runs.filter(at.is_null())
+        learned = pa.array(self._learn(fresh.cast(pa.large_binary()).to_pylist()) if len(fresh) else [], pa.large_binary())
+        place = np.array(pc.fill_null(at, -1))
+        place[place < 0] = len(self.runs) + np.arange(len(fresh))
+        run_ids = pa.concat_arrays([self.run_ids, learned])
+        mine = run_ids.take(pa.array(place))
+        if len(self.runs) + len(fresh) <= REMEMBER:
+            self.runs, self.run_ids = pa.concat_arrays([self.runs, fresh]), run_ids
+        else:
+            self.runs, self.run_ids = runs, mine
+        ids = mine.take(met.indices)
+        _, off, data = ids.buffers()
+        off = np.frombuffer(off, np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        return (data.to_pybytes() if data is not None else b"")[: off[-1]], off[split.offsets.to_numpy()]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text."""
-        split = [t.split() for t in texts]  # bytes split at ASCII white space only
-        if len(self.runs) > REMEMBER:
-            self.old, self.runs = self.runs, {}
-        new = set().union(*split) - self.runs.keys()
-        known = new & self.old.keys()
-        self.runs.update({r: self.old[r] for r in known})
-        self._learn(list(new - known))
-        get = self.runs.__getitem__
-        return [b"".join(map(get, runs)) for runs in split]
+        raw, off = self.encode_column(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        return [raw[a:b] for a, b in itertools.pairwise(off.tolist())]
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -20,7 +22,7 @@ def test_tokens_equal_the_tokenizers(by_rank):
     want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
     tok = tokens.WordTokenizer(PATH, by_rank)
     assert tok.encode([t.encode() for t in texts]) == want
-    tok.runs.clear()
+    tok.forget()
     assert tok.encode([t.encode() for t in texts[::-1]]) == want[::-1]
 
 
@@ -32,6 +34,19 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert tok.encode([t]) == fresh.encode([t])
 
 
+def test_columns_are_encoded_like_texts():
+    texts = [None, "", " \t\n", " lead", "trail \x0b", None, "a  b\x1cc", "x" * 5000 + " y", "b a"]
+    tok, want = tokens.WordTokenizer(PATH, True), [tokens.WordTokenizer(PATH, False).encode([(t or "").encode()])[0] for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *texts], kind).slice(1)
+        raw, off = tok.encode_column(column)
+        assert [raw[a:b] for a, b in itertools.pairwise(off.tolist())] == want
+        raw, off = tok.encode_column(column.slice(0, 0))
+        assert (raw, off.tolist()) == (b"", [0])
+    raw, off = tok.encode_column(pa.array([None, None], pa.string()))
+    assert (raw, off.tolist()) == (b"", [0, 0, 0])
+
+
 def test_rank_merges_hold_for_the_file():
     assert tokens.rank_merges(PATH)
     assert not tokens.rank_merges(public_tokenizers.path("byte_bpe_50k.json"))
