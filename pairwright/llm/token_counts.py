@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,12 @@ def count_tokens(docs: DataFrame, words: str, ranks: str, pattern: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = word_tokenizer(words, by_rank), byte_tokenizer(ranks, pattern)
         for batch in batches:
-            data, off = ts.text_bytes(batch.column(names.index("text")))
+            text = batch.column(names.index("text"))
             counts: tuple[list, list] = ([], [])
-            for i, j in ts.slices(off, TOGETHER):
-                raw = data[off[i] : off[j]].tobytes()
-                texts = [raw[a - off[i] : b - off[i]] for a, b in zip(off[i:j], off[i + 1 : j + 1])]
-                counts[0].extend(len(ids) // first.width for ids in first.encode(texts))
-                counts[1].extend(second.count([t.decode() for t in texts]))
+            for i, j in ts.slices(ts.text_bytes(text)[1], TOGETHER):
+                texts = text.slice(i, j - i)
+                counts[0].extend((np.diff(first.encode_column(texts)[1]) // first.width).tolist())
+                counts[1].extend(second.count([t or "" for t in texts.to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in counts)], [*names, "word_tokens", "byte_tokens"])
 
     more = [T.StructField("word_tokens", T.LongType()), T.StructField("byte_tokens", T.LongType())]
