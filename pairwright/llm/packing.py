@@ -255,8 +255,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = 4096, shar
     # One entry per term that occurs: at most the vocabulary.
     table = spark.createDataFrame([(int(k), int(base[k]), int(parts[k])) for k in np.flatnonzero(tokens)] or [(-1, 0, 1)], "term int, base long, parts long")
     dealt = rest.join(F.broadcast(table), "term").withColumn("shard", F.col("base") + F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", F.crc32("ids")), F.col("parts")))
+    # Shards are of like size and numbered without gaps: dealt in turn, every task gets as many, where a hash gives some three times as many.
     tasks = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8)))
-    dealt = dealt.select("shard", "doc_id", "start", "doc_tokens", "ids").repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "start")
+    dealt = dealt.select("shard", "doc_id", "start", "doc_tokens", "ids").repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "doc_id", "start")
     packed = dealt.mapInArrow(ts.tidied(_pack(tok.width, idf, max(average, 1.0), window)), PIECE)
     full = t.filter("kind = 0").select("doc_id", "start", "doc_tokens", "ids").mapInArrow(ts.tidied(_whole_windows(tok.width)), PIECE)
     return packed.unionByName(full)
