@@ -33,6 +33,8 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 NEUTRAL = ("", "people")
 #: Bytes of the word beginnings that count as features beside the words: inflected forms share them.
 STEMS = (4, 5, 6, 7, 8, 9)
+#: Files of the sample's features at most: it is bounded, so more would only be more small files, each of them a task and some processes.
+FILES = 16
 
 _WORDS, _SENTENCE_ENDS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[.!?\n]+")
 _LETTER = np.zeros(256, bool)
@@ -63,10 +65,42 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(texts), np.concatenate(hashes) & ~U64(1)
 
 
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about `SLICE_BYTES` that end between letter runs, so that memory doesn't follow the longest text; only a longer run stays whole."""
+    a, n = 0, len(data)
+    while a < n:
+        b = a + ts.SLICE_BYTES
+        while b < n:
+            ends = np.flatnonzero(~_LETTER[data[b : b + ts.SLICE_BYTES]])
+            if len(ends):
+                b += int(ends[0])
+                break
+            b += ts.SLICE_BYTES
+        yield a, min(b, n)
+        a = b
+
+
+def _summed(found: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of several arrays, and how often each occurs in all of them."""
+    values, n = None, None
+    for x in found:
+        x, k = np.unique(x, return_counts=True)
+        if values is not None:
+            x, of = np.unique(np.concatenate((values, x)), return_inverse=True)
+            k = np.bincount(of, np.concatenate((n, k)), len(x)).astype(np.int64)
+        values, n = x, k
+    return (np.zeros(0, U64), np.zeros(0, np.int64)) if values is None else (values, n)
+
+
+def _counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct even features of one text, and how often each occurs."""
+    data = np.frombuffer(text, np.uint8)
+    return _summed(features(data[a:b], np.array([0, b - a]))[1] for a, b in _pieces(data))
+
+
 def feature_set(text: str | bytes) -> np.ndarray:
     """Sorted features of one text: an even hash for what occurs, the odd one after it for what occurs twice or more."""
-    data = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
-    base, n = np.unique(features(data, np.array([0, len(data)]))[1], return_counts=True)
+    base, n = _counted(text.encode() if isinstance(text, str) else text)
     return np.sort(np.concatenate((base, base[n > 1] | U64(1))))
 
 
@@ -76,6 +110,19 @@ def _forms(term: str) -> frozenset[int]:
     return frozenset(int(h) for h in feature_set(term) & ~U64(1))
 
 
+def _sentences(text: bytes) -> Iterator[bytes]:
+    start = 0
+    for end in _SENTENCE_ENDS.finditer(text):
+        yield text[start : end.start()]
+        start = end.end()
+    yield text[start:]
+
+
+def _named(text: bytes, known: set[bytes]) -> Iterator[bytes]:
+    """Every mention of a known term."""
+    return (w for m in _WORDS.finditer(text) if (w := m.group().lower()) in known)
+
+
 def counterfactuals(text: bytes, groups: tuple[tuple[str, ...], ...]) -> Counter:
     """(features that go, features that come) and how often, for every swap of an identity term in a text.
 
@@ -87,7 +134,7 @@ def counterfactuals(text: bytes, groups: tuple[tuple[str, ...], ...]) -> Counter
     if not named:
         return Counter()
     known = {t.encode() for t in named}
-    parts = [p for p in _SENTENCE_ENDS.split(text) if not known.isdisjoint(w.lower() for w in _WORDS.findall(p))]
+    parts = [p for p in _sentences(text) if any(_named(p, known))]
     if not parts:
         return Counter()
     if len(parts) > 1:
@@ -96,8 +143,8 @@ def counterfactuals(text: bytes, groups: tuple[tuple[str, ...], ...]) -> Counter
     watched = frozenset().union(*forms.values())
     out: Counter = Counter()
     for p in parts:
-        mentions = Counter(w.lower().decode("utf-8", "replace") for w in _WORDS.findall(p))
-        base, n = np.unique(features(np.frombuffer(p, np.uint8), np.array([0, len(p)]))[1], return_counts=True)
+        mentions = Counter(w.decode() for w in _named(p, known))
+        base, n = _counted(p)
         count = {h: k for h, k in zip(base.tolist(), n.tolist()) if h in watched}
         for group in groups:
             for term in group:
@@ -134,13 +181,20 @@ class Model:
         once, twice = (np.bincount(of[x], self.weights[x], len(bases)) for x in (~again, again))
         likely = np.zeros(1 << 16, bool)
         likely[(bases >> U64(48)).astype(np.int64)] = True
-        for i, j in ts.slices(off) if len(bases) else ():
-            text, h = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+
+        def pairs(part: np.ndarray, edges: np.ndarray) -> np.ndarray:
+            """Text and feature as one number, for every feature that has a weight."""
+            text, h = features(part, edges)
             maybe = likely[(h >> U64(48)).astype(np.int64)]
             text, h = text[maybe], h[maybe]
             at = np.minimum(np.searchsorted(bases, h), len(bases) - 1)
             hit = bases[at] == h
-            pair, n = np.unique(text[hit] * len(bases) + at[hit], return_counts=True)
+            return text[hit] * len(bases) + at[hit]
+
+        for i, j in ts.slices(off) if len(bases) else ():
+            part, edges = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            pair, n = _summed(pairs(part[a:b], np.clip(edges, a, b) - a) for a, b in _pieces(part))
+            pair = pair.astype(np.int64)
             out[i:j] += np.bincount(pair // len(bases), once[pair % len(bases)] + np.where(n > 1, twice[pair % len(bases)], 0), j - i)
         return 1.0 / (1.0 + np.exp(-np.clip(out, -500, 500)))
 
@@ -155,12 +209,13 @@ def _featurised(groups):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = ts.text_bytes(batch.column("text"))
-            rows, swaps = [], []
-            for i in range(len(off) - 1):
-                text = data[off[i] : off[i + 1]].tobytes()
-                rows.append(feature_set(text).view(np.int64))
-                swaps.append([{"go": signed(go), "come": signed(come), "n": n} for (go, come), n in counterfactuals(text, groups).items()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int64())), pa.array(swaps, _SWAPS)], ["doc_id", "toxic", "features", "swaps"])
+            for i, j in ts.slices(off):
+                rows, swaps = [], []
+                for k in range(i, j):
+                    text = data[off[k] : off[k + 1]].tobytes()
+                    rows.append(feature_set(text).view(np.int64))
+                    swaps.append([{"go": signed(go), "come": signed(come), "n": n} for (go, come), n in counterfactuals(text, groups).items()])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "toxic")), pa.array(rows, pa.list_(pa.int64())), pa.array(swaps, _SWAPS)], ["doc_id", "toxic", "features", "swaps"])
 
     return run
 
@@ -212,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, top: int = 40
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = labelled_sample(docs, labels, per_class).mapInArrow(ts.tidied(_featurised(groups)), "doc_id long, toxic int, features array<long>, swaps array<struct<go: array<long>, come: array<long>, n: long>>")
-    sample = scratch.table(sample.distinct(), "features")  # rows that repeat a document count once
+    sample = scratch.table(sample.distinct().coalesce(FILES), "features")  # rows that repeat a document count once
     n0, n1 = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     if not n0 or not n1:
         return Model(np.zeros(0, U64), np.zeros(0), float(np.log1p(n1) - np.log1p(n0)))

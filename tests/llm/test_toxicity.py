@@ -190,3 +190,47 @@ def test_slices_and_long_texts(fitted):
     long = "word " * 400_000
     both = score_of(model, long, "grolm vexarn", long + "grolm vexarn sknutter grolms")
     assert both[1] == score_of(model, "grolm vexarn")[0] and both[2] > both[0]
+
+
+def test_memory_does_not_follow_the_longest_text(fitted):
+    import tracemalloc
+
+    model = fitted[2]
+    rng = random.Random(7)
+    unit = " ".join([*prose(rng, 5000).split(), *BAD, "jews"]) + "\n"
+    text = unit * (8_000_000 // len(unit.encode()))
+    size = len(text.encode())
+    column, raw = pa.array([text]), text.encode()
+    for work in (lambda: model.scores(column), lambda: tx.feature_set(raw), lambda: tx.counterfactuals(raw, tx.IDENTITY_TERMS)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 6 * size
+
+
+@pytest.mark.parametrize("most", [1, 7, 64])
+def test_pieces_of_a_text_cut_no_word(fitted, monkeypatch, most):
+    model = fitted[2]
+    texts = ["", " ", "grolm", "jews " * 9 + "vexarns. Jews? \0grolm" + "x" * 300, "é" * 99 + " über jews!sknutter" * 3, *(r[1] for r in documents()[:20])]
+    whole = [(tx.feature_set(t), tx.counterfactuals(t.encode(), tx.IDENTITY_TERMS), score_of(model, t)[0]) for t in texts]
+    monkeypatch.setattr(ts, "SLICE_BYTES", most)
+    for t, (found, swaps, score) in zip(texts, whole):
+        assert np.array_equal(tx.feature_set(t), found)
+        assert tx.counterfactuals(t.encode(), tx.IDENTITY_TERMS) == swaps
+        assert score_of(model, t)[0] == score
+    assert np.array_equal(score_of(model, *texts), [x[2] for x in whole])
+
+
+def test_the_sample_is_written_to_few_files(spark, fitted, monkeypatch, tmp_path):
+    docs, marks, model = fitted
+    monkeypatch.setattr(tx, "Scratch", lambda s, name: type("Here", (), {"table": lambda self, df, n: (df.write.parquet(str(tmp_path / n)), s.read.parquet(str(tmp_path / n)))[1]})())
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        again = tx.fit(docs, marks.filter(~tx.held_out()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "features").glob("part-*"))) <= 16
+    assert np.array_equal(again.hashes, model.hashes) and np.array_equal(again.weights, model.weights)
