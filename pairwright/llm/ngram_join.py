@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pairwright.llm import textscan as ts
-from pairwright.llm.graph import components
+from pairwright.llm.graph import merged
 from pairwright.llm.scratch import Scratch
 
 U64 = np.uint64
 _SLICE = 1 << 14
 #: Rows of sorted lists that a task holds at a time.
 HELD = 200_000
+#: Tasks that write a table known to be small, and rows of it from which it takes more: each file costs executors two processes.
+FEW, ROWS, TEXTS = 16, 100_000, 2_000
 #: More sets that share half a fingerprint with another one are taken for an error.
 SHARED = 100_000
 
@@ -329,6 +331,11 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
+def _tasks(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """`df` in a task per `each` of so many rows, at least `FEW` and no more than it has."""
+    return df.coalesce(max(FEW, -(-rows // each)))
+
+
 def _marked(words: int, node_of: _Node, name: str):
     """Each row with the node of its text, 0 for no shingle."""
 
@@ -348,6 +355,7 @@ class _Join:
         self.docs = docs.select("doc_id", "text").filter("doc_id is not null")
         self.words, self.num, self.den, self.short, self.bits, self.rounds, self.tile, self.hot, self.id_bits = words, num, den, short, bits, rounds, tile, hot, id_bits
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
+        self.linked = 0  # links so far
 
     def scan(self) -> None:
         t = self.scratch.table(self.docs.mapInArrow(ts.tidied(_scanner(self.words, self.bits, self.id_bits)), "doc_id long, n int, first long, second long, slice int, counts binary"), "scan")
@@ -397,16 +405,25 @@ class _Join:
             one = one.mapInArrow(ts.tidied(_marked(self.words, self.node_of, "own")), "fp long, text string, own long").filter("fp = own").dropDuplicates(["fp"]).drop("own")
         self.cand = self.scratch.table(one, "texts")
 
-    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link, as (x, y)."""
+    def verify(self, pairs: DataFrame, number: int, name: str) -> DataFrame:
+        """Those of so many pairs (a, b) that link, as (x, y)."""
         part = F.pmod(F.xxhash64("b"), F.lit(16))  # a node of very many candidates is in so many tasks
         pairs = pairs.select("a", "b", part.alias("part"))
         other = pairs.join(self.cand, pairs["b"] == self.cand["fp"]).select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).alias("kind"), "part", "text")
         mine = pairs.select("a", "part").distinct().join(self.cand, F.col("a") == self.cand["fp"]).select(F.col("a").alias("x"), F.col("a").alias("y"), F.lit(0).alias("kind"), "part", "text")
         n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = mine.union(other).repartition(n, "x", "part").sortWithinPartitions("x", "part", "kind")
+        rows = _tasks(mine.union(other).repartition(n, "x", "part").sortWithinPartitions("x", "part", "kind"), number, TEXTS)
         return self.scratch.table(rows.select("x", "y", "kind", "text").mapInArrow(ts.tidied(_verify(self.words, self.num, self.den)), "x long, y long"), name)
 
+    def joined(self, comp: DataFrame | None, pairs: DataFrame, number: int, name: str) -> DataFrame:
+        """The components after so many pairs more; `comp` stays if none of them links."""
+        links = self.verify(pairs, number, f"links-{name}")
+        number = links.count()
+        if comp is not None and not number:
+            return comp
+        self.linked += number
+        return merged(comp, links, self.scratch, f"comp-{name}", max(FEW, -(-self.linked // ROWS)))
+
     def mixed(self, comp: DataFrame) -> DataFrame:
         """Members (sig, comp, fp, n, rest, lists, least) of the long lists that hold more than one component; least: smallest n there."""
         own = self.long.join(comp, self.long["fp"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "fp")).drop("node", "component")
@@ -438,27 +455,28 @@ class _Join:
         self.repeats = bool(self.rows.groupBy("doc_id").count().filter("count > 1").limit(1).count())
         self.merge()
         self.texts()
-        done = self.met
-        links = self.verify(done, "links-0")
-        comp = components(links, s, "comp-0")
+        done, number = self.met, self.met.count()
+        comp = self.joined(None, self.met, number, "0")
         rank = self.long.groupBy("fp").agg(F.count(F.lit(1)).alias("lists"))
         self.long = s.table(self.long.join(rank, "fp"), "long")
+        members = self.long.count()
         for k in range(1, self.rounds + 1):
             pairs = self.dealt(self.mixed(comp), False, k, F.col("lists").desc(), "fp").mapInArrow(ts.tidied(_to_hubs(self.num, self.den)), "a long, b long").distinct()
-            pairs = s.table(pairs.join(done, ["a", "b"], "left_anti"), f"hubs-{k}")
-            if pairs.isEmpty():
+            pairs = s.table(_tasks(pairs.join(done, ["a", "b"], "left_anti"), members, ROWS), f"hubs-{k}")
+            number = pairs.count()
+            if not number:
                 break
             done = done.unionByName(pairs)
-            links = links.unionByName(self.verify(pairs, f"links-{k}"))
-            comp = components(links, s, f"comp-{k}")
+            comp = self.joined(comp, pairs, number, f"{k}")
         # Members that may meet a partner first here: none is smaller than the list's smallest, nor than a text can link with.
         members = self.mixed(comp)
         least = F.greatest("least", F.ceil(F.col("n") * self.num / F.lit(float(self.den))))
         members = members.filter(F.ceil((F.col("n") + least) * self.num / F.lit(float(self.num + self.den))) <= F.col("rest"))
         cross = self.dealt(members, True, 0, "comp").mapInArrow(ts.tidied(_across(self.num, self.den)), "a long, b long").distinct()
         cross = s.table(cross.join(done, ["a", "b"], "left_anti"), "cross")
-        if not cross.isEmpty():
-            comp = components(links.unionByName(self.verify(cross, "links-cross")), s, "comp-cross")
+        number = cross.count()
+        if number:
+            comp = self.joined(comp, cross, number, "cross")
         # From fingerprints to the least doc_id of each component.
         named = self.classes.join(comp, self.classes["fp"] == comp["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
         least = named.groupBy("c").agg(F.min("id").alias("component_id"))

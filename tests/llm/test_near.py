@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from pairwright.llm import embedding_join as ej
 from pairwright.llm import ngram_join as nj
-from pairwright.llm.graph import components
+from pairwright.llm.graph import components, merged, stars
 from pairwright.llm.scratch import Scratch
 from tests.llm.helpers import clashing, documents, frame
 
@@ -100,6 +100,31 @@ def test_large_group_of_near_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Files of links and labels follow their rows, not the shuffle partitions: each costs an executor two processes."""
+    files = {}
+
+    def table(self, df, name, plain=Scratch.table):
+        out = plain(self, df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    rows = documents(2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    monkeypatch.setattr(Scratch, "table", table)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = nj.near_duplicates(frame(spark, rows), short=8).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    small = {k: n for k, n in files.items() if k.startswith(("links", "comp", "hubs"))}
+    assert len(small) > 3 and max(small.values()) <= nj.FEW
+
+
 def test_lists_longer_than_a_task_holds(monkeypatch):
     """The same pairs and members come out of one long sorted stream, however little of it is held."""
     import pyarrow as pa
@@ -130,6 +155,22 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(301), 0), 999: 999, 1000: 999}
 
 
+def test_components_in_portions(spark):
+    """Edges that come in portions, among them ones that join settled components from above and from below."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(230)]
+    comp, scratch = None, Scratch(spark, "t")
+    for k in range(3):
+        portion = spark.createDataFrame(edges[k * 80 : k * 80 + 80], "x long, y long")
+        comp = merged(comp, portion, scratch, f"c-{k}", 2)
+    union = Union(range(-200, 200))
+    for a, b in edges:
+        union.join(a, b)
+    assert sorted(map(tuple, comp.collect())) == sorted((n, union.find(n)) for n in {n for a, b in edges if a != b for n in (a, b)})
+    x, y = (np.array(e) for e in zip(*edges))
+    assert {(a, b) for a, b in zip(*(z.tolist() for z in stars(x, y)))} == {(n, union.find(n)) for e in edges for n in e if union.find(n) != n}
+
+
 def brute_vectors(rows, cosine):
     u, links = Union({r[0] for r in rows}), Counter()
     good = [(i, v) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
