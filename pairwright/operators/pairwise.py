@@ -6,16 +6,18 @@ ratios is complete where it is made: its posterior needs no shuffle of pairs, an
 of the size of the result is kept.  The only thing that posteriors need from elsewhere, the
 largest ratio per test over everything, comes from a first pass that returns a few numbers.
 
-B is broadcast only if its counted size is within `BROADCAST_BYTES`; beyond that, both sides are cut into tiles
-that a task holds, and every tile of A meets every tile of B in one shuffle.  Histograms of a row
-add up over tiles, so posteriors then take one more pass: ratios are made three times, kept never.
+B is broadcast only if its counted size is within `BROADCAST_BYTES`; beyond that, one of two ways is taken, whichever moves less.
+Few long rows are cut by samples: all that ratios need are sums over samples, so a task multiplies one block of
+samples of all rows, and sums of blocks meet by A row.  Rows move once, however many samples there are.
+Many short rows are cut into tiles that a task holds, and every tile of A meets every tile of B in one shuffle.
+Histograms of a row add up over tiles, so posteriors then take one more pass: ratios are made three times, kept never.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,10 +30,12 @@ from pairwright.operators.elementwise import uniform_draw
 from pairwright.operators.histogram import ADVISED_BINS, LEAST_BINS, bin_count, null_histogram
 from pairwright.operators.posterior import curve, curve_points, posteriors
 
-#: The driver holds B twice while it is sent.
-BROADCAST_BYTES = 64 << 20
+#: The driver holds B twice while it is sent, and so does every Python worker that gets it.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of one side of a tile.
 TILE_BYTES = 32 << 20
+#: Bytes of one block of samples, all rows together.
+BLOCK_BYTES = 8 << 20
 #: Results of about so many bytes are made at a time.
 WORK_BYTES = 64 << 20
 #: Ties of fewer samples than this are shaken, as rank scores are coarse there.
@@ -41,6 +45,8 @@ FLOOR = 1.17549435e-38
 TESTS = {"rank": (2,), "discrete": (1, 2, 3, 4, 5), "continuous": (1, 2, 3, 4, 5)}
 #: Kinds of problem whose rows are taken as they are, not ranked: sums of products, and means of genotype classes.
 PLAIN = ("products", "classes")
+#: Kinds whose A rows have an anchor alongside.
+ANCHORED = ("discrete", "continuous", "classes")
 
 
 @dataclass(frozen=True)
@@ -86,14 +92,21 @@ def _rows_of(plan: Plan, values: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def class_means(plan: Plan, a: np.ndarray, za: np.ndarray, anchor: np.ndarray, b: np.ndarray, zb: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(a, geno, b, f, mu_a, mu_b) of every genotype that a row's anchor has."""
     for g in np.unique(anchor):
-        member = (anchor == g).astype(float)
-        count = member.sum(1)
-        has = np.flatnonzero(count)
-        n, k = len(has), len(b)
-        count = count[has, None]
-        mu_a, mu_b = (member * za).sum(1)[has, None] / count, member[has] @ zb.T / count
-        each = lambda x: pa.array(np.broadcast_to(x, (n, k)).ravel())
-        yield pa.RecordBatch.from_arrays([each(a[has, None]), pa.array(np.full(n * k, int(g), np.int16)), pa.array(np.tile(b, n)), each(count / plan.ns), each(mu_a), each(mu_b)], ["a", "geno", "b", "f", "mu_a", "mu_b"])
+        yield _means_of(plan, a, b, g, *class_sums(anchor, g, za, zb))
+
+
+def class_sums(anchor: np.ndarray, g: float, za: np.ndarray, zb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(samples, sum of the row itself, sum of every B row) over the samples of genotype g, per A row."""
+    member = (anchor == g).astype(float)
+    return member.sum(1, keepdims=True), (member * za).sum(1, keepdims=True), member @ zb.T
+
+
+def _means_of(plan: Plan, a: np.ndarray, b: np.ndarray, g: float, count: np.ndarray, own: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    has = np.flatnonzero(count)
+    n, k = len(has), len(b)
+    count = count[has]
+    each = lambda x: pa.array(np.broadcast_to(x, (n, k)).ravel())
+    return pa.RecordBatch.from_arrays([each(a[has, None]), pa.array(np.full(n * k, int(g), np.int16)), pa.array(np.tile(b, n)), each(count / plan.ns), each(own[has] / count), each(other[has] / count)], ["a", "geno", "b", "f", "mu_a", "mu_b"])
 
 
 def _half_log(x: np.ndarray) -> np.ndarray:
@@ -113,23 +126,33 @@ def five_ratios(s1, s2, s12, rho) -> dict[int, np.ndarray]:
 
 def ratios(plan: Plan, za: np.ndarray, anchor: np.ndarray | None, zb: np.ndarray) -> dict[int, np.ndarray]:
     """Ratios of a block of A rows (their anchors alongside) against a block of B rows."""
+    return ratios_of_sums(plan, za @ zb.T, _anchor_sums(plan, za, anchor, zb))
+
+
+def _anchor_sums(plan: Plan, za: np.ndarray, anchor: np.ndarray | None, zb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What anchors add: (samples, sum with the row itself, sums with B rows), once or for every genotype."""
+    if plan.kind == "continuous":
+        yield np.full((len(za), 1), float(za.shape[1])), (anchor * za).sum(1, keepdims=True), anchor @ zb.T
+    elif plan.kind == "discrete":
+        for g in np.unique(anchor):
+            yield class_sums(anchor, g, za, zb)
+
+
+def ratios_of_sums(plan: Plan, products: np.ndarray, anchors: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+    """Ratios from sums over all samples; `anchors` as `_anchor_sums` has them."""
     if plan.kind == "products":
-        return {0: za @ zb.T}
-    rho = np.clip(za @ zb.T / plan.ns, -1.0, 1.0)
+        return {0: products}
+    rho = np.clip(products / plan.ns, -1.0, 1.0)
     if plan.kind == "rank":
         x = _half_log(1 - rho**2)
         return {2: np.where(x < 0, 0.0, x)}
     if plan.kind == "continuous":
-        ea = np.clip((anchor * za).sum(1) / plan.ns, -1.0, 1.0)[:, None]
-        eb = np.clip(anchor @ zb.T / plan.ns, -1.0, 1.0)
+        ((_, own, other),) = anchors
+        ea, eb = np.clip(own / plan.ns, -1.0, 1.0), np.clip(other / plan.ns, -1.0, 1.0)
         return five_ratios(ea**2, eb**2, ea * eb, rho)
-    s1, s2, s12 = np.zeros((len(za), 1)), np.zeros(rho.shape), np.zeros(rho.shape)
-    for g in np.unique(anchor):
-        member = (anchor == g).astype(float)
-        count = member.sum(1, keepdims=True)
-        mu_a = (member * za).sum(1, keepdims=True) / np.maximum(count, 1)
-        mu_b = member @ zb.T / np.maximum(count, 1)
-        f = count / plan.ns
+    s1, s2, s12 = np.zeros((len(rho), 1)), np.zeros(rho.shape), np.zeros(rho.shape)
+    for count, own, other in anchors:
+        mu_a, mu_b, f = own / np.maximum(count, 1), other / np.maximum(count, 1), count / plan.ns
         s1 += f * mu_a**2
         s2 += f * mu_b**2
         s12 += f * mu_a * mu_b
@@ -318,6 +341,111 @@ def _tiled(plan: Plan, mode: str):
     return run
 
 
+#: A sum over the samples of one block: the products of an A row (`part` 0), or those of its anchor or of one genotype (1).
+_SUMS = "gene int, part int, geno double, block int, n double, own double, sums array<double>"
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], np.ascontiguousarray(m).ravel())
+
+
+def _sliced(plan: Plan, side: int, width: int):
+    """Packed rows to their scores, cut into blocks of `width` samples; a row at a time, as rows are long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(i, 1)]) for c in batch.columns], batch.schema.names)
+                if side == 0:
+                    ids, z, anchor, _ = _prepared(plan, row)
+                else:
+                    ids = row.column("gene").to_numpy()
+                    z, anchor = _rows_of(plan, _matrix(row.column("vals"), plan.ns), ids), None
+                cuts = np.append(np.arange(0, plan.ns, width), plan.ns).astype(np.int32)
+                n = len(cuts) - 1
+                cut = lambda x: pa.ListArray.from_arrays(cuts, x.ravel())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(np.full(n, ids[0], np.int32)), cut(z), pa.nulls(n, pa.list_(pa.float64())) if anchor is None else cut(anchor)], ["block", "side", "gene", "vals", "anchor"])
+
+    return run
+
+
+def _block_sums(plan: Plan, alike: bool):
+    """Rows sorted by (block, side, gene) to `_SUMS`; with `alike`, B rows are the A rows."""
+
+    def sums(block: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        na = int((rows.column("side").to_numpy() == 0).sum())
+        width = len(rows.column("vals")[0])
+        z = _matrix(rows.column("vals"), width)
+        genes, za, zb = rows.column("gene").slice(0, na), z[:na], z if alike else z[na:]
+        anchor = _matrix(rows.column("anchor").slice(0, na), width) if plan.kind in ANCHORED else None
+        step = max(1, WORK_BYTES // (8 * 2 * max(len(zb), width)))
+        for s in range(0, na, step):
+            a, held = za[s : s + step], None if anchor is None else anchor[s : s + step]
+            found = [] if plan.kind == "classes" else [(0, 0.0, np.full((len(a), 1), float(width)), np.zeros((len(a), 1)), a @ zb.T)]
+            if plan.kind == "continuous":
+                found += [(1, 0.0, *x) for x in _anchor_sums(plan, a, held, zb)]
+            elif held is not None:
+                found += [(1, float(g), *class_sums(held, g, a, zb)) for g in np.unique(held)]
+            for part, g, n, own, other in found:
+                k = len(a)
+                yield pa.RecordBatch.from_arrays([genes.slice(s, k), pa.array(np.full(k, part, np.int32)), pa.array(np.full(k, g)), pa.array(np.full(k, block, np.int32)), pa.array(n.ravel()), pa.array(own.ravel()), _lists(other)], ["gene", "part", "geno", "block", "n", "own", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            edge = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if s == e:
+                    continue
+                if parts and block[s] != now:
+                    yield from sums(now, parts)
+                    parts = []
+                now = int(block[s])
+                parts.append(batch.slice(s, e - s))
+        if parts:
+            yield from sums(now, parts)
+
+    return run
+
+
+def _added(plan: Plan, mode: str, b: np.ndarray):
+    """`_SUMS` sorted by (gene, part, geno, block): blocks are added up, and an A row is finished when all its sums are there."""
+
+    def finished(gene: int, sums: dict[tuple[int, float], list]) -> Iterator[pa.RecordBatch]:
+        a = np.array([gene], np.int32)
+        anchors = {g: (np.array([[n]]), np.array([[own]]), other) for (part, g), (n, own, other) in sums.items() if part == 1}
+        if mode == "stats":
+            for g, x in anchors.items():
+                yield _means_of(plan, a, b, g, *x)
+            return
+        kv = sum(bool(x[0].any()) for x in anchors.values()) if plan.kind == "discrete" else 0
+        yield from _finish(plan, mode, a, np.array([kv]), b, ratios_of_sums(plan, sums[0, 0.0][2], list(anchors.values())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("gene", "part", "geno", "n", "own")))
+            rows = _matrix(batch.column("sums"), len(b))
+            for i, (gene, part, g, n, own) in enumerate(keys):
+                if gene != now:
+                    if sums:
+                        yield from finished(now, sums)
+                    now, sums = gene, {}
+                was = sums.get((part, g))
+                if was is None:
+                    sums[part, g] = [n, own, rows[i : i + 1].copy()]
+                else:
+                    was[0] += n
+                    was[1] += own
+                    was[2] += rows[i]
+        if sums:
+            yield from finished(now, sums)
+
+    return run
+
+
 def pack(rows: DataFrame, value: str = "value") -> DataFrame:
     """(gene, vals, samples, bad): one array per gene, ordered by sample; what `shape` checks is kept beside it."""
     packed = rows.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("sample", F.col(value).cast("double").alias("value")))).alias("r"))
@@ -356,15 +484,17 @@ class Pairs:
     @classmethod
     def of(cls, t: DataFrame, t2: DataFrame, anchor: DataFrame | None = None, kind: str = "rank", nodiag: bool = False, seed: int = 0) -> Pairs:
         # Packed once; a lost executor costs a recomputation of its part.
-        packed, packed2 = pack(t).persist(), pack(t2).persist()
+        packed = pack(t).persist()
+        packed2 = packed if t2 is t else pack(t2).persist()
         held = (packed, packed2)
         ng, ns, which = shape(packed, "t")
-        nt, ns2, which2 = shape(packed2, "t2")
+        nt, ns2, which2 = (ng, ns, which) if t2 is t else shape(packed2, "t2")
         if which != which2:
             raise ValueError(f"t and t2 have different samples: {ns} and {ns2}")
         if ns < (3 if kind == "rank" else 4):
             raise ValueError(f"{ns} samples are too few")
         packed = packed.select("gene", "vals")
+        targets = packed if t2 is t else packed2.select("gene", "vals")
         if anchor is not None:
             anchors = pack(anchor, "geno" if kind == "discrete" else "value").persist()
             held += (anchors,)
@@ -383,24 +513,26 @@ class Pairs:
             packed = packed.join(anchors.select("gene", F.col("vals").alias("anchor")), "gene")
             if packed.count() != ng:
                 raise ValueError("anchor and t have different genes")
-        return cls(Plan(kind, ns, nt, nodiag, seed), packed, packed2.select("gene", "vals"), held)
+        return cls(Plan(kind, ns, nt, nodiag, seed), packed, targets, held)
 
     @classmethod
     def plain(cls, x: DataFrame, y: DataFrame, anchor: DataFrame | None = None) -> Pairs:
         """Rows (gene, sample, z) as they are, and genotypes (gene, sample, geno) of the first."""
-        a, b = pack(x, "z").persist(), pack(y, "z").persist()
+        a = pack(x, "z").persist()
+        b = a if y is x else pack(y, "z").persist()
         ng, ns, which = shape(a, "x")
-        nt, ns2, which2 = shape(b, "y")
+        nt, ns2, which2 = (ng, ns, which) if y is x else shape(b, "y")
         if which != which2:
             raise ValueError(f"x and y have different samples: {ns} and {ns2}")
-        held, a = (a, b), a.select("gene", "vals")
+        held, a, b = (a, b), a.select("gene", "vals"), b.select("gene", "vals")
+        b = a if y is x else b
         if anchor is not None:
             anchors = pack(anchor, "geno").persist()
             ne, nse, which3 = shape(anchors, "anchor")
             if ne != ng or which3 != which:
                 raise ValueError(f"anchor has {ne} genes and {nse} samples, x has {ng} and {ns}, or they are others")
             a, held = a.join(anchors.select("gene", F.col("vals").alias("anchor")), "gene"), (*held, anchors)
-        return cls(Plan("products" if anchor is None else "classes", ns, nt), a, b.select("gene", "vals"), held)
+        return cls(Plan("products" if anchor is None else "classes", ns, nt), a, b, held)
 
     def warn_equal_rows(self) -> int:
         """Warn of equal A and B rows under different ids, or unequal ones under the same, as `nodiag` claims."""
@@ -422,6 +554,8 @@ class Pairs:
             zb = _rows_of(plan, _matrix(pa.concat_arrays(rows.column("vals").chunks) if rows.num_rows else pa.array([], pa.list_(pa.float64())), plan.ns), b)
             n = max(int(self.a.sparkSession.sparkContext.defaultParallelism), 1)
             return self.a.repartition(n).mapInArrow(_against(plan, mode, b, zb), _schema(plan, mode))
+        if self._long_rows():
+            return self._blocks(plan, mode)
         a = self.a
         if mode == "pij":
             bins = [F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(bin_count(plan.nt))]
@@ -431,6 +565,31 @@ class Pairs:
             a = a.join(curves, "gene")
         return self._tiles(plan, mode, a)
 
+    def _long_rows(self) -> bool:
+        """Whether blocks of samples with their sums are less to move than tiles are."""
+        row, na, nt = 8 * self.plan.ns, self.a.count(), self.plan.nt
+        kinds = {"rank": 1, "products": 1, "continuous": 2}.get(self.plan.kind) or 1 + self.a.agg(F.max(F.size(F.array_distinct("anchor")))).first()[0]
+        sides = na * (1 + (self.plan.kind in ANCHORED)), nt
+        rows = max(1, TILE_BYTES // row)
+        moved = row * sum(sides)
+        return moved + math.ceil(moved / BLOCK_BYTES) * na * nt * 8 * kinds < row * (sides[0] * math.ceil(nt / rows) + nt * math.ceil(na / rows))
+
+    def _blocks(self, plan: Plan, mode: str) -> DataFrame:
+        """Blocks of samples, each with a part of every row, and their sums added up by A row."""
+        alike = self.b is self.a
+        na = self.a.count()
+        rows = na * (1 + (plan.kind in ANCHORED)) + (0 if alike else plan.nt)
+        width = min(plan.ns, max(1, BLOCK_BYTES // (8 * rows)))
+        blocks = math.ceil(plan.ns / width)
+        least = max(int(self.a.sparkSession.sparkContext.defaultParallelism), 1)
+        cut = lambda df, n, side: df.repartition(max(least, math.ceil(8 * plan.ns * n / BLOCK_BYTES))).mapInArrow(_sliced(plan, side, width), "block int, side int, gene int, vals array<double>, anchor array<double>")
+        cells = cut(self.a, na, 0)
+        if not alike:
+            cells = cells.union(cut(self.b, plan.nt, 1))
+        sums = cells.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "side", "gene").mapInArrow(_block_sums(plan, alike), _SUMS)
+        b = self.b.select("gene").orderBy("gene").toArrow().column("gene").combine_chunks().to_numpy()  # of few rows
+        return sums.repartition(min(least, na), "gene").sortWithinPartitions("gene", "part", "geno", "block").mapInArrow(_added(plan, mode, b), _schema(plan, mode))
+
     def _tiles(self, plan: Plan, mode: str, a: DataFrame) -> DataFrame:
         """Every tile of A with every tile of B; each side travels as often as the other has tiles."""
         rows = max(1, TILE_BYTES // (8 * plan.ns))
